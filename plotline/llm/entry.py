@@ -15,5 +15,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import bitpack
+
+    return bitpack.round_trip(_docs(spark, sf_dir))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import packing
+
+    return packing.pack(_docs(spark, sf_dir))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_token_blocks": op2_token_blocks, "op4_best_fit_packing": op4_best_fit_packing}
 ORACLE_SQL: dict[str, str] = {}
