@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +28,31 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_token_blocks": op2_token_blocks, "op4_best_fit_packing": op4_best_fit_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import exact_dedup
+
+    return exact_dedup.duplicates(_docs(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import simhash
+
+    found = simhash.near_duplicates(_docs(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_blocks": op2_token_blocks,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_simhash": op9_simhash,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+        FROM t
+    """,
+}
