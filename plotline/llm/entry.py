@@ -28,6 +28,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op5_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import sketches
+
+    return sketches.edited_pairs(_docs(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm import exact_dedup
 
@@ -45,6 +51,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_scaled_sketch": op5_scaled_sketch,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
 }
