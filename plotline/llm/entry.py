@@ -47,6 +47,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import html_extract
+
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
@@ -54,6 +60,7 @@ QUERIES = {
     "op5_scaled_sketch": op5_scaled_sketch,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_html_wrappers": op10_html_wrappers,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": r"""
