@@ -53,12 +53,29 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import licenses
+
+    return licenses.summary(licenses.scan(_docs(spark, sf_dir)))
+
+
+def op8_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import chat
+
+    says = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_turns(turns))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_scaled_sketch": op5_scaled_sketch,
+    "op6_license_join": op6_license_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_chat_machine": op8_chat_machine,
     "op9_simhash": op9_simhash,
     "op10_html_wrappers": op10_html_wrappers,
 }
