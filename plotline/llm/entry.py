@@ -22,6 +22,16 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(_docs(spark, sf_dir))
 
 
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import nbest
+
+    found = nbest.segment(_docs(spark, sf_dir))
+    return found.select(
+        "doc_id", "rank", "score", (F.length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm import packing
 
@@ -71,6 +81,7 @@ def op8_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
+    "op3_nbest_pieces": op3_nbest_pieces,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_scaled_sketch": op5_scaled_sketch,
     "op6_license_join": op6_license_join,

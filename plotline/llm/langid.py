@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotline.llm.pieces import PieceTable
+
 UNDETERMINED = "und"
 WORD_START = "▁"
 #: Probability of a character that no piece covers, and of a piece unseen in a language.
@@ -29,7 +31,6 @@ TRAIN_ROWS, TRAIN_WORD = 2000, 40
 EM_ROUNDS = 3
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 400_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,51 +50,14 @@ def vocabulary(path: str) -> list[str]:
     return [p for p in found if p == p.lower() and (_WORD.fullmatch(p.removeprefix(WORD_START)) or p == WORD_START)]
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Code points of words of one length, one row each."""
-    return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
-
-
 @lru_cache(maxsize=4)
-def _tables(path: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each piece length: sorted rolling hashes and the piece numbers in that order."""
-    by: dict[int, list[tuple[str, int]]] = {}
-    for i, p in enumerate(vocabulary(path)):
-        by.setdefault(len(p), []).append((p, i))
-    out = {}
-    for n, items in by.items():
-        codes = _codes([p for p, _ in items])
-        h = np.zeros(len(items), np.uint64)
-        for k in range(n):
-            h = h * _BASE + codes[:, k] + np.uint64(1)
-        order = np.argsort(h)
-        out[n] = h[order], np.array([i for _, i in items])[order]
-    return out
+def _table(path: str) -> PieceTable:
+    return PieceTable(vocabulary(path))
 
 
 def lattice(words: list[str], path: str) -> list[tuple[int, np.ndarray]]:
-    """Edges of words of one length: for each piece length the piece number at each start, or -1.
-
-    A character that is no piece gets the number ``len(vocabulary)``, so every word has a segmentation.
-    """
-    codes, tables = _codes(words), _tables(path)
-    n, length = codes.shape
-    unknown = len(vocabulary(path))
-    out = []
-    h = np.zeros((n, length), np.uint64)
-    for k in range(1, min(length, max(tables, default=1)) + 1):
-        h = h[:, : length - k + 1] * _BASE + codes[:, k - 1 :] + np.uint64(1)
-        if k in tables:
-            keys, ids = tables[k]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            found = np.where(keys[at] == h, ids[at], -1)
-        else:
-            found = np.full(h.shape, -1)
-        if k == 1:
-            found = np.where(found < 0, unknown, found)
-        if k == 1 or (found >= 0).any():
-            out.append((k, found))
-    return out
+    """Edges of words of one length; a character that is no piece has the number ``len(vocabulary)``."""
+    return _table(path).edges(words)
 
 
 def forward(edges: list[tuple[int, np.ndarray]], p: np.ndarray) -> np.ndarray:
