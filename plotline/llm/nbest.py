@@ -49,8 +49,7 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece has a word mark after another character")
         self.byte_of = {i: bytes([b]) for b, i in self.byte.items()}
-        self.piece_array = np.array(self.pieces, dtype=object)
-        self.is_byte = np.isin(np.arange(size), list(self.byte_of))
+        self.spelling = np.array([self.byte_of.get(i) or p.encode() for i, p in enumerate(self.pieces)], dtype=object)
         self.table = PieceTable(self.pieces)
         self.longest = max(map(len, self.pieces))
         # one score for each piece, then one for characters without, and one for absent edges
@@ -73,11 +72,7 @@ def marked(text: str) -> str:
 
 def decode(ids: list[int] | np.ndarray, v: Vocabulary) -> str:
     """The text of piece ids."""
-    ids = np.asarray(ids, np.int64)
-    if not v.is_byte[ids].any():
-        joined = "".join(v.piece_array[ids].tolist())
-    else:
-        joined = b"".join(v.byte_of.get(i) or v.pieces[i].encode() for i in ids.tolist()).decode("utf-8", "surrogatepass")
+    joined = b"".join(v.spelling[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "surrogatepass")
     return joined.replace(MARK, " ")[1:]
 
 
