@@ -133,3 +133,78 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
     lowest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     of_fp = labelled.join(lowest, "label").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For texts that are similar, not nearly equal: so many fingerprints of so many bits each, of the distinct word pairs.
+TABLES, TABLE_BITS, PAIR_SHINGLE = 6, 32, 2
+#: Bits that may differ over all tables: a fingerprint angle at which sets of equal size have a Jaccard similarity of 0.8.
+MAX_DISTANCE = 29
+
+
+def _wide(text: str, shingle: int = PAIR_SHINGLE) -> np.ndarray:
+    """192 SimHash bits of a text's distinct shingles, as three signed 64-bit integers."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    n = len(words) - shingle + 1
+    features = {b" ".join(words[i : i + shingle]) for i in range(n)} if n > 1 else {b" ".join(words)} if words else set()
+    ones = np.zeros(192, np.int64)
+    items = list(features)
+    for i in range(0, len(items), 32768):
+        part = items[i : i + 32768]
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x) for x in part]), np.uint8).reshape(-1, 24)
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(items)).view("<i8")
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, f0, f1, f2 of every whole text of ``docs``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[["doc_id"]].copy()
+            f = np.array([_wide(t) for t in pdf["text"]], np.int64).reshape(-1, 3)
+            out["f0"], out["f1"], out["f2"] = f[:, 0], f[:, 1], f[:, 2]
+            yield out
+
+    ids = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, f0 long, f1 long, f2 long")
+
+
+def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, component_id for every row of ``docs``: groups of texts whose fingerprints tell a similarity of 0.8 or more.
+
+    One 64-bit fingerprint within two bits finds copies with a word or two changed; texts at a similarity of 0.8 differ in some
+    ten bits, too far for ball hashing. So the fingerprint is 192 bits in six tables of 32: each table is searched by ball
+    hashing within two bits, and what meets is verified on all 192. Of those that meet in a variant, each is compared with
+    the one before it and with the first, so links grow with the rows and not with their pairs.
+
+    Null and wordless texts are one group. Rows of the same doc_id each get a row. An empty table gives no row.
+    """
+    if TABLES * TABLE_BITS != 192:
+        raise ValueError("the tables share 192 bits")
+    prints = durable(wide_fingerprints(docs))
+    nodes = durable(prints.groupBy("f0", "f1", "f2").agg(F.min("doc_id").cast("long").alias("node")))
+    half = (1 << TABLE_BITS) - 1
+    tables = F.array(*[F.shiftright(F.col(f"f{i // 2}"), TABLE_BITS * (i % 2)).bitwiseAND(F.lit(half)) + F.lit(i << TABLE_BITS) for i in range(TABLES)])
+    ball = F.array(*[F.lit(m) for m in masks(1, TABLE_BITS)])
+    emitted = nodes.where("node is not null").select("node", F.explode(tables).alias("part")).select("node", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
+    bucket = Window.partitionBy("variant").orderBy("node")
+    met = emitted.select("node", F.lag("node").over(bucket).alias("before"), F.first("node").over(bucket).alias("first")).where("before is not null")
+    pairs = met.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).distinct()
+    left = nodes.select("node", "f0", "f1", "f2")
+    right = nodes.select(F.col("node").alias("other"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(3)])
+    distance = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(3)), F.lit(0))
+    edges = pairs.join(left, "node").join(right, "other").where(distance <= max_distance).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    parts = components(edges)
+    of_print = nodes.join(parts, "node", "left").select("f0", "f1", "f2", F.coalesce("label", "node").alias("component_id"))
+    return prints.join(of_print, ["f0", "f1", "f2"]).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts, the one of the smallest doc_id; columns as given.
+
+    Rows without a doc_id stay.
+    """
+    drop = similar_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
