@@ -7,17 +7,14 @@ be cut there and the ids of its chunks joined. Chunks repeat far more often than
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Chunks that a worker remembers, and the length beyond which it does not.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 64
-#: What stands between chunks that are encoded together, and which chunks may stand there; by the function that cuts.
-SEPARATORS = {
-    "word_chunks": (" | ", lambda w: "|" not in w),
-    "space_chunks": ("\n", re.compile(r" ?[^\s\x1c-\x1f]+").fullmatch),
-}
+CACHE_CHUNKS, CACHE_CHARS = 500_000, 64
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
 #: Chunks of one Latin word, with a mark after it or not: two pre-tokens at most, which every normaliser here leaves as they are but for case.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: Byte-level models name a printable byte by its own character and the others by the next free characters from 256.
@@ -71,64 +68,45 @@ def space_chunks(text: str) -> list[str]:
     return out
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+class ChunkEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit integers; itself the memory of chunks.
 
-    Unknown chunks are encoded many at a time, with a separator between them that is one token by itself; chunks that
-    hold the separator, or white space that could join it, are encoded alone. Plain words go to the library's model as
-    they are. Chunks not seen for two generations of the memory are forgotten.
+    Plain words go to the library's model as they are, a mark after them apart; other chunks through the whole tokenizer.
+    Chunks not seen for two generations of the memory are forgotten.
     """
 
     def __init__(self, path: str, cut):
-        self.path, self.cut, self.known, self.older = path, cut, {}, {}
-        self.sep, self.safe = SEPARATORS[cut.__name__]
-        found = _tokenizer(path).encode(self.sep, add_special_tokens=False).ids
-        if len(found) != 1:
-            raise ValueError(f"{self.sep!r} is not one token of {path}")
-        self.sep_id = found[0]
-
-    def learn(self, new: list[str]) -> None:
-        t = _tokenizer(self.path)
-        one, lower, rest = t.model.tokenize, self.cut is word_chunks, []
-        for w in new:
-            if m := _PLAIN.fullmatch(w):
+        super().__init__()
+        self.cut, self.tokenizer, self.older, self.marks = cut, _tokenizer(path), {}, {}
+        self.lower = cut is word_chunks
+        self.model = self.tokenizer.model
+
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            if m := _PLAIN.fullmatch(chunk):
                 word, mark = m.groups()
-                ids = [x.id for x in one((word.lower() if lower else word).encode().decode("latin-1").translate(_BYTE_CHARS))]
+                if self.lower:
+                    word = word.lower()
+                found = self[word] if word != chunk else self._ids(word.encode().decode("latin-1").translate(_BYTE_CHARS))
                 if mark:
-                    ids += [x.id for x in one(mark)]
-                self.known[w] = np.array(ids, "<u4").tobytes()
+                    if mark not in self.marks:
+                        self.marks[mark] = self._ids(mark)
+                    found += self.marks[mark]
             else:
-                rest.append(w)
-        new = rest
-        alone = [w for w in new if not self.safe(w)]
-        for w, e in zip(alone, t.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        joined = [w for w in new if self.safe(w)]
-        for i in range(0, len(joined), 4000):
-            part = joined[i : i + 4000]
-            (e,) = t.encode_batch_fast([self.sep.join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.sep_id), len(ids))
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = raw[4 * at : 4 * end]
-                at = end + 1
+                found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [self.cut(t) for t in texts]
-        used = set().union(*chunks)
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known, self.older = {w: self.known[w] for w in used & self.known.keys()}, self.known
-        self.known.update((w, self.older[w]) for w in new & self.older.keys())
-        new -= self.older.keys()
-        if new:
-            self.learn(sorted(new))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
-        return out
+        return [b"".join(map(self.__getitem__, self.cut(t))) for t in texts]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
