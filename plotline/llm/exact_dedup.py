@@ -44,7 +44,7 @@ def _ambiguous(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def recipes(docs: DataFrame, *, bits: int = 64) -> DataFrame:
-    """doc_id, row_no, text_sha256, recipe (array of verified chunk identifiers) for every row of ``docs``.
+    """doc_id, text_sha256, recipe (array of verified chunk identifiers) for every row of ``docs``.
 
     The verification runs here, once, over all distinct chunks. Only if a hash is ambiguous are identifiers extended by the
     chunk's number, for the documents that hold such a hash.
@@ -58,16 +58,14 @@ def recipes(docs: DataFrame, *, bits: int = 64) -> DataFrame:
     ambiguous = durable(_ambiguous(rows, bits))
     if ambiguous.isEmpty():
         return plain.withColumn("recipe", F.transform("recipe", lambda x: x["h"]))
-    held = rows.withColumn("row_no", F.monotonically_increasing_id())
-    entries = held.select("row_no", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk"), bits))
-    numbered = entries.join(ambiguous, ["h", "chunk"]).groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "number"))).alias("numbers"))
-    joined = held.join(numbered, "row_no", "left")
+    held = rows.withColumn("text_sha256", F.sha2("t", 256))  # rows of one doc_id and one text are numbered alike
+    key = ["doc_id", "text_sha256"]
+    entries = held.select(*key, F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk"), bits))
+    found = entries.join(ambiguous, ["h", "chunk"]).select(*key, "pos", "number").distinct()
+    numbered = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "number"))).alias("numbers")).select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"), "numbers")
+    joined = held.join(numbered, held["doc_id"].eqNullSafe(numbered["_d"]) & (held["text_sha256"] == numbered["_s"]), "left")
     number = lambda i: F.coalesce(F.element_at(F.col("numbers"), i), F.lit(0))
-    return joined.select(
-        "doc_id",
-        F.sha2("t", 256).alias("text_sha256"),
-        F.transform("chunks", lambda c, i: F.struct(chunk_hash(c, bits).alias("h"), number(i).alias("number"))).alias("recipe"),
-    )
+    return joined.select("doc_id", "text_sha256", F.transform("chunks", lambda c, i: F.struct(chunk_hash(c, bits).alias("h"), number(i).alias("number"))).alias("recipe"))
 
 
 def duplicates(docs: DataFrame, *, bits: int = 64) -> DataFrame:
