@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,10 @@ UNKNOWN_P, FLOOR_P = 1e-7, 1e-9
 #: Rows per language that training reads, in expectation; words beyond this length are not trained on.
 TRAIN_ROWS, TRAIN_WORD = 2000, 40
 EM_ROUNDS = 3
+#: Texts that are scored at a time.
+SLICE_ROWS = 300
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -201,38 +204,30 @@ def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None
     """``columns`` of ``docs`` (all by default) with lang_pred and score; only ``text`` is an input of the prediction.
 
     Null texts and texts without a letter give ``und`` and 0. A column of ``docs`` named lang_pred or score is replaced.
-    Whole texts are read, a few megabytes at a time; no shuffle.
+    Whole texts are read, some hundred at a time; no shuffle.
     """
     path = vocabulary_path or default_vocabulary()
     columns = [c for c in (columns or docs.columns) if c not in ("lang_pred", "score")]
     langs = model["lang"].tolist()
-    table = np.array(model["p"].tolist(), dtype=float).reshape(len(langs), -1).T
-    if langs:
-        table = np.concatenate([table[:-1], np.zeros((1, len(langs)))])
+    table = np.array(model["p"].tolist(), dtype=float).T if langs else np.zeros((1, 0))
+    table[-1] = 0.0
     shared = docs.sparkSession.sparkContext.broadcast(table)  # vocabulary x languages
     key = f"{path}|{hash(table.tobytes())}"
-    given = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("t"))
+    given = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *([] if "text" in columns else [F.col("text").alias("t")]))
+    at = columns.index("text") if "text" in columns else len(columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(key, langs, shared.value, path)
-        for pdf in batches:
-            texts = [None if t is None or t != t else t for t in pdf["t"]]
-            lang, value = [], []
-            start = size = 0
-            for i, t in enumerate(texts + [None]):
-                if i == len(texts) or size > 4_000_000:
-                    a, b = score(texts[start:i])
-                    lang += a
-                    value.append(b)
-                    start, size = i, 0
-                size += len(t or "")
-            out = pdf.drop(columns="t")
-            out["lang_pred"], out["score"] = lang, np.concatenate(value) if value else []
-            yield out
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                lang, value = score(part.column(at).to_pylist())
+                arrays = [*part.columns[: len(columns)], pa.array(lang, pa.string()), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*(f"c{k}" for k in range(len(columns))), "lang_pred", "score"])
 
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = given.mapInPandas(run, schema)
+    out = given.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
 
 
