@@ -29,8 +29,8 @@ VIEWS: dict[str, str] = {
         FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey
     """,
     "contacts": """
-        SELECT c_custkey AS id, concat('6', lpad(CAST(c_custkey % (n / 3) AS STRING), 8, '0')) AS phone_raw,
-               concat('+346', lpad(CAST(c_custkey % (n / 3) AS STRING), 8, '0')) AS phone_norm,
+        SELECT c_custkey AS id, concat('6', lpad(CAST(c_custkey % CAST(n / 3 AS BIGINT) AS STRING), 8, '0')) AS phone_raw,
+               concat('+346', lpad(CAST(c_custkey % CAST(n / 3 AS BIGINT) AS STRING), 8, '0')) AS phone_norm,
                c_name AS name_raw, lower(replace(c_name, '#', '')) AS name_norm
         FROM customer CROSS JOIN (SELECT CAST(greatest(floor(n / 3), 1) * 3 AS BIGINT) AS n FROM n_customers) AS s
     """,
