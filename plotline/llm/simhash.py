@@ -177,7 +177,7 @@ def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> Data
     One 64-bit fingerprint within two bits finds copies with a word or two changed; texts at a similarity of 0.8 differ in some
     ten bits, too far for ball hashing. So the fingerprint is 192 bits in six tables of 32: each table is searched by ball
     hashing within two bits, and what meets is verified on all 192. Of those that meet in a variant, each is compared with
-    the one before it and with the first, so links grow with the rows and not with their pairs.
+    the first, and with the one before it where the first looks far; so links grow with the rows and not with their pairs.
 
     Null and wordless texts are one group. Rows of the same doc_id each get a row. An empty table gives no row.
     """
@@ -188,10 +188,11 @@ def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> Data
     half = (1 << TABLE_BITS) - 1
     tables = F.array(*[F.shiftright(F.col(f"f{i // 2}"), TABLE_BITS * (i % 2)).bitwiseAND(F.lit(half)) + F.lit(i << TABLE_BITS) for i in range(TABLES)])
     ball = F.array(*[F.lit(m) for m in masks(1, TABLE_BITS)])
-    emitted = nodes.where("node is not null").select("node", F.explode(tables).alias("part")).select("node", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
+    emitted = nodes.where("node is not null").select("node", "f0", F.explode(tables).alias("part")).select("node", "f0", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
     bucket = Window.partitionBy("variant").orderBy("node")
-    met = emitted.select("node", F.lag("node").over(bucket).alias("before"), F.first("node").over(bucket).alias("first")).where("before is not null")
-    pairs = met.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).distinct()
+    met = emitted.select("node", "f0", F.lag("node").over(bucket).alias("before"), F.first("node").over(bucket).alias("first"), F.first("f0").over(bucket).alias("g0")).where("before is not null")
+    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= max_distance // 3
+    pairs = met.select("node", F.explode(F.when(near, F.array("first")).otherwise(F.array_distinct(F.array("before", "first")))).alias("other")).distinct()
     left = nodes.select("node", "f0", "f1", "f2")
     right = nodes.select(F.col("node").alias("other"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(3)])
     distance = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(3)), F.lit(0))
