@@ -112,3 +112,53 @@ def test_entry_without_training_data():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and "zone_scores_v2" in queries
+
+
+def test_addresses(spark):
+    from plotline.functions.addresses import address_base, address_key
+
+    assert one(spark, address_base, "C/ Alcala 123, 3o B, 28009 Madrid", "Avda. de America 45 portal 2, Madrid", "Lavapies - Madrid") == ["calle alcala, 123", "avenida america, 45", "lavapies"]
+    assert one(spark, address_key, "C/ Alcala 123, 3o B, 28009 Madrid", "Calle de Alcala numero 123") == ["callealcala", "callealcala"]
+
+
+def test_fuzzy(spark):
+    import random
+    from functools import lru_cache
+
+    from plotline.functions import fuzzy
+
+    @lru_cache(None)
+    def lcs(a, b):
+        if not a or not b:
+            return 0
+        return lcs(a[1:], b[1:]) + 1 if a[0] == b[0] else max(lcs(a[1:], b), lcs(a, b[1:]))
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert fuzzy.common_subsequence(a, b) == lcs(a, b)
+    assert fuzzy.best_window_ratio("mayor", "calle mayor") == 100.0 and fuzzy.indel_ratio("", "") == 100.0
+    df = spark.createDataFrame([("Calle Mayor 10", "Calle Mayor 12"), ("Calle Mayor 10", None), ("Luchana", "Alcala")], "a string, b string")
+    got = [r[0] for r in df.select(fuzzy.address_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == 100.0 and got[1] == 0.0 and got[2] < 70
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    from plotline.sources import archives
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>A</t></si><si><t>B</t></si></sst>")
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData><row/><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="B2"><v>7</v></c></row><row><c r="A3" t="inlineStr"><is><t>x</t></is></c><c r="B3"><v>8</v></c></row></sheetData></worksheet>')
+        z.writestr("m.html", "<p>x</p>")
+    read = lambda align: [dict(r.cells) for r in archives.read_xlsx(spark, str(tmp_path), "S", align=align).orderBy("row_no").collect()]
+    assert read("positional") == [{"A": "7"}, {"A": "x", "B": "8"}] and read("column") == [{"B": "7"}, {"A": "x", "B": "8"}]
+    with pytest.raises(KeyError):
+        archives.sheet_rows((tmp_path / "a.xlsx").read_bytes(), "none")
+    (tmp_path / "c.html").write_text("<p>y</p>")
+    (tmp_path / "a.xlsx").rename(tmp_path / "a.zip")
+    assert sorted(r.html for r in archives.read_chat_export(spark, str(tmp_path)).collect()) == ["<p>x</p>", "<p>y</p>"]
