@@ -40,3 +40,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make):
+    """What a worker keeps between tasks under ``key``; only the last used is kept, so operators do not add up."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotline.llm.common import remembered
 from plotline.llm.pieces import PieceTable
 
 UNDETERMINED = "und"
@@ -158,7 +159,7 @@ class Scorer:
         found = [self.known]
         at = len(self.known)
         for group in groups.values():
-            step = max(1, 2_000_000 // (len(group[0]) + 1) // max(1, len(self.langs)))
+            step = max(1, 500_000 // (len(group[0]) + 1) // max(1, len(self.langs)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
                 found.append(forward(lattice([WORD_START + w for w in part], self.path), self.p))
@@ -189,17 +190,6 @@ class Scorer:
         return lang.tolist(), score
 
 
-#: A worker's scorer, kept between batches and tasks of one model.
-_SCORER: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, langs: list[str], p: np.ndarray, path: str) -> Scorer:
-    if key not in _SCORER:
-        _SCORER.clear()
-        _SCORER[key] = Scorer(langs, p, path)
-    return _SCORER[key]
-
-
 def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with lang_pred and score; only ``text`` is an input of the prediction.
 
@@ -217,7 +207,7 @@ def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None
     at = columns.index("text") if "text" in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(key, langs, shared.value, path)
+        score = remembered(key, lambda: Scorer(langs, shared.value, path))
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import text_or_empty
+from plotline.llm.common import remembered, text_or_empty
 from plotline.llm.pieces import PieceTable
 from plotline.llm.tokens import public_path, slices
 
@@ -217,13 +217,8 @@ class Encoder:
         return [self.text(w) for w in words]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, n: int) -> Encoder:
-    if (path, n) not in _ENCODERS:
-        _ENCODERS[path, n] = Encoder(path, n)
-    return _ENCODERS[path, n]
+    return remembered(("nbest", path, n), lambda: Encoder(path, n))
 
 
 def segment(docs: DataFrame, *, n: int = N, model_path: str | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+from plotline.llm.common import remembered
+
 #: Chunks that a worker remembers, and the length beyond which it does not.
 CACHE_CHUNKS, CACHE_CHARS = 500_000, 64
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -109,15 +111,9 @@ class ChunkEncoder(dict):
         return [b"".join(map(self.__getitem__, self.cut(t))) for t in texts]
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, cut) -> ChunkEncoder:
     """The worker's encoder for this vocabulary."""
-    key = path, cut.__name__
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, cut)
-    return _ENCODERS[key]
+    return remembered(("tokens", path, cut.__name__), lambda: ChunkEncoder(path, cut))
 
 
 def slices(sizes: list[int], most: int = 2_000_000):
