@@ -84,8 +84,8 @@ def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of its component, for the nodes of ``edges`` (a, b).
 
-    Alternating large-star and small-star: each node hands its larger neighbours to its smallest one, then all its
-    neighbours to the smallest, until nothing changes. Every round is checkpointed; a star's centre aggregates its minimum
+    Alternating small-star and large-star: each node hands its smaller neighbours to the smallest of them, which drops most
+    of the links in a dense group, then its larger neighbours, until nothing changes. Every round is checkpointed; a star's centre aggregates its minimum
     before it is shuffled, and no neighbour list is gathered.
     """
 
@@ -109,7 +109,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     now = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     was = state(now)
     for _ in range(rounds):
-        now = durable(small(large(now)))
+        now = durable(large(small(now)))
         if (found := state(now)) == was:
             break
         was = found
