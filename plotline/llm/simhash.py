@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import durable, text_or_empty
+from plotline.llm.common import durable, shared_path, text_or_empty
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 2, 3
 
@@ -137,8 +137,14 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
 
 #: For texts that are similar, not nearly equal: so many fingerprints of so many bits each, of the distinct word pairs.
 TABLES, TABLE_BITS, PAIR_SHINGLE = 6, 32, 2
-#: Bits that may differ over all tables: a fingerprint angle at which sets of equal size have a Jaccard similarity of 0.8.
+#: Bits over all tables within which what meets is verified first.
 MAX_DISTANCE = 29
+#: Texts are similar whose sets of so many words have a Jaccard similarity of NEAR / OF or more.
+GRAM, NEAR, OF = 5, 4, 5
+#: One text in SAMPLE is asked which shingles are common, at more than COMMON heads of these; it sets their order, not the results.
+SAMPLE, COMMON = 8, 12
+#: Bits of the filter that spares most of the texts that no candidate pair names a shuffle.
+FILTER_BITS = 1 << 22
 
 
 def _wide(text: str, shingle: int = PAIR_SHINGLE) -> np.ndarray:
@@ -157,49 +163,211 @@ def _wide(text: str, shingle: int = PAIR_SHINGLE) -> np.ndarray:
     return np.packbits(2 * ones > len(items)).view("<i8")
 
 
+def _grams(text: str) -> frozenset[bytes]:
+    """The distinct five-word shingles of a text; of a shorter one, the text."""
+    words = text.encode().lower().split()
+    n = len(words) - GRAM + 1
+    return frozenset(b" ".join(words[i : i + GRAM]) for i in range(max(n, 1))) if words else frozenset()
+
+
+def _gram_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of ``_grams(text)``, ascending: the words' hashes, combined and mixed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    words = np.array([h(w, SEED) for w in text.encode().lower().split()], np.uint64)
+    if not len(words):
+        return words
+    n = max(len(words) - GRAM + 1, 1)
+    mixed = np.full(n, len(words[:GRAM]), np.uint64)
+    for k in range(min(GRAM, len(words))):
+        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
+
+
+def _key(hashes: np.ndarray) -> int:
+    import xxhash
+
+    k = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits as four signed integers: whether an odd number of the shingles falls on each. Two texts differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(8)).astype(np.int64) & 255, minlength=256) & 1).view("<i8")
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, f0, f1, f2 of every whole text of ``docs``."""
+    """doc_id, key, f0, f1, f2, p0 to p3 of every whole text of ``docs``; texts of the same five-word shingles have the same key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[["doc_id"]].copy()
+            hashes = [_gram_hashes(t) for t in pdf["text"]]
+            out["key"] = np.array([_key(x) for x in hashes], np.int64)
             f = np.array([_wide(t) for t in pdf["text"]], np.int64).reshape(-1, 3)
             out["f0"], out["f1"], out["f2"] = f[:, 0], f[:, 1], f[:, 2]
+            p = np.array([_parity(x) for x in hashes], np.int64).reshape(-1, 4)
+            out["p0"], out["p1"], out["p2"], out["p3"] = p.T
             yield out
 
     ids = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, f0 long, f1 long, f2 long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, key long, f0 long, f1 long, f2 long, p0 long, p1 long, p2 long, p3 long")
 
 
-def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, component_id for every row of ``docs``: groups of texts whose fingerprints tell a similarity of 0.8 or more.
+def heads(docs: DataFrame, common: dict[int, int]) -> DataFrame:
+    """key, gram, pos, size: the head of every text's shingles, rare ones first.
+
+    In any one order of all shingles, two texts at 0.8 or more share a shingle among the first fifth (and one) of each.
+    ``common`` (shingle: texts) goes last, the most common at the end; the rest is ordered by hash.
+    """
+    grams = np.array(sorted(common), np.uint64)
+    counts = np.array([common[g] for g in sorted(common)], np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                keys, found, places, sizes = [], [], [], []
+                for text in pdf["text"].iloc[at : at + 500]:
+                    hashes = _gram_hashes(text)
+                    n = len(hashes)
+                    if not n:
+                        continue
+                    key, k = _key(hashes), n - -(-n * NEAR // OF) + 1
+                    if len(grams):
+                        i = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+                        hashes = hashes[np.argsort(np.where(grams[i] == hashes, counts[i], 0), kind="stable")]
+                    keys.append(np.full(k, key, np.int64))
+                    found.append(hashes[:k].view(np.int64))
+                    places.append(np.arange(k, dtype=np.int32))
+                    sizes.append(np.full(k, n, np.int32))
+                if keys:
+                    yield pd.DataFrame({"key": np.concatenate(keys), "gram": np.concatenate(found), "pos": np.concatenate(places), "size": np.concatenate(sizes)})
+
+    return docs.select(text_or_empty().alias("text")).mapInPandas(run, "key long, gram long, pos int, size int")
+
+
+def _can_be_near(pos, size, pos2, size2):
+    """Whether texts whose first common shingle has these places can share enough: 0.8 of the union is 4/9 of both sizes."""
+    return (F.least(size - pos, size2 - pos2) * (NEAR + OF) >= (size + size2) * NEAR) & (F.least(size, size2) * OF >= F.greatest(size, size2) * NEAR)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys) whose ``texts`` (key, text) have a five-word similarity of 0.8 or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = lru_cache(maxsize=64)(_grams)
+        for pdf in batches:
+            near = []
+            for x, y in zip(pdf["s"], pdf["t"], strict=True):
+                x, y = grams(x), grams(y)
+                near.append((NEAR + OF) * len(x & y) >= NEAR * (len(x) + len(y)))
+            yield pdf[["a", "b"]][near]
 
-    One 64-bit fingerprint within two bits finds copies with a word or two changed; texts at a similarity of 0.8 differ in some
-    ten bits, too far for ball hashing. So the fingerprint is 192 bits in six tables of 32: each table is searched by ball
-    hashing within two bits, and what meets is verified on all 192. Of those that meet in a variant, each is compared with
-    the first, and with the one before it where the first looks far; so links grow with the rows and not with their pairs.
+    of = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
+    return of.select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
 
-    Null and wordless texts are one group. Rows of the same doc_id each get a row. An empty table gives no row.
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """key, text for ``ids`` (key, doc_id): each key's text, written once to the shared folder."""
+
+    def slot():
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS))
+
+    words = ids.select(slot().alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    held[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    ones = np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "text"]][ones[pdf["at"].to_numpy(np.int64)]]
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["key", "text"]][[_key(_gram_hashes(t)) == k for t, k in zip(pdf["text"], pdf["key"], strict=True)]]
+
+    kind = dict(docs.dtypes)["doc_id"]
+    some = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"), slot().alias("at")).mapInPandas(named, f"doc_id {kind}, text string")
+    return written(some.join(ids, "doc_id").select("key", "text").mapInPandas(own, "key long, text string"), "similar-texts").dropDuplicates(["key"])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder: less disk than a checkpoint."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def simhash_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """a, b: keys of ``nodes`` (key, f0, f1, f2) that meet in a variant of a table within two bits and are near on all 192.
+
+    Of those that meet, each is tried with the first, and with the one before it where the first looks far.
     """
     if TABLES * TABLE_BITS != 192:
         raise ValueError("the tables share 192 bits")
-    prints = durable(wide_fingerprints(docs))
-    nodes = durable(prints.groupBy("f0", "f1", "f2").agg(F.min("doc_id").cast("long").alias("node")))
     half = (1 << TABLE_BITS) - 1
     tables = F.array(*[F.shiftright(F.col(f"f{i // 2}"), TABLE_BITS * (i % 2)).bitwiseAND(F.lit(half)) + F.lit(i << TABLE_BITS) for i in range(TABLES)])
     ball = F.array(*[F.lit(m) for m in masks(1, TABLE_BITS)])
-    emitted = nodes.where("node is not null").select("node", "f0", F.explode(tables).alias("part")).select("node", "f0", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
-    bucket = Window.partitionBy("variant").orderBy("node")
-    met = emitted.select("node", "f0", F.lag("node").over(bucket).alias("before"), F.first("node").over(bucket).alias("first"), F.first("f0").over(bucket).alias("g0")).where("before is not null")
+    emitted = nodes.select("key", "f0", F.explode(tables).alias("part")).select("key", "f0", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
+    bucket = Window.partitionBy("variant").orderBy("key")
+    met = emitted.select("key", "f0", F.lag("key").over(bucket).alias("before"), F.first("key").over(bucket).alias("first"), F.first("f0").over(bucket).alias("g0")).where("before is not null")
     near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= max_distance // 3
-    pairs = met.select("node", F.explode(F.when(near, F.array("first")).otherwise(F.array_distinct(F.array("before", "first")))).alias("other")).distinct()
-    left = nodes.select("node", "f0", "f1", "f2")
-    right = nodes.select(F.col("node").alias("other"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(3)])
+    pairs = met.select("key", F.explode(F.when(near, F.array("first")).otherwise(F.array_distinct(F.array("before", "first")))).alias("other")).distinct()
+    right = nodes.select(F.col("key").alias("other"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(3)])
     distance = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(3)), F.lit(0))
-    edges = pairs.join(left, "node").join(right, "other").where(distance <= max_distance).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return pairs.join(nodes, "key").join(right, "other").where(distance <= max_distance).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+
+
+def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, component_id for every row of ``docs``: texts that links of a five-word similarity of 0.8 or more join.
+
+    Every link is verified on the texts, and no pair at 0.8 or more in different groups is left out:
+
+    1. SimHash of 192 bits in six tables of 32 finds most near copies by ball hashing; links grow with the rows.
+    2. Texts at 0.8 or more share a shingle at their heads (``heads``), whatever their fingerprints. Of those that
+       share one, each is tried with the first and the one before it.
+    3. Of those that share one and are not yet in one group, every pair is tried whose sizes, places and parities admit 0.8;
+       these bounds never refuse a pair at 0.8.
+
+    Exact but for chance collisions of 64-bit hashes. Null and wordless texts are one group. Rows of the same doc_id each get a
+    row. An empty table gives no row.
+    """
+    parity = [f"p{i}" for i in range(4)]
+    prints = durable(wide_fingerprints(docs))
+    nodes = prints.groupBy("key").agg(*[F.min(x).alias(x) for x in ("doc_id", "f0", "f1", "f2", *parity)])
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    common = heads(sample, {}).groupBy("gram").count().where(F.col("count") > COMMON).collect()
+    of_gram = Window.partitionBy("gram").orderBy("key")
+    rows = heads(docs, {r["gram"] % (1 << 64): r["count"] for r in common}).withColumn("last", F.lag("key").over(of_gram)).where("last is null or last <> key")
+    here = F.struct("key", "pos", "size")
+    shared = rows.select("gram", "key", "pos", "size", F.lag(here).over(of_gram).alias("before"), F.first(here).over(of_gram).alias("first"), F.lead("key").over(of_gram).alias("next"))
+    shared = written(shared.where("before is not null or next is not null").drop("next"), "similar-heads")
+    star = shared.where("before is not null").select("key", "pos", "size", F.explode(F.array_distinct(F.array("before", "first"))).alias("o"))
+    star = star.where(_can_be_near(F.col("pos"), F.col("size"), F.col("o.pos"), F.col("o.size"))).select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b"))
+    named = nodes.where("doc_id is not null")
+    tried = durable(simhash_pairs(named.select("key", "f0", "f1", "f2"), max_distance).union(star).distinct())
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return texts_of(docs, durable(named.join(keys, "key", "left_semi").select("key", "doc_id")))
+
+    edges = durable(verified(tried, texts(tried)))
     parts = components(edges)
-    of_print = nodes.join(parts, "node", "left").select("f0", "f1", "f2", F.coalesce("label", "node").alias("component_id"))
-    return prints.join(of_print, ["f0", "f1", "f2"]).select("doc_id", "component_id")
+    member = shared.select("gram", "key", "pos", "size").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("label", "key")).drop("label")
+    apart = member.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gram")
+    member = member.join(apart, "gram", "left_semi").join(nodes.select("key", *parity), "key")
+    member = written(member, "similar-members")
+    other = member.select("gram", *[F.col(x).alias(f"{x}_2") for x in ("part", "key", "pos", "size", *parity)])
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in parity), F.lit(0))
+    admits = _can_be_near(F.col("pos"), F.col("size"), F.col("pos_2"), F.col("size_2")) & (differ * (NEAR + OF) <= (F.col("size") + F.col("size_2")) * (OF - NEAR))
+    met = member.join(other, "gram").where((F.col("part") < F.col("part_2")) & admits)
+    rest = met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = durable(rest)
+    parts = components(edges.union(verified(rest, texts(rest))))
+    labelled = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
+    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return prints.select("doc_id", "key").join(labelled.drop("doc_id").join(lowest, "label"), "key").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:

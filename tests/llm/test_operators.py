@@ -347,6 +347,59 @@ def test_similar_groups(spark):
     assert 31 <= simhash.drop_similar(df).count() <= 35
 
 
+def brute_groups(texts):
+    """Smallest index of each text's group: links at a five-word similarity of 0.8 or more, followed."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_similar_groups_interleaved(spark):
+    from plotline.llm import simhash
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(words) for _ in range(150)]
+    families = [[rng.choice(words) for _ in range(60)] for _ in range(5)]
+    texts = []
+    for _ in range(24):  # families with one passage, one after another by doc_id
+        for f in families:
+            own = list(f)
+            own[rng.randrange(60)] = rng.choice(words)
+            texts.append(" ".join(shared + own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_similar_groups_block_and_scattered_edits(spark):
+    from plotline.llm import simhash
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        texts.append(" ".join(base))
+        texts.append(" ".join(base + [rng.choice(words) for _ in range(70)]))  # 0.81
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        copy = list(base)
+        for i in rng.sample(range(300), 13):
+            copy[i] = rng.choice(words)
+        texts += [" ".join(base), " ".join(copy)]  # about 0.65
+    want = brute_groups(texts)
+    assert sum(want[i] < i for i in range(120)) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_html(spark):
     from plotline.llm import html_extract as h
 
