@@ -421,6 +421,17 @@ def test_html(spark):
     assert "(<p>#)+" in h.expression(wrapper) and "|" not in h.expression(wrapper)
 
 
+def test_html_long_texts_with_one_start(spark):
+    from plotline.llm import html_extract as h
+
+    lead = "The standing lead of this host, word for word the same on every page. " * 4
+    page = "<html><body><div class='x'><h1>Host notice</h1></div><div class='y'><p>{}</p></div><div class='z'><h2>{}</h2></div></body></html>"
+    data = [(i, f"https://a.example/{i}", page.format(f"{lead}Then number {i} goes its own way.", f"Other text {i}")) for i in range(6)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(df).collect()}
+    assert all(got[i] == f"{lead}Then number {i} goes its own way. Other text {i}" for i in range(6))
+
+
 def test_pipeline(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
