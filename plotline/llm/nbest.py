@@ -6,7 +6,7 @@ therefore yields segmentations in the order of their scores and expands little e
 
 No piece has a word mark after another character, so a lattice falls apart into those of its words: the N best of a text
 take the best of every word but for the few words whose second best costs least. Viterbi passes run over all new words
-at a time in numpy; only words that a text's N best may change are searched.
+of near lengths at a time in numpy; only words that a text's N best may change are searched.
 
 A vocabulary of merges has ranks but no probabilities; a piece's score is the logarithm of a Zipf law over its rank. Characters
 without a piece are spelt in byte pieces at a fixed penalty, so decoding gives back every text.
@@ -18,9 +18,10 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +71,19 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def spelling(ids: bytes, v: Vocabulary) -> bytes:
+    """The bytes that packed piece ids spell."""
+    return b"".join(v.spelling[np.frombuffer(ids, "<u4")].tolist())
+
+
+def unmarked(spelt: bytes) -> str:
+    """The text of what a whole text's ids spell."""
+    return spelt.decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
+
+
 def decode(ids: list[int] | np.ndarray, v: Vocabulary) -> str:
     """The text of piece ids."""
-    joined = b"".join(v.spelling[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "surrogatepass")
-    return joined.replace(MARK, " ")[1:]
+    return unmarked(spelling(np.asarray(ids, "<u4").tobytes(), v))
 
 
 def a_star(word: str, v: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
@@ -107,54 +117,82 @@ def a_star(word: str, v: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
     return out
 
 
-def viterbi(words: list[str], v: Vocabulary) -> list[tuple[float, float, bytes]]:
-    """Of words of one length: best score, cost of the second best segmentation, ids of the best."""
-    edges = v.table.edges(words)
+def viterbi(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of words of about one length: best scores, costs of the second best segmentations, ids of the best.
+
+    Shorter words are filled up; a word is read up to its own end, so what fills it takes no part.
+    """
+    sizes_of = np.fromiter(map(len, words), np.int64, len(words))
+    longest = int(sizes_of.max())
+    edges = v.table.edges([w.ljust(longest) for w in words])
     n, length = edges[0][1].shape
     rows = np.arange(n)
     front, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
-    came = np.zeros((length + 1, n), np.int32)  # index of the edge length
-    front[0] = back[length] = 0.0
-    scores = [v.score[np.ascontiguousarray(ids.T)] for _, ids in edges]  # by place
+    came = np.zeros((length + 1, n), np.int8)  # index of the edge length
+    front[0] = back[sizes_of, rows] = 0.0
+    ids_at = [np.ascontiguousarray(ids.T) for _, ids in edges]  # by place
+    scores = [v.score[x] for x in ids_at]
     for j in range(1, length + 1):
+        best, way = front[j], came[j]
+        for e, (k, _) in enumerate(edges):
+            if k > j:
+                break
+            x = front[j - k] + scores[e][j - k]
+            better = x > best
+            np.copyto(best, x, where=better)
+            np.copyto(way, e, where=better)
+    for i in range(length - 1, -1, -1):
         for e, (k, _) in enumerate(edges):
-            if k <= j:
-                x = front[j - k] + scores[e][j - k]
-                better = x > front[j]
-                np.copyto(front[j], x, where=better)
-                np.copyto(came[j], e, where=better)
-                np.maximum(back[length - j], back[length - j + k] + scores[e][length - j], out=back[length - j])
+            if i + k > length:
+                break
+            np.maximum(back[i], back[i + k] + scores[e][i], out=back[i])
     # walk back: which edges the best path takes
     sizes = np.array([k for k, _ in edges])
     taken = [np.zeros((length - k + 1, n), bool) for k, _ in edges]
-    steps: list[np.ndarray] = []
-    place = np.full(n, length)
-    while (live := place > 0).any():
+    paths: list[np.ndarray] = []
+    place, live = sizes_of.copy(), rows
+    while live.size:
         step = np.full(n, -1)
-        for e, (k, ids) in enumerate(edges):
-            on = rows[live & (came[place, rows] == e)]
-            step[on] = ids[on, place[on] - k]
-            taken[e][place[on] - k, on] = True
-        steps.append(step)
-        place = np.where(live, place - sizes[came[place, rows]], 0)
+        edge = came[place[live], live]
+        for e in np.unique(edge).tolist():
+            on = live[edge == e]
+            at = place[on] - sizes[e]
+            step[on] = ids_at[e][at, on]
+            taken[e][at, on] = True
+            place[on] = at
+        paths.append(step)
+        live = live[place[live] > 0]
     second = np.full(n, -np.inf)
     for e, (k, _) in enumerate(edges):
         for i in range(length - k + 1):
-            x = front[i] + scores[e][i] + back[i + k]
-            np.maximum(second, x, out=second, where=~taken[e][i])
+            np.maximum(second, front[i] + scores[e][i] + back[i + k], out=second, where=~taken[e][i])
+    top = front[sizes_of, rows]
+    gap = np.where(np.isneginf(second), np.inf, np.maximum(top - second, 0.0))
+    path = np.array(paths[::-1]).T
+    held = path >= 0
+    flat, ends = path[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
+    found = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     size = len(v.pieces)
-    out = []
-    paths = np.array(steps[::-1]).T
-    for w, path, top, gap in zip(words, paths, front[length].tolist(), (front[length] - second).tolist(), strict=True):
-        ids = path[path >= 0]
-        if (ids == size).any():
-            found, at = [], 0
-            for i in ids.tolist():
-                found += v.spelt(w[at]) if i == size else [i]
-                at += 1 if i == size else len(v.pieces[i])
-            ids = np.array(found)
-        out.append((top, max(gap, 0.0), ids.astype("<u4").tobytes()))
-    return out
+    for w in np.flatnonzero((path == size).any(axis=1)).tolist():  # characters without a piece
+        spelt, at = [], 0
+        for i in path[w][held[w]].tolist():
+            spelt += v.spelt(words[w][at]) if i == size else [i]
+            at += 1 if i == size else len(v.pieces[i])
+        found[w] = np.array(spelt, "<u4").tobytes()
+    return top, gap, found
+
+
+class Words:
+    """What is known of words: their rows, and by row the best score, the cost of the second best, and the best ids."""
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.top, self.gap, self.ids = np.zeros(0), np.zeros(0), []
+
+    def add(self, words: list[str], top: np.ndarray, gap: np.ndarray, ids: list[bytes]) -> None:
+        self.row.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        self.top, self.gap = np.append(self.top, top), np.append(self.gap, gap)
+        self.ids += ids
 
 
 class Encoder:
@@ -162,59 +200,80 @@ class Encoder:
 
     def __init__(self, path: str, n: int):
         self.v, self.n = vocabulary(path), n
-        self.best: dict[str, tuple[float, float, bytes]] = {}
-        self.older: dict[str, tuple[float, float, bytes]] = {}  # not seen for a generation
+        self.known, self.older = Words(), Words()  # the older not seen for a generation
         self.search: dict[str, list[tuple[float, bytes]]] = {}
 
     def learn(self, words: list[str]) -> None:
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
-        for size, group in groups.items():
-            step = max(1, 300_000 // size)
-            for i in range(0, len(group), step):
-                part = group[i : i + step]
-                self.best.update(zip(part, viterbi(part, self.v), strict=True))
-
-    def others(self, word: str) -> list[tuple[float, bytes]]:
+        """Words of near lengths are filled up to one length and go through one lattice."""
+        words = sorted(words, key=len)
+        at = 0
+        while at < len(words):
+            most = len(words[at]) + len(words[at]) // 6
+            stop = at + 1
+            while stop < len(words) and len(words[stop]) <= most and (stop - at) * len(words[stop]) < 400_000:
+                stop += 1
+            self.known.add(words[at:stop], *viterbi(words[at:stop], self.v))
+            at = stop
+
+    def others(self, word: str, row: int) -> list[tuple[float, bytes]]:
         """(cost, ids) of the word's next best segmentations."""
         if word not in self.search:
             if len(self.search) > CACHE_WORDS:
                 self.search.clear()
-            top, _, best = self.best[word]
+            top, best = float(self.known.top[row]), self.known.ids[row]
             found = [(s, np.array(ids, "<u4").tobytes()) for s, ids in a_star(word, self.v, self.n)]
             self.search[word] = [(max(0.0, top - s), ids) for s, ids in found if ids != best][: self.n - 1]
         return self.search[word]
 
-    def text(self, words: list[str]) -> list[tuple[float, bytes]]:
-        """(score, ids) of the N best segmentations of a text, best first."""
-        known = [self.best[w] for w in words]
-        total = sum(x[0] for x in known)
-        gaps = [x[1] for x in known]
+    def text(self, words: list[str], rows: np.ndarray) -> list[tuple[float, bytes, str]]:
+        """(score, ids, decoded text) of the N best segmentations of a text, best first.
+
+        They differ in the words of ``change`` alone; what stands between these is joined and decoded once.
+        """
+        gaps = self.known.gap[rows]
+        total = float(self.known.top[rows].sum())
         # a segmentation that changes any other word costs no less than each of these alone
-        change = heapq.nsmallest(self.n - 1, range(len(words)), key=gaps.__getitem__)
+        few = min(self.n - 1, len(words))
+        change = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if few else np.zeros(0, np.int64)
+        change = change[np.argsort(gaps[change], kind="stable")[:few]].tolist()
         combined: list[tuple[float, tuple]] = [(0.0, ())]
         for at in change:
             if gaps[at] < np.inf:
-                more = [(c + d, (*how, (at, ids))) for c, how in combined for d, ids in self.others(words[at])]
+                more = [(c + d, (*how, (at, ids))) for c, how in combined for d, ids in self.others(words[at], rows[at])]
                 combined = heapq.nsmallest(self.n, combined + more, key=lambda x: x[0])
+        places = sorted({at for _, how in combined for at, _ in how})
+        ids = [self.known.ids[i] for i in rows.tolist()]
+        parts: list[bytes] = []  # between the places, and each place's best
+        start = 0
+        for at in places:
+            parts += [b"".join(ids[start:at]), ids[at]]
+            start = at + 1
+        parts.append(b"".join(ids[start:]))
+        spelt = [spelling(x, self.v) for x in parts]
+        index = {at: 2 * k + 1 for k, at in enumerate(places)}
         out = []
         for cost, how in combined:
-            ids = [x[2] for x in known]
+            these, letters = list(parts), list(spelt)
             for at, other in how:
-                ids[at] = other
-            out.append((total - cost, b"".join(ids)))
+                these[index[at]], letters[index[at]] = other, spelling(other, self.v)
+            out.append((total - cost, b"".join(these), unmarked(b"".join(letters))))
         return out
 
-    def __call__(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+    def __call__(self, texts: list[str]) -> list[list[tuple[float, bytes, str]]]:
         words = [_WORDS.findall(marked(t)) for t in texts]
-        used = set().union(*words)
-        new = used - self.best.keys()
-        if len(self.best) + len(new) > CACHE_WORDS:
-            self.best, self.older = {w: self.best[w] for w in used & self.best.keys()}, self.best
-        self.best.update((w, self.older[w]) for w in new & self.older.keys())
-        self.learn(sorted(new - self.older.keys()))
-        return [self.text(w) for w in words]
+        flat = list(chain.from_iterable(words))
+        used = set(flat)
+        if len(self.known.row) + len(used) > CACHE_WORDS:
+            self.known, self.older = Words(), self.known
+        new = used - self.known.row.keys()
+        if back := [w for w in new if w in self.older.row]:
+            rows = np.array([self.older.row[w] for w in back])
+            self.known.add(back, self.older.top[rows], self.older.gap[rows], [self.older.ids[i] for i in rows.tolist()])
+            new.difference_update(back)
+        self.learn(sorted(new))
+        rows = np.fromiter(map(self.known.row.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum([len(w) for w in words]).tolist()
+        return [self.text(w, rows[end - len(w) : end]) for w, end in zip(words, ends, strict=True)]
 
 
 def encoder(path: str, n: int) -> Encoder:
@@ -229,18 +288,17 @@ def segment(docs: DataFrame, *, n: int = N, model_path: str | None = None) -> Da
     """
     path = model_path or public_path("piece_bpe_32k.model")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, n)
-        for pdf in batches:
-            docs_, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts]):
-                rows = []
-                for d, t, found in zip(docs_[a:b], texts[a:b], encode(texts[a:b]), strict=True):
-                    for rank, (score, ids) in enumerate(found, 1):
-                        rows.append((d, rank, score, ids, decode(np.frombuffer(ids, "<u4"), encode.v)))
-                out = pd.DataFrame(rows, columns=["doc_id", "rank", "score", "ids", "decoded"])
-                if len(out):
-                    yield out
+                found = encode(texts[a:b])
+                of = pa.array(np.repeat(np.arange(a, b), [len(x) for x in found]))
+                rows = [(rank, *x) for ranked in found for rank, x in enumerate(ranked, 1)]
+                rank, score, ids, decoded = zip(*rows, strict=True)
+                columns = [batch.column(0).take(of), pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rank", "score", "ids", "decoded"])
 
     ids = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, rank int, score double, ids binary, decoded string")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {ids}, rank int, score double, ids binary, decoded string")

@@ -158,8 +158,11 @@ def test_nbest_equals_brute_force(docs, empty):
     for _ in range(150):
         text = "".join(rng.choice("  theaéon世\n😀x") for _ in range(rng.randint(0, 9)))
         got, want = encode([text])[0], sorted(brute(nbest.marked(text)), reverse=True)[:4]
-        assert np.allclose([s for s, _ in got], want) and len({i for _, i in got}) == len(got)
-        assert all(nbest.decode(np.frombuffer(i, "<u4"), v) == text for _, i in got)
+        assert np.allclose([s for s, *_ in got], want) and len({i for _, i, _ in got}) == len(got)
+        assert all(nbest.decode(np.frombuffer(i, "<u4"), v) == text == t for _, i, t in got)
+    words = ["▁" + "".join(rng.choice("theaéon世\n😀xabcs") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    together, alone = nbest.viterbi(words, v), [nbest.viterbi([w], v) for w in words]  # filled up to one length, or not
+    assert all(np.allclose(a, np.concatenate([x[k] for x in alone])) for k, a in enumerate(together[:2])) and together[2] == [x[2][0] for x in alone]
     found = nbest.segment(docs).toPandas()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(texts[d] == t for d, t in zip(found.doc_id, found.decoded)) and found[found.doc_id == 60].score.tolist() == [0.0]
