@@ -13,10 +13,12 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, one machine's session gets a temporary one; a cluster none."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -34,10 +36,52 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as Parquet in the shared folder: less disk than a checkpoint."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows, as they are written, up to which one side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def attached(big: DataFrame, small: DataFrame, keys: list[str], *, most: int | None = None) -> DataFrame:
+    """``big`` left-joined with ``small``, a ``written`` table of one row for each value of ``keys``.
+
+    The files of ``small`` are measured: up to ``BROADCAST_BYTES`` they are broadcast. Beyond, a key may have a third of ``big``:
+    both are joined by key and salt, as many salts as shuffle partitions for the keys that have more than a task's share of the rows, one for others.
+    """
+    spark = big.sparkSession
+    files = small.inputFiles()
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else 0
+    if size <= (BROADCAST_BYTES if most is None else most):
+        return big.join(F.broadcast(small), keys, "left")
+    n = shuffle_partitions(spark)
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.join(counts.agg((F.sum("_n") / n).alias("_share")), F.col("_n") > F.col("_share")).select(*keys)  # fewer than n
+    hot = F.broadcast(durable(hot).withColumn("_salts", F.lit(n)))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int")).drop("_salts")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_as_text(docs: DataFrame, *columns: str, name: str = "doc_id") -> DataFrame:
+    """``name`` as a string and ``columns``: pandas would turn integers beside a null into doubles. See ``id_restored``."""
+    return docs.select(F.col(name).cast("string").alias(name), *columns)
+
+
+def id_restored(found: DataFrame, docs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``found`` with ``name`` of the type that it has in ``docs``."""
+    return found.withColumn(name, F.col(name).cast(docs.schema[name].dataType))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

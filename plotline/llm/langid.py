@@ -28,14 +28,15 @@ UNDETERMINED = "und"
 WORD_START = "▁"
 #: Probability of a character that no piece covers, and of a piece unseen in a language.
 UNKNOWN_P, FLOOR_P = 1e-7, 1e-9
-#: Rows per language that training reads, in expectation; words beyond this length are not trained on.
-TRAIN_ROWS, TRAIN_WORD = 2000, 40
+#: Rows per language that training reads, in expectation.
+TRAIN_ROWS = 2000
 EM_ROUNDS = 3
 #: Texts that are scored at a time.
 SLICE_ROWS = 300
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters (general category L), as ``\\p{L}+`` in Spark: alphanumeric characters that are no number.
+_WORD = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal())) + "]+")
 
 
 def default_vocabulary() -> str:
@@ -93,26 +94,25 @@ def fit_language(words: list[str], counts: np.ndarray, path: str, rounds: int =
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     data = [(lattice([words[i] for i in at], path), counts[at]) for at in groups.values()]
-    # start: each word's count on every edge of its lattice, longer pieces first
-    p = np.full(size + 2, 1.0 / size)
-    p[size], p[size + 1] = UNKNOWN_P, 0.0
+    # logarithms: a word may be as long as a text
+    p = np.full(size + 2, -np.log(size))
+    p[size], p[size + 1] = np.log(UNKNOWN_P), -np.inf
     for _ in range(rounds):
         gathered = np.zeros(size + 2)
         for edges, weight in data:
             n, length = edges[0][1].shape
-            alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-            alpha[0] = beta[length] = 1.0
+            alpha, beta = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+            alpha[0] = beta[length] = 0.0
             for j in range(1, length + 1):
                 for k, ids in edges:
                     if k <= j:
-                        alpha[j] += alpha[j - k] * p[ids[:, j - k]]
-                        beta[length - j] += beta[length - j + k] * p[ids[:, length - j]]
-            share = weight / alpha[length]
+                        np.logaddexp(alpha[j], alpha[j - k] + p[ids[:, j - k]], out=alpha[j])
+                        np.logaddexp(beta[length - j], beta[length - j + k] + p[ids[:, length - j]], out=beta[length - j])
             for k, ids in edges:
                 for i in range(length - k + 1):
-                    gathered += np.bincount(ids[:, i] % (size + 2), alpha[i] * p[ids[:, i]] * beta[i + k] * share, size + 2)
-        p[:size] = np.maximum((gathered[:size] + 0.01) / (gathered[:size].sum() + 0.01 * size), FLOOR_P)
-    return p
+                    gathered += np.bincount(ids[:, i] % (size + 2), weight * np.exp(alpha[i] + p[ids[:, i]] + beta[i + k] - alpha[length]), size + 2)
+        p[:size] = np.log(np.maximum((gathered[:size] + 0.01) / (gathered[:size].sum() + 0.01 * size), FLOOR_P))
+    return np.exp(p)
 
 
 def train(labelled: DataFrame, *, vocabulary_path: str | None = None, rows_per_language: int = TRAIN_ROWS) -> pd.DataFrame:
@@ -131,7 +131,7 @@ def train(labelled: DataFrame, *, vocabulary_path: str | None = None, rows_per_l
     words = (
         rows.where(unit < F.element_at(share, F.col("lang")))
         .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .where(F.length("word").between(1, TRAIN_WORD))
+        .where("word <> ''")
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
     )
@@ -190,14 +190,9 @@ class Scorer:
         return lang.tolist(), score
 
 
-def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with lang_pred and score; only ``text`` is an input of the prediction.
-
-    Null texts and texts without a letter give ``und`` and 0. A column of ``docs`` named lang_pred or score is replaced.
-    Whole texts are read, some hundred at a time; no shuffle.
-    """
+def _scored(docs: DataFrame, model: pd.DataFrame, columns: list[str], vocabulary_path: str | None = None) -> DataFrame:
+    """``columns`` of ``docs`` by place as c0, c1 and so on, with lang_pred and score. Whole texts are read, some hundred at a time; no shuffle."""
     path = vocabulary_path or default_vocabulary()
-    columns = [c for c in (columns or docs.columns) if c not in ("lang_pred", "score")]
     langs = model["lang"].tolist()
     table = np.array(model["p"].tolist(), dtype=float).T if langs else np.zeros((1, 0))
     table[-1] = 0.0
@@ -217,8 +212,17 @@ def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None
 
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
+    return given.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: pd.DataFrame, *, vocabulary_path: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with lang_pred and score; only ``text`` is an input of the prediction.
+
+    Null texts and texts without a letter give ``und`` and 0. A column of ``docs`` named lang_pred or score is replaced. Repeated
+    rows each get a row; an empty table gives none.
+    """
+    columns = [c for c in (columns or docs.columns) if c not in ("lang_pred", "score")]
+    return _scored(docs, model, columns, vocabulary_path).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -239,9 +243,11 @@ def identify(docs: DataFrame, *, rows_per_language: int = TRAIN_ROWS, vocabulary
 
 
 def keep_identified(docs: DataFrame, *, min_score: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``min_score``; columns as given."""
+    """The rows of ``docs`` whose language is determined with at least ``min_score``; columns as given, whatever their names.
+
+    Rows with null text, or without a letter, go. Repeated rows stay together. An empty table, or one without labels, gives no row.
+    """
     out = F.coalesce(held_out(), F.lit(False))
     model = train(docs.where(~out), **options)
-    scored = predict(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
-    kept = scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    kept = _scored(docs, model, docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
