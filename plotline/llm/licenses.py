@@ -3,9 +3,10 @@
 A text block is any window of consecutive words, a quarter longer than the template it is compared with; it matches if it holds
 at least ``THRESHOLD`` of the template's words (as a multiset). The words of the templates are ordered by their frequency in the
 whole corpus, the rarest first. A matching block must hold one of a template's first few words in that order (prefix
-filter), be long enough for the overlap (length filter), and still have enough words to come after the first common one
-(positional filter); what is left is counted exactly. No matching window is missed. Beside the windows, fixed phrases are
-found where their words stand one after another.
+filter), and be long enough for the overlap where the text's ends cut it (length filter). Of a block whose first common word in
+that order is this one, only its words from there on in the order can be common: around the word some window must hold
+enough of them (positional filter). What is left is counted exactly. No matching window is missed: its first common word passes all
+three. Beside the windows, fixed phrases are found where their words stand one after another.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.llm.common import text_or_empty
+from plotline.llm.common import id_as_text, id_restored, text_or_empty
 
 THRESHOLD, SLACK = 0.9, 1.25
 #: Phrases that name a license by themselves.
@@ -63,18 +64,22 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD):
         self.items = []
-        self.by_prefix: dict[bytes, list[tuple[int, int]]] = {}
+        self.rank: list[dict[bytes, int]] = []
+        self.by_prefix: dict[bytes, list[int]] = {}
+        #: occurrences of prefix words that came to each filter
+        self.seen = {"prefix": 0, "length": 0, "positional": 0}
         for k, (label, text) in enumerate(templates):
             bag = Counter(words(text))
             order = sorted(bag, key=lambda w: (frequency.get(w, 0), w))
             size = bag.total()
             least = math.ceil(threshold * size - 1e-9)
             self.items.append((label, bag, size, least, max(least, math.ceil(SLACK * size))))
+            self.rank.append({w: i for i, w in enumerate(order)})
             passed = 0
             for w in order:
                 if size - passed < least:  # what is left after the rarer ones is too little
                     break
-                self.by_prefix.setdefault(w, []).append((k, passed))
+                self.by_prefix.setdefault(w, []).append(k)
                 passed += bag[w]
         self.prefix = frozenset(self.by_prefix)
 
@@ -84,10 +89,10 @@ class Templates:
             return []
         near: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(found):
-            for k, passed in self.by_prefix.get(w, ()):
+            for k in self.by_prefix.get(w, ()):
                 label, bag, size, least, window = self.items[k]
-                if len(found) >= least and size - passed >= least:
-                    low, high = max(0, i - window + 1), min(len(found), i + window)
+                low, high = max(0, i - window + 1), min(len(found), i + window)
+                if self._may_match(found, i, low, high, k):
                     spans = near.setdefault(k, [])
                     if spans and low <= spans[-1][1]:
                         spans[-1] = (spans[-1][0], max(spans[-1][1], high))
@@ -100,6 +105,26 @@ class Templates:
                 out += self._windows(found, low, high, label, bag, size, least, window)
         return out
 
+    def _may_match(self, found: list[bytes], i: int, low: int, high: int, k: int) -> bool:
+        """Whether a block of which found[i] is the first common word, in the order of all words, can match template ``k``."""
+        _, _, _, least, window = self.items[k]
+        self.seen["prefix"] += 1
+        if high - low < least:
+            return False
+        self.seen["length"] += 1
+        rank = self.rank[k]
+        first = rank[found[i]]
+        after = [rank.get(w, -1) >= first for w in found[low:high]]
+        now = sum(after[:window])
+        best = now
+        for j in range(window, len(after)):
+            now += after[j] - after[j - window]
+            best = max(best, now)
+        if best < least:
+            return False
+        self.seen["positional"] += 1
+        return True
+
     @staticmethod
     def _windows(found, low, high, label, bag, size, least, window) -> Iterator[Span]:
         have: Counter = Counter()
@@ -140,7 +165,10 @@ def phrase_places(found: list[bytes], phrases: dict[str, str] = PHRASES) -> list
 
 
 def word_frequency(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each word of ``vocabulary`` stands in the whole corpus; counted in the tasks, then summed."""
+    """How often each word of ``vocabulary`` stands in the whole corpus; counted in the tasks, then summed.
+
+    Null texts have no word, repeated rows count as often as they stand, and of an empty table all words are as rare.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -172,9 +200,8 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phras
                 spans.append([s._asdict() for s in table.spans(found)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n, "places": places, "spans": spans})
 
-    ids = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {ids}, n_words long, places array<struct<word long, label string>>, spans array<struct<label string, first_word long, n_words long, containment double>>"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, n_words long, places array<struct<word long, label string>>, spans array<struct<label string, first_word long, n_words long, containment double>>"
+    return id_restored(id_as_text(docs, text_or_empty().alias("text")).mapInPandas(run, schema), docs)
 
 
 def summary(scanned: DataFrame) -> DataFrame:
