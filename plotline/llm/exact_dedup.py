@@ -86,9 +86,20 @@ def duplicates(docs: DataFrame, *, bits: int = 64) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, *, bits: int = 64) -> DataFrame:
-    """One row of ``docs`` for each text, the one of the smallest doc_id; columns as given.
+    """One row of ``docs`` for each text, the one of the smallest doc_id; columns as given, whatever their names.
 
-    Rows repeated under one doc_id stay if theirs is the smallest and their text is the group's.
+    Rows without a doc_id come after all others. Of rows that repeat a text under one doc_id one stays; which one is open where
+    their other columns differ. Null texts are empty. An empty table gives no row.
+
+    Recipes decide; only then the rows are joined with what stays, by doc_id and digest of the text.
     """
-    keep = recipes(docs, bits=bits).groupBy("recipe").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "n")
+    same = recipes(docs, bits=bits).groupBy("recipe", "doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    stay = durable(same.groupBy("recipe").agg(F.min(alone).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.text_sha256").alias("digest"), F.col("x.n").alias("n")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(normalised(), 256).alias("digest"))
+    left = lambda of: rows.join(of, rows["id"].eqNullSafe(of["id"]) & (rows["digest"] == of["digest"]), "left_semi")
+    kept = left(stay)
+    if not stay.where("n > 1").isEmpty():  # of these one row each, taken before they are shuffled
+        once = left(stay.where("n > 1")).groupBy("id", "digest").agg(F.first("row").alias("row"))
+        kept = left(stay.where("n = 1")).unionByName(once.select("row", "id", "digest"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
