@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm import tokens
-from plotline.llm.common import shared_path, shuffle_partitions, text_or_empty
+from plotline.llm.common import id_as_text, shared_path, shuffle_partitions, text_or_empty
 
 BLOCK_IDS = 1 << 16
 SCHEMA = "shard int, block int, bits int, n_ids long, first long, doc_ids array<long>, doc_starts array<long>, payload binary"
@@ -95,7 +95,7 @@ def write(docs: DataFrame, path: str, *, tokenizer_path: str | None = None, cut=
         for pdf in batches:
             shard = int(pdf["shard"].iloc[0]) if len(pdf) else shard
             texts = pdf["text"].tolist()
-            ids = [None if d is None or d != d else int(d) for d in pdf["doc_id"].tolist()]
+            ids = [None if d is None else int(d) for d in pdf["doc_id"].tolist()]
             for a, b in tokens.slices([len(t) for t in texts]):
                 for d, x in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     held.append((d, x + end))
@@ -105,7 +105,7 @@ def write(docs: DataFrame, path: str, *, tokenizer_path: str | None = None, cut=
         if held:
             yield flush()
 
-    ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInPandas(run, SCHEMA).write.parquet(path)
+    id_as_text(ordered, "text", F.spark_partition_id().alias("shard")).mapInPandas(run, SCHEMA).write.parquet(path)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
@@ -124,13 +124,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack(r.payload, r.bits, 0, r.n_ids)
                 starts = np.asarray(r.doc_starts, dtype=np.int64)
                 stops = np.append(starts[1:], r.n_ids)
-                yield pd.DataFrame({"shard": r.shard, "doc_id": pd.array(list(r.doc_ids), dtype="Int64"), "at": r.first + starts, "n_tokens": stops - starts, "ids": [ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]})
+                yield pd.DataFrame({"shard": r.shard, "doc_id": list(r.doc_ids), "at": r.first + starts, "n_tokens": stops - starts, "ids": [ids[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]})
 
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    rows = blocks.mapInPandas(run, "shard int, doc_id long, at long, n_tokens long, ids binary")
+    named = blocks.withColumn("doc_ids", F.transform("doc_ids", lambda d: d.cast("string")))
+    rows = named.mapInPandas(run, "shard int, doc_id string, at long, n_tokens long, ids binary")
     # the number of shards is that of the writer's partitions
     placed = rows.join(F.broadcast(totals(spark, path)), "shard")
-    return placed.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def read_range(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:

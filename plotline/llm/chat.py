@@ -67,16 +67,12 @@ class Template:
         return out
 
 
-TURNS = "conv_id long, n int, role string, allowed boolean, last boolean, segments array<struct<text string, loss boolean>>"
+TURNS = "conv_id string, n int, role string, allowed boolean, last boolean, segments array<struct<text string, loss boolean>>"
 
 
 def ordered(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: turns of a conversation together and in order; ties by role and text, nulls first."""
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-
-def _conversations(pdf: pd.DataFrame) -> list:
-    return [None if x is None or x != x else int(x) for x in pdf["conv_id"]]
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def format_turns(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -93,7 +89,7 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
         held: list | None = None  # the row before, until it is known whether it is the last of its conversation
         for pdf in batches:
             out = []
-            for conv, role, text in zip(_conversations(pdf), pdf["role"], pdf["text"], strict=True):
+            for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
                 if held is not None:
                     held[4] = (conv,) != now
                     out.append(held)
@@ -108,48 +104,52 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
             held[4] = True
             yield _frame([held])
 
-    return ordered(turns).mapInPandas(run, TURNS)
+    found = ordered(turns).withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, TURNS)
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n", "role", "allowed", "last", "segments"])
-    out["conv_id"] = pd.array([r[0] for r in rows], dtype="Int64")
-    return out
+    return pd.DataFrame(rows, columns=["conv_id", "n", "role", "allowed", "last", "segments"])
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row for each conversation of ``format_turns``, from its segments alone.
+    """One row for each conversation of ``format_turns``, from conv_id and segments alone.
 
     conv_id, n_turns, turns_sha256 (role, line feed, text, line feed for each turn), loss_chars, loss_sha256 (unescaped text under the loss
-    mask), formatted_chars, valid (the machine accepts it). ``formatted`` is read as it streams, in its order.
+    mask), formatted_chars, valid (the machine accepts the roles that were read). ``formatted`` is read as it streams, in its order.
     """
     t = template or Template()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def new() -> list:
-            return [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]  # the last: whether the machine has allowed every turn
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
+        now: tuple = ()
+        x: list = []  # turns, digest, characters and digest under the mask, characters, whether every turn was allowed, state
+
+        def row() -> tuple:
+            return (*now, x[0], x[1].hexdigest(), x[2], x[3].hexdigest(), x[4], x[5] and x[6] in t.accepts)
 
-        x = new()
         for pdf in batches:
             out = []
-            for conv, allowed, last, segments in zip(_conversations(pdf), pdf["allowed"], pdf["last"], pdf["segments"], strict=True):
-                role = ""
-                x[5] = x[5] and bool(allowed)
+            for conv, segments in zip(pdf["conv_id"], pdf["segments"], strict=True):
+                if (conv,) != now:
+                    if now:
+                        out.append(row())
+                    now, x = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
                 for role, text in t.parse("".join(s["text"] for s in segments)):
                     x[0] += 1
                     x[1].update(f"{role}\n{text}\n".encode())
+                    x[6], allowed = t.step(x[6], role)
+                    x[5] = x[5] and allowed
                 for s in segments:
                     x[4] += len(s["text"])
                     if s["loss"]:
                         text = t.unescape(s["text"])
                         x[2] += len(text)
                         x[3].update(text.encode())
-                if last:
-                    out.append((conv, x[0], x[1].hexdigest(), x[2], x[3].hexdigest(), x[4], x[5] and role in t.accepts))
-                    x = new()
             if out:
-                frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
-                frame["conv_id"] = pd.array([r[0] for r in out], dtype="Int64")
-                yield frame
+                yield pd.DataFrame(out, columns=names)
+        if now:
+            yield pd.DataFrame([row()], columns=names)
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    found = formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "segments").mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))

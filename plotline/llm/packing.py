@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.llm import tokens
-from plotline.llm.common import durable, text_or_empty
+from plotline.llm.common import durable, id_as_text, id_restored, text_or_empty
 
 CAPACITY = 2048
 
@@ -96,7 +96,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], i
 
 
 def pieces(docs: DataFrame, *, tokenizer_path: str | None = None, cut=tokens.space_chunks, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, row, piece, start, length, ids_crc32 of every document: one pass over the whole texts, no shuffle.
+    """doc_id, piece, start, length, ids_crc32 of every document: one pass over the whole texts, no shuffle.
 
     A document is its ids and ``end_id``. Longer ones are cut so that all pieces but the first are full.
     """
@@ -118,11 +118,10 @@ def pieces(docs: DataFrame, *, tokenizer_path: str | None = None, cut=tokens.spa
                         size = (n - 1) % capacity + 1 if piece == 0 else capacity
                         rows.append((d, piece, at, size, zlib.crc32(x[4 * at : 4 * (at + size)])))
                         at += size
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array([None if d is None or d != d else int(d) for d in out["doc_id"]], dtype="Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    found = id_as_text(docs, text_or_empty().alias("text")).mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return id_restored(found, docs)
 
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
