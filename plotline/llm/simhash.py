@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.llm.common import durable, shared_path, text_or_empty
+from plotline.llm.common import durable, id_as_text, id_restored, text_or_empty, written
 
 SEED, BITS, RADIUS, SHINGLE = 42, 64, 2, 3
 
@@ -54,8 +54,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
             out["fp"] = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.int64)
             yield out
 
-    ids = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, fp long")
+    return id_restored(id_as_text(docs, text_or_empty().alias("text")).mapInPandas(run, "doc_id string, fp long"), docs)
 
 
 @lru_cache(maxsize=8)
@@ -135,56 +134,60 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For texts that are similar, not nearly equal: so many fingerprints of so many bits each, of the distinct word pairs.
-TABLES, TABLE_BITS, PAIR_SHINGLE = 6, 32, 2
-#: Bits over all tables within which what meets is verified first.
-MAX_DISTANCE = 29
+#: For texts that are similar, not nearly equal: fingerprints of so many bits, of the distinct word pairs, dealt into tables.
+WIDE_BITS, PAIR_SHINGLE = 192, 2
 #: Texts are similar whose sets of so many words have a Jaccard similarity of NEAR / OF or more.
 GRAM, NEAR, OF = 5, 4, 5
 #: One text in SAMPLE is asked which shingles are common, at more than COMMON heads of these; it sets their order, not the results.
 SAMPLE, COMMON = 8, 12
-#: Bits of the filter that spares most of the texts that no candidate pair names a shuffle.
-FILTER_BITS = 1 << 22
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _wide(text: str, shingle: int = PAIR_SHINGLE) -> np.ndarray:
-    """192 SimHash bits of a text's distinct shingles, as three signed 64-bit integers."""
-    import xxhash
+def table_bits(rows: int) -> int:
+    """Width of a table: the narrowest at which a variant of one fingerprint meets less than one other by chance among ``rows``."""
+    return next((w for w in (32, 48) if rows * (w + 1) <= 1 << w), 64)
 
-    words = text.encode().lower().split()
-    n = len(words) - shingle + 1
-    features = {b" ".join(words[i : i + shingle]) for i in range(n)} if n > 1 else {b" ".join(words)} if words else set()
-    ones = np.zeros(192, np.int64)
-    items = list(features)
-    for i in range(0, len(items), 32768):
-        part = items[i : i + 32768]
-        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x) for x in part]), np.uint8).reshape(-1, 24)
-        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(items)).view("<i8")
-
-
-def _grams(text: str) -> frozenset[bytes]:
-    """The distinct five-word shingles of a text; of a shorter one, the text."""
-    words = text.encode().lower().split()
-    n = len(words) - GRAM + 1
-    return frozenset(b" ".join(words[i : i + GRAM]) for i in range(max(n, 1))) if words else frozenset()
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-def _gram_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of ``_grams(text)``, ascending: the words' hashes, combined and mixed."""
+
+def _word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's lower-case words, in order."""
     import xxhash
 
     h = xxhash.xxh64_intdigest
-    words = np.array([h(w, SEED) for w in text.encode().lower().split()], np.uint64)
+    return np.array([h(w, SEED) for w in text.encode().lower().split()], np.uint64)
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending: the words' hashes, combined and mixed. Of fewer words one of all."""
     if not len(words):
         return words
-    n = max(len(words) - GRAM + 1, 1)
-    mixed = np.full(n, len(words[:GRAM]), np.uint64)
-    for k in range(min(GRAM, len(words))):
-        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+    n = max(len(words) - size + 1, 1)
+    mixed = np.full(n, len(words[:size]), np.uint64)
+    for k in range(min(size, len(words))):
+        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ words[k : k + n]) * _ODD[0]
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
+def _gram_hashes(text: str) -> np.ndarray:
+    return _shingles(_word_hashes(text), GRAM)
+
+
+def _wide(pairs: np.ndarray) -> np.ndarray:
+    """192 SimHash bits of distinct shingles' hashes, as three signed 64-bit integers."""
+    out = np.zeros(3, np.int64)
+    for k, odd in enumerate(_ODD):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(pairs), 1 << 16):
+            part = _mixed(pairs[i : i + (1 << 16)] * odd)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        out[k] = np.packbits(2 * ones > len(pairs)).view("<i8")[0]
+    return out
+
+
 def _key(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -197,54 +200,56 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes >> np.uint64(8)).astype(np.int64) & 255, minlength=256) & 1).view("<i8")
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key, f0, f1, f2, p0 to p3 of every whole text of ``docs``; texts of the same five-word shingles have the same key."""
+def _head(n: int) -> int:
+    """How many shingles of n, the rarest, a text must show so that it shares one with every text at 0.8 or more."""
+    return n - -(-n * NEAR // OF) + 1 if n else 0
+
+
+def common_grams(docs: DataFrame) -> dict[int, int]:
+    """Shingles that many heads of one text in ``SAMPLE`` have, and how many; they go last in the order of all shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[["doc_id"]].copy()
-            hashes = [_gram_hashes(t) for t in pdf["text"]]
-            out["key"] = np.array([_key(x) for x in hashes], np.int64)
-            f = np.array([_wide(t) for t in pdf["text"]], np.int64).reshape(-1, 3)
-            out["f0"], out["f1"], out["f2"] = f[:, 0], f[:, 1], f[:, 2]
-            p = np.array([_parity(x) for x in hashes], np.int64).reshape(-1, 4)
-            out["p0"], out["p1"], out["p2"], out["p3"] = p.T
-            yield out
+            found = [h[: _head(len(h))] for h in map(_gram_hashes, pdf["text"])]
+            yield pd.DataFrame({"gram": np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    sample = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInPandas(run, "gram long")
+    rows = sample.groupBy("gram").count().where(F.col("count") > COMMON).collect()
+    return {r["gram"] % (1 << 64): r["count"] for r in rows}
 
-    ids = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {ids}, key long, f0 long, f1 long, f2 long, p0 long, p1 long, p2 long, p3 long")
 
+PRINT = "doc_id string, digest long, key long, f0 long, f1 long, f2 long, p0 long, p1 long, p2 long, p3 long, size int, head array<long>"
 
-def heads(docs: DataFrame, common: dict[int, int]) -> DataFrame:
-    """key, gram, pos, size: the head of every text's shingles, rare ones first.
 
-    In any one order of all shingles, two texts at 0.8 or more share a shingle among the first fifth (and one) of each.
-    ``common`` (shingle: texts) goes last, the most common at the end; the rest is ordered by hash.
+def prints(docs: DataFrame, common: dict[int, int]) -> DataFrame:
+    """One row for each row of ``docs``, from one pass over the whole texts: doc_id, digest of the text, and
+
+    key (texts of the same five-word shingles have the same), f0 to f2 (192 SimHash bits of its word pairs), p0 to p3 (``_parity``),
+    size (number of shingles), head (its ``_head`` rarest shingles, in an order in which those of ``common`` come last).
     """
     grams = np.array(sorted(common), np.uint64)
     counts = np.array([common[g] for g in sorted(common)], np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                keys, found, places, sizes = [], [], [], []
-                for text in pdf["text"].iloc[at : at + 500]:
-                    hashes = _gram_hashes(text)
-                    n = len(hashes)
-                    if not n:
-                        continue
-                    key, k = _key(hashes), n - -(-n * NEAR // OF) + 1
-                    if len(grams):
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                rows = []
+                for text in part["text"]:
+                    words = _word_hashes(text)
+                    hashes = _shingles(words, GRAM)
+                    head, k = hashes, _head(len(hashes))
+                    if len(grams) and k:
                         i = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
-                        hashes = hashes[np.argsort(np.where(grams[i] == hashes, counts[i], 0), kind="stable")]
-                    keys.append(np.full(k, key, np.int64))
-                    found.append(hashes[:k].view(np.int64))
-                    places.append(np.arange(k, dtype=np.int32))
-                    sizes.append(np.full(k, n, np.int32))
-                if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "gram": np.concatenate(found), "pos": np.concatenate(places), "size": np.concatenate(sizes)})
+                        head = hashes[np.argsort(np.where(grams[i] == hashes, counts[i], 0), kind="stable")]
+                    rows.append((_key(hashes), *_wide(_shingles(words, PAIR_SHINGLE)), *_parity(hashes), len(hashes), head[:k].view(np.int64)))
+                out = pd.DataFrame(rows, columns=["key", "f0", "f1", "f2", "p0", "p1", "p2", "p3", "size", "head"])
+                out.insert(0, "doc_id", part["doc_id"].to_numpy())
+                out.insert(1, "digest", part["digest"].to_numpy())
+                yield out
 
-    return docs.select(text_or_empty().alias("text")).mapInPandas(run, "key long, gram long, pos int, size int")
+    text = text_or_empty()
+    return id_restored(id_as_text(docs, text.alias("text"), F.xxhash64(text).alias("digest")).mapInPandas(run, PRINT), docs)
 
 
 def _can_be_near(pos, size, pos2, size2):
@@ -256,101 +261,88 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: keys) whose ``texts`` (key, text) have a five-word similarity of 0.8 or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = lru_cache(maxsize=64)(_grams)
+        grams = lru_cache(maxsize=64)(_gram_hashes)
         for pdf in batches:
             near = []
             for x, y in zip(pdf["s"], pdf["t"], strict=True):
                 x, y = grams(x), grams(y)
-                near.append((NEAR + OF) * len(x & y) >= NEAR * (len(x) + len(y)))
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # two ascending runs
+                near.append((NEAR + OF) * int((both[1:] == both[:-1]).sum()) >= NEAR * len(both))
             yield pdf[["a", "b"]][near]
 
     of = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
     return of.select("a", "b", "s", "t").mapInPandas(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """key, text for ``ids`` (key, doc_id): each key's text, written once to the shared folder."""
-
-    def slot():
-        return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FILTER_BITS))
-
-    words = ids.select(slot().alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    held = np.zeros(FILTER_BITS // 64, np.int64)
-    held[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    ones = np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["doc_id", "text"]][ones[pdf["at"].to_numpy(np.int64)]]
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["key", "text"]][[_key(_gram_hashes(t)) == k for t, k in zip(pdf["text"], pdf["key"], strict=True)]]
-
-    kind = dict(docs.dtypes)["doc_id"]
-    some = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"), slot().alias("at")).mapInPandas(named, f"doc_id {kind}, text string")
-    return written(some.join(ids, "doc_id").select("key", "text").mapInPandas(own, "key long, text string"), "similar-texts").dropDuplicates(["key"])
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as Parquet in the shared folder: less disk than a checkpoint."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def simhash_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """a, b: keys of ``nodes`` (key, f0, f1, f2) that meet in a variant of a table of ``bits`` bits.
 
-
-def simhash_pairs(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """a, b: keys of ``nodes`` (key, f0, f1, f2) that meet in a variant of a table within two bits and are near on all 192.
-
-    Of those that meet, each is tried with the first, and with the one before it where the first looks far.
+    Of those that meet, each is paired with the first and with the one before it.
     """
-    if TABLES * TABLE_BITS != 192:
-        raise ValueError("the tables share 192 bits")
-    half = (1 << TABLE_BITS) - 1
-    tables = F.array(*[F.shiftright(F.col(f"f{i // 2}"), TABLE_BITS * (i % 2)).bitwiseAND(F.lit(half)) + F.lit(i << TABLE_BITS) for i in range(TABLES)])
-    ball = F.array(*[F.lit(m) for m in masks(1, TABLE_BITS)])
-    emitted = nodes.select("key", "f0", F.explode(tables).alias("part")).select("key", "f0", F.explode(F.transform(ball, lambda m: F.col("part").bitwiseXOR(m))).alias("variant"))
-    bucket = Window.partitionBy("variant").orderBy("key")
-    met = emitted.select("key", "f0", F.lag("key").over(bucket).alias("before"), F.first("key").over(bucket).alias("first"), F.first("f0").over(bucket).alias("g0")).where("before is not null")
-    near = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= max_distance // 3
-    pairs = met.select("key", F.explode(F.when(near, F.array("first")).otherwise(F.array_distinct(F.array("before", "first")))).alias("other")).distinct()
-    right = nodes.select(F.col("key").alias("other"), *[F.col(f"f{i}").alias(f"g{i}") for i in range(3)])
-    distance = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(3)), F.lit(0))
-    return pairs.join(nodes, "key").join(right, "other").where(distance <= max_distance).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-
-
-def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, component_id for every row of ``docs``: texts that links of a five-word similarity of 0.8 or more join.
-
-    Every link is verified on the texts, and no pair at 0.8 or more in different groups is left out:
-
-    1. SimHash of 192 bits in six tables of 32 finds most near copies by ball hashing; links grow with the rows.
-    2. Texts at 0.8 or more share a shingle at their heads (``heads``), whatever their fingerprints. Of those that
+    if WIDE_BITS % bits or bits not in (32, 48, 64):
+        raise ValueError("tables of 32, 48 or 64 bits")
+    words = F.array("f0", "f1", "f2")
+
+    def table(i: int):
+        low, word = i * bits % 64, i * bits // 64
+        part = F.shiftrightunsigned(words[word], low)
+        if low + bits > 64:
+            part = part.bitwiseOR(F.shiftleft(words[word + 1], 64 - low))
+        return F.struct(F.lit(i).alias("table"), (part.bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else part).alias("bits"))
+
+    ball = F.array(*[F.lit(m).cast("long") for m in masks(1, bits)])
+    emitted = nodes.select("key", F.explode(F.array(*[table(i) for i in range(WIDE_BITS // bits)])).alias("t"))
+    emitted = emitted.select("key", "t.table", F.explode(F.transform(ball, lambda m: F.col("t.bits").bitwiseXOR(m))).alias("variant"))
+    bucket = Window.partitionBy("table", "variant").orderBy("key")
+    met = emitted.select("key", F.lag("key").over(bucket).alias("before"), F.first("key").over(bucket).alias("first")).where("before is not null")
+    pairs = met.select("key", F.explode(F.array_distinct(F.array("before", "first"))).alias("other")).where("key <> other")
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (64 bits of the text), component_id, stays for every row of ``docs``: texts that links of a five-word similarity of 0.8 or more join.
+
+    Every link is verified on the two texts, and no pair at 0.8 or more is left in different groups, so recall is 1 at 0.8 and above, and
+    no link is below it:
+
+    1. SimHash of 192 bits, in tables as wide as the number of rows asks for, finds most near copies by ball hashing.
+    2. Texts at 0.8 or more share a shingle at their heads (``_head``), whatever their fingerprints. Of those that
        share one, each is tried with the first and the one before it.
     3. Of those that share one and are not yet in one group, every pair is tried whose sizes, places and parities admit 0.8;
        these bounds never refuse a pair at 0.8.
 
-    Exact but for chance collisions of 64-bit hashes. Null and wordless texts are one group. Rows of the same doc_id each get a
-    row. An empty table gives no row.
+    Exact but for chance collisions of 64-bit hashes. component_id is the smallest doc_id of the group; ``stays`` marks the row of
+    that doc_id (rows that repeat its text with it). Null and wordless texts are one group. A doc_id with several texts is as many
+    documents; one without an id comes after all others. An empty table gives no row.
     """
     parity = [f"p{i}" for i in range(4)]
-    prints = durable(wide_fingerprints(docs))
-    nodes = prints.groupBy("key").agg(*[F.min(x).alias(x) for x in ("doc_id", "f0", "f1", "f2", *parity)])
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    common = heads(sample, {}).groupBy("gram").count().where(F.col("count") > COMMON).collect()
+    found = written(prints(docs, common_grams(docs)), "similar-prints")
+    nodes = found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"), *[F.first(x).alias(x) for x in ("f0", "f1", "f2", *parity, "size", "head")])
+    nodes = durable(nodes)
+    rows = nodes.select("key", "size", F.posexplode("head").alias("pos", "gram"))
     of_gram = Window.partitionBy("gram").orderBy("key")
-    rows = heads(docs, {r["gram"] % (1 << 64): r["count"] for r in common}).withColumn("last", F.lag("key").over(of_gram)).where("last is null or last <> key")
     here = F.struct("key", "pos", "size")
     shared = rows.select("gram", "key", "pos", "size", F.lag(here).over(of_gram).alias("before"), F.first(here).over(of_gram).alias("first"), F.lead("key").over(of_gram).alias("next"))
     shared = written(shared.where("before is not null or next is not null").drop("next"), "similar-heads")
     star = shared.where("before is not null").select("key", "pos", "size", F.explode(F.array_distinct(F.array("before", "first"))).alias("o"))
     star = star.where(_can_be_near(F.col("pos"), F.col("size"), F.col("o.pos"), F.col("o.size"))).select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b"))
-    named = nodes.where("doc_id is not null")
-    tried = durable(simhash_pairs(named.select("key", "f0", "f1", "f2"), max_distance).union(star).distinct())
+    bounds = nodes.select("key", "size", *parity)
+
+    def admitted(pairs: DataFrame) -> DataFrame:
+        """Without pairs whose sizes or parities say that they are not similar."""
+        other = bounds.select(F.col("key").alias("b"), *[F.col(x).alias(f"{x}_2") for x in ("size", *parity)])
+        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_2"))) for x in parity), F.lit(0))
+        fits = differ * (NEAR + OF) <= (F.col("size") + F.col("size_2")) * (OF - NEAR)
+        return pairs.join(bounds.withColumnRenamed("key", "a"), "a").join(other, "b").where(fits).select("a", "b")
+
+    tried = durable(admitted(simhash_pairs(nodes.select("key", "f0", "f1", "f2"), table_bits(nodes.count())).union(star).distinct()))
 
     def texts(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return texts_of(docs, durable(named.join(keys, "key", "left_semi").select("key", "doc_id")))
+        ids = durable(nodes.join(keys, "key", "left_semi").select("key", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")))
+        some = docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")))
+        return written(some.select("key", "text"), "similar-texts").dropDuplicates(["key"])
 
     edges = durable(verified(tried, texts(tried)))
     parts = components(edges)
@@ -365,15 +357,19 @@ def similar_groups(docs: DataFrame, *, max_distance: int = MAX_DISTANCE) -> Data
     rest = met.select(F.least("key", "key_2").alias("a"), F.greatest("key", "key_2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = durable(rest)
     parts = components(edges.union(verified(rest, texts(rest))))
-    labelled = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return prints.select("doc_id", "key").join(labelled.drop("doc_id").join(lowest, "label"), "key").select("doc_id", "component_id")
+    labelled = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "row", F.coalesce("label", "key").alias("label"))
+    best = labelled.groupBy("label").agg(F.min("row").alias("best"))
+    of_key = labelled.join(best, "label").select("key", "best")
+    out = found.select("doc_id", "digest", "key").join(of_key, "key")
+    return out.select("doc_id", "digest", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("stays"))
 
 
-def drop_similar(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each group of similar texts, the one of the smallest doc_id; columns as given.
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts, the one of the smallest doc_id; columns as given, whatever their names.
 
-    Rows without a doc_id stay.
+    Rows that repeat one text under one doc_id stay together: see ``exact_dedup.drop_duplicates``. Otherwise as ``similar_groups``.
     """
-    drop = similar_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    gone = similar_groups(docs).where(~F.col("stays")).select(F.col("doc_id").alias("id"), F.col("digest").alias("of_text")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64(text_or_empty()).alias("digest"))
+    kept = rows.join(gone, rows["key"].eqNullSafe(gone["id"]) & (rows["digest"] == gone["of_text"]), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
