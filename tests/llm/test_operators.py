@@ -420,8 +420,8 @@ def test_html(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in h.extract(df).collect()}
     assert all(got[i][0] == " ".join(f"story {i} {k}" for k in range(1 + i % 3)) for i in range(9)) and got[20] == ("", 0) and got[21] == ("z", 1)
     assert h.extract(df).count() == len(data) and h.extract(df.limit(0)).count() == 0
-    (wrapper,) = [r.wrapper for r in h.wrappers(df.where("page_id < 9")).collect()]
-    assert "(<p>#)+" in h.expression(wrapper) and "|" not in h.expression(wrapper)
+    (wrapper,) = [r.wrapper for r in h.wrappers(h.parsed(df.where("page_id < 9"))).collect()]
+    assert "(<p>((#)?)+</p>)+" in h.expression(wrapper) and "|" not in h.expression(wrapper)
 
 
 def test_html_long_texts_with_one_start(spark):
