@@ -12,17 +12,22 @@ _PLAIN = "aaaaaaaaaeeeeeeeeeiiiiiiiioooooooouuuuuuuuuunnnncccccyyysssszzzgggghjk
 PORTALS = [("idealista", ["idealista"], "Idealista"), ("fotocasa", ["fotocasa"], "Fotocasa"), ("habitaclia", ["habitaclia"], "Habitaclia"), ("milanuncios", ["milanuncios"], "Milanuncios"), ("pisos", ["pisos"], "Pisos"), ("yaencontre", ["yaencontre"], "Yaencontre")]
 #: Property types and their families.
 PROPERTY_TYPES = {"piso": "residential_standard", "apartamento": "residential_standard", "estudio": "residential_standard", "atico": "residential_standard", "duplex": "residential_standard", "chalet": "residential_standard", "casa": "residential_standard", "local": "retail_office", "oficina": "retail_office", "garaje": "other", "trastero": "other"}
-#: Words that do not tell a street.
-FRAGMENT_WORDS = ["calle", "avenida", "plaza", "paseo", "camino", "carretera", "de", "del", "la", "las", "los", "el"]
+#: Words that do not tell a street; the matcher's list has two more.
+FRAGMENT_WORDS = ["calle", "cl", "avenida", "av", "paseo", "ps", "plaza", "pl", "carretera", "camino", "via"]
 FRAGMENT_WORDS_MATCHER = [*FRAGMENT_WORDS, "ronda", "travesia"]
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
+
+
+def let(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), 0)
 
 
 def normalize_text(c: Column) -> Column:
-    """F-01: trimmed, white space collapsed, empty as null. (Compatibility forms: see ``unicode.nfkc``.)"""
+    """F-01: trimmed, white space collapsed, empty as null. Compatibility forms are left as they are: see ``unicode_text``."""
     return blank_to_null(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")))
 
 
@@ -76,24 +81,20 @@ def external_id(c: Column) -> Column:
 
 def portal_key(c: Column) -> Column:
     """F-07: first portal whose token occurs, else the text before a colon."""
-    k = text_key(c)
-    out = F.when(F.coalesce(k, F.lit("")) == "", F.lit(None).cast("string"))
-    for key, tokens, _ in PORTALS:
-        hit = F.lit(False)
-        for t in tokens:
-            hit = hit | k.contains(t)
-        out = out.when(hit, key)
-    return out.otherwise(k)
+
+    def of(k: Column) -> Column:
+        out = F.when(F.coalesce(k, F.lit("")) == "", F.lit(None).cast("string"))
+        for key, tokens, _ in PORTALS:
+            out = out.when(k.rlike("|".join(tokens)), key)
+        return out.otherwise(k)
+
+    return let(text_key(c), of)
 
 
 def portal_label(c: Column) -> Column:
     """F-07: the portal's name, else the text before a colon."""
-    t, k = normalize_text(c), portal_key(c)
-    out = F.when(t.isNull(), None)
-    for key, _, label in PORTALS:
-        out = out.when(k == key, label)
-    head = F.trim(F.substring_index(t, ":", 1))
-    return out.otherwise(F.coalesce(blank_to_null(head), t))
+    names = F.create_map(*[F.lit(x) for key, _, label in PORTALS for x in (key, label)])
+    return let(normalize_text(c), lambda t: F.coalesce(F.try_element_at(names, portal_key(t)), blank_to_null(F.trim(F.substring_index(t, ":", 1))), t))
 
 
 def property_type(c: Column) -> Column:
@@ -104,11 +105,12 @@ def property_type(c: Column) -> Column:
 
 
 def address_fragment(c: Column, *, matcher: bool = True) -> Column:
-    """F-17: the first four words of an address key without numbers and street words."""
+    """F-17: the first four words of an address key without house numbers (``10b`` too) and street words. The matcher cuts words at marks as well."""
     k = text_key(c)
     k = F.regexp_replace(k, r"[,.\-]", " ") if matcher else k
-    words = F.filter(F.split(F.regexp_replace(k, r"[0-9]+", " "), r"\s+"), lambda w: (w != "") & ~w.isin(FRAGMENT_WORDS_MATCHER if matcher else FRAGMENT_WORDS))
-    return blank_to_null(F.array_join(F.slice(words, 1, 4), " "))
+    for dropped in (r"[0-9]+[a-z]?", "|".join(FRAGMENT_WORDS_MATCHER if matcher else FRAGMENT_WORDS)):
+        k = F.regexp_replace(k, rf"\b({dropped})\b", " ")
+    return blank_to_null(F.array_join(F.slice(F.filter(F.split(k, r"\s+"), lambda w: w != ""), 1, 4), " "))
 
 
 def slug(c: Column) -> Column:

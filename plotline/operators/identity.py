@@ -1,4 +1,4 @@
-"""Matching of listings, assets and flow items (A-07 to A-09, J-01 to J-15, W-10, W-11, W-14)."""
+"""Identity of listings, contacts, buildings and assets, and what follows from matches (A-07 to A-09, J-01 to J-07, J-13 to J-15, W-10, W-14)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.bands import chain
-from plotline.functions.numbers import area_is_close, price_distance_ratio, price_is_close
-from plotline.functions.semantics import is_generic_contact
-from plotline.functions.text import normalize_phone, portal_key, text_key
+from plotline.functions.numbers import area_is_close, price_is_close
+from plotline.functions.text import blank_to_null, external_id, normalize_url, portal_key, portal_label
+from plotline.operators.matching import best_and_gap
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -21,34 +21,23 @@ def latest_review(reviews: DataFrame) -> DataFrame:
     return keep_first(reviews.where("flow_item_id is not null"), ["flow_item_id"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()])
 
 
-def best_and_gap(scored: DataFrame, item: str, candidate: str, score: str = "score") -> DataFrame:
-    """W-11: the best candidate of each item (ties: the lowest), its score, and how far the second is behind (-999 without one).
-
-    The two best are found by aggregation: no item's candidates are sorted together.
-    """
-    best = F.max_by(F.struct(candidate, *[x for x in scored.columns if x not in (item, candidate)]), F.struct(score, -F.col(candidate)))
-    top = scored.groupBy(item).agg(best.alias("_b"), F.count("*").alias("candidates"))
-    out = top.select(item, "candidates", "_b.*")
-    second = scored.join(out.select(item, F.col(candidate).alias("_best")), item).where(F.col(candidate) != F.col("_best")).groupBy(item).agg(F.max(score).alias("second_score"))
-    return out.join(second, item, "left").withColumn("second_score", F.coalesce("second_score", F.lit(-999.0))).withColumn("gap", F.col(score) - F.col("second_score"))
-
-
 def match_listing(items: DataFrame, listings: DataFrame) -> DataFrame:
-    """J-01: id, listing_id, how: by URL, else by external id, else by asset and portal; the lowest listing id wins.
+    """J-01: id, listing_id, how: by URL, else by property URL, else by external id, else by asset and portal, of the item's contact where it has one.
 
-    Equi-joins on keys that are first reduced to one listing each.
+    The lowest listing id wins. Equi-joins on keys that are first reduced to one listing each.
     """
-    def lowest(*keys: Column) -> DataFrame:
-        named = listings.select(F.col("id").alias("_l"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)]).dropna()
-        return named.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_l").alias("_l"))
-
-    found = items.select("id", "listing_url", "external_id", "asset_id", portal_key(F.col("portal")).alias("portal_key"))
-    for name, keys, of in (("url", ["listing_url"], [F.col("listing_url")]), ("external_id", ["external_id"], [F.col("external_id")]), ("asset_portal", ["asset_id", "portal_key"], [F.col("asset_id"), portal_key(F.col("source_portal"))])):
-        table = lowest(*of).withColumnRenamed("_l", f"l_{name}")
-        table = table.withColumnsRenamed({f"_k{i}": k for i, k in enumerate(keys)})
-        found = found.join(table, keys, "left")
-    listing = F.coalesce("l_url", "l_external_id", "l_asset_portal")
-    how = chain((F.col("l_url").isNotNull(), "url"), (F.col("l_external_id").isNotNull(), "external_id"), (F.col("l_asset_portal").isNotNull(), "asset_portal"))
+    c = F.col
+    named = listings.select(
+        c("id").alias("_l"), normalize_url(c("listing_url")).alias("url"), normalize_url(c("property_url")).alias("property_url"), "external_id", "asset_id", "contact_id", portal_key(c("source_portal")).alias("portal_key")
+    )
+    found = items.select(
+        "id", normalize_url(c("listing_url")).alias("url"), normalize_url(c("property_url")).alias("property_url"), "external_id", "asset_id", "contact_id", portal_key(c("portal")).alias("portal_key")
+    )
+    for how, keys in (("url", ["url"]), ("property_url", ["property_url"]), ("external_id", ["external_id"]), ("asset", ["asset_id", "portal_key"]), ("asset_contact", ["asset_id", "portal_key", "contact_id"])):
+        found = found.join(named.select(*keys, "_l").dropna().groupBy(*keys).agg(F.min("_l").alias(f"l_{how}")), keys, "left")
+    of_asset = F.when(c("contact_id").isNull(), c("l_asset")).otherwise(c("l_asset_contact"))
+    listing = F.coalesce("l_url", "l_property_url", "l_external_id", of_asset)
+    how = chain((c("l_url").isNotNull(), "url"), (c("l_property_url").isNotNull(), "property_url"), (c("l_external_id").isNotNull(), "external_id"), (of_asset.isNotNull(), "asset_portal"))
     return found.select("id", listing.alias("listing_id"), how.alias("how"))
 
 
@@ -96,76 +85,43 @@ def match_listing_in_window(items: DataFrame, listings: DataFrame, assets: DataF
     return best.where("score >= 70 and gap >= 15").select("id", "listing_id", "score", "gap")
 
 
-def flow_candidates(items: DataFrame, listings: DataFrame, assets: DataFrame, contacts: DataFrame) -> DataFrame:
-    """J-09 and U-02: distinct (item_id, listing_id) from equal URL, phone, street with portal, and contact name. No block is capped."""
-    c = F.col
-    l = listings.select(c("id").alias("listing_id"), "listing_url", "contact_id", "asset_id", portal_key(c("source_portal")).alias("_portal"))  # noqa: E741
-    of_contact = l.join(contacts.select(c("id").alias("contact_id"), "phone_norm", c("name_norm").alias("_name")), "contact_id")
-    i = items.select(c("id").alias("item_id"), "listing_url", normalize_phone(c("contact_phone")).alias("phone_norm"), "address_norm", portal_key(c("portal")).alias("_portal"), text_key(c("contact_name")).alias("_name"), is_generic_contact(c("contact_name")).alias("_generic"))
-    of_street = l.join(assets.select(c("id").alias("asset_id"), "address_norm"), "asset_id").where("_portal is not null")
-    blocks = [
-        i.join(l.drop("_portal"), "listing_url"),
-        i.join(of_contact.select("phone_norm", "listing_id"), "phone_norm"),
-        i.join(of_street.select("address_norm", "_portal", "listing_id"), ["address_norm", "_portal"]),
-        i.where("not _generic").join(of_contact.select("_name", "listing_id"), "_name"),
-    ]
-    out = blocks[0].select("item_id", "listing_id")
-    for b in blocks[1:]:
-        out = out.unionByName(b.select("item_id", "listing_id"))
-    return out.distinct()
-
-
-def score_candidates(candidates: DataFrame, items: DataFrame, listings: DataFrame, assets: DataFrame, contacts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """J-10: item_id, listing_id, score, reasons. Additive points of URL, portal, phone by profile, name, street and price."""
-    c = F.col
-    i = items.select(c("id").alias("item_id"), c("listing_url").alias("_url"), c("portal").alias("_portal"), normalize_phone(c("contact_phone")).alias("_phone"), c("contact_name").alias("_name"), c("address_norm").alias("_addr"), c("current_price_eur").alias("_price"))
-    l = listings.join(assets.select(c("id").alias("asset_id"), "address_norm"), "asset_id", "left").join(contacts.select(c("id").alias("contact_id"), "phone_norm", "name_raw"), "contact_id", "left").join(profiles.select("phone_norm", "phone_profile"), "phone_norm", "left")  # noqa: E741
-    l = l.select(c("id").alias("listing_id"), "listing_url", "source_portal", "phone_norm", "name_raw", "address_norm", "price_eur", "phone_profile")  # noqa: E741
-    j = candidates.join(i, "item_id").join(l, "listing_id")
-    eq = lambda a, b: F.coalesce(a == b, F.lit(False))
-    url, portal, phone, street = eq(c("_url"), c("listing_url")), eq(portal_key(c("_portal")), portal_key(c("source_portal"))), eq(c("_phone"), c("phone_norm")), eq(c("_addr"), c("address_norm"))
-    name = eq(text_key(c("_name")), text_key(c("name_raw"))) & ~is_generic_contact(c("_name"))
-    ratio = price_distance_ratio(c("_price"), c("price_eur"))
-    near = F.coalesce(ratio <= 0.12, F.lit(False))
-    owner, unknown = c("phone_profile") == "owner_like", c("phone_profile") == "unknown"
-    rules = [
-        (url, 100.0, "listing_url exacta"), (portal, 18.0, "portal exacto"), (phone & owner, 45.0, "telefono exacto owner_like"), (phone & unknown, 28.0, "telefono exacto"), (phone & ~owner & ~unknown, 10.0, "telefono exacto broker_like"),
-        (name, 8.0, "nombre contacto"), (street, 40.0, "direccion core exacta"), (F.coalesce(ratio <= 0.05, F.lit(False)), 18.0, "precio muy cercano"), (F.coalesce((ratio > 0.05) & (ratio <= 0.12), F.lit(False)), 10.0, "precio cercano"),
-        (F.coalesce((ratio > 0.12) & (ratio <= 0.20), F.lit(False)), 4.0, "precio compatible"), (F.coalesce(ratio > 0.20, F.lit(False)), -10.0, "precio lejos"), (phone & street, 18.0, "telefono+direccion"), (near & street, 12.0, "direccion+precio"),
-    ]
-    score = sum((F.when(cond, n).otherwise(0.0) for cond, n, _ in rules), F.lit(0.0))
-    return j.select("item_id", "listing_id", score.alias("score"), F.array_compact(F.array(*[F.when(cond, word) for cond, _, word in rules])).alias("reasons"))
-
-
-def decide_matches(items: DataFrame, scored: DataFrame) -> DataFrame:
-    """J-11: item_id, listing_id (if resolved), match_status, match_score, match_strategy for every item."""
-    c = F.col
-    best = best_and_gap(scored, "item_id", "listing_id")
-    j = items.select(c("id").alias("item_id")).join(best, "item_id", "left")
-    sure = (c("score") >= 90) | ((c("score") >= 75) & (c("gap") >= 10)) | ((c("score") >= 65) & (c("gap") >= 18))
-    status = chain((c("score").isNull(), "unresolved"), (sure, "resolved"), (c("score") >= 55, "ambiguous"), other="unresolved")
-    words = F.array_join("reasons", " | ")
-    direct = words.contains("listing_url exacta") | words.contains("external_id exacto")
-    strategy = chain((c("score").isNull(), "no_candidates"), (~sure, "candidate_scoring"), (direct, "direct_anchor"), (words.contains("telefono exacto owner_like") & words.contains("portal exacto"), "phone_portal_owner"), (words.contains("telefono exacto") & words.contains("precio cercano"), "phone_price"), other="candidate_scoring")
-    return j.select("item_id", F.when(status == "resolved", c("listing_id")).alias("listing_id"), status.alias("match_status"), F.coalesce("score", F.lit(0.0)).alias("match_score"), strategy.alias("match_strategy"))
-
-
 def pending_flow(items: DataFrame, links: DataFrame) -> DataFrame:
     """J-13: items without a link, or with one that is not settled."""
     settled = links.where(~F.col("match_status").isin("pending", "unresolved", "ambiguous")).select(F.col("flow_item_id").alias("id"))
     return items.join(settled, "id", "left_anti")
 
 
+#: The status that an event gives its listing.
+STATUS_OF_EVENT = {"listing_detected": "active", "reserved": "reserved", "not_available": "not_available", "sold": "sold", "expired": "expired"}
+
+
 def apply_matches(listings: DataFrame, matched: DataFrame) -> DataFrame:
-    """J-14: listings with the price of the oldest matched item (the batch runs from the newest) and the last time seen."""
+    """J-14: listings as the matched items leave them. The batch runs from the newest item, so the oldest with a value is applied last.
+
+    Price (and price a metre) and status of the oldest item that has one; portal, URL and external id of the newest one where the listing has none;
+    first seen of the newest where it is unknown, last seen the latest of all.
+    """
     c = F.col
-    m = matched.where("listing_id is not null").groupBy(c("listing_id").alias("id")).agg(F.min_by("current_price_eur", F.struct("event_datetime", "item_id")).alias("_price"), F.max("event_datetime").alias("_seen"), F.count("*").alias("matched_items"))
-    return listings.join(m, "id", "left").withColumns({"price_eur": F.coalesce("_price", "price_eur"), "last_seen_at": F.greatest("updated_at", "_seen"), "matched_items": F.coalesce("matched_items", F.lit(0))}).drop("_price", "_seen")
+    at = F.struct("event_datetime", "item_id")
+    status = F.try_element_at(F.create_map(*[F.lit(x) for pair in STATUS_OF_EVENT.items() for x in pair]), c("event_type_guess"))
+    rows = matched.where("listing_id is not null").withColumns({"_status": status, "_label": portal_label(c("portal")), "_url": blank_to_null(c("listing_url"))})
+    where = lambda x: F.when(c(x).isNotNull(), at)
+    m = rows.groupBy(c("listing_id").alias("id")).agg(
+        F.min_by("current_price_eur", where("current_price_eur")).alias("_price"), F.min_by("_status", where("_status")).alias("_status"), F.max_by("_label", where("_label")).alias("_portal"), F.max_by("_url", where("_url")).alias("_url"),
+        F.max("event_datetime").alias("_seen"), F.count("*").alias("matched_items"),
+    )
+    new_url = blank_to_null(c("listing_url")).isNull() & c("_url").isNotNull()
+    return listings.join(m, "id", "left").withColumns({
+        "price_eur": F.coalesce("_price", "price_eur"), "price_per_m2": F.when(c("_price").isNotNull() & (c("area_m2") > 0), c("_price") / c("area_m2")).otherwise(c("price_per_m2")),
+        "status": F.coalesce("_status", "status"), "source_portal": F.coalesce(blank_to_null(c("source_portal")), "_portal"),
+        "external_id": F.when(new_url, F.coalesce(external_id(c("_url")), "external_id")).otherwise(c("external_id")), "listing_url": F.when(new_url, c("_url")).otherwise(c("listing_url")),
+        "first_seen_at": F.coalesce("first_seen_at", "_seen"), "last_seen_at": F.greatest("last_seen_at", "_seen"), "matched_items": F.coalesce("matched_items", F.lit(0)),
+    }).drop("_price", "_status", "_portal", "_url", "_seen")
 
 
 def new_market_events(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """J-15: one event for each (listing, type, day, old price, new price) that is not stored; nulls are equal."""
-    key = ["listing_id", "event_type", "event_day", "price_old", "price_new"]
+    """J-15: one event for each (listing, asset, channel, type, day, old price, new price) that is not stored; nulls are equal."""
+    key = ["listing_id", "asset_id", "source_channel", "event_type", "event_day", "price_old", "price_new"]
     fresh, old = found.dropDuplicates(key), stored.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
     cond = F.lit(True)
     for k in key:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.functions import bands, geo, numbers, semantics, text
-from plotline.operators import identity, profiles, quality
+from plotline.operators import identity, matching, profiles, quality
 from plotline.plans.sample import AS_OF, cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +104,13 @@ def distances(spark, d):
     )
 
 
-@query(cte("assets") + r""", t AS (SELECT id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(address_raw), '[^a-z0-9 ,.\-]', '', 'g'), '[,.\-]|[0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('calle', 'avenida', 'plaza', 'paseo', 'camino', 'carretera', 'de', 'del', 'la', 'las', 'los', 'el', 'ronda', 'travesia')) AS w FROM assets)
-    SELECT id, nullif(array_to_string(w[1:4], ' '), '') AS fragment FROM t""")
+_FRAGMENT = r"nullif(array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace({0}, '[,.\-]', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b(calle|cl|avenida|av|paseo|ps|plaza|pl|carretera|camino|via|ronda|travesia)\b', ' ', 'g'), '\s+'), lambda w: w <> '')[1:4], ' '), '')"
+_STREETS = "CASE id % 4 WHEN 0 THEN address_raw WHEN 1 THEN concat('Cl. del ', address_norm, ' 10b - Ronda, ', coalesce(district, 'x')) WHEN 2 THEN concat('Paseo ', asset_type_detail, ' 3, 4º dcha. El Sol de la Via ', coalesce(neighborhood, 'y')) ELSE 'Avda. 12' END"
+
+
+@query(cte("assets") + f", t AS (SELECT id, {_KEY.format(_STREETS)} AS k FROM assets) SELECT id, {_FRAGMENT.format('k')} AS fragment FROM t")
 def address_fragment(spark, d):
-    return view(spark, d, "assets").select("id", text.address_fragment(F.col("address_raw")).alias("fragment"))
+    return view(spark, d, "assets").select("id", text.address_fragment(F.expr(_STREETS)).alias("fragment"))
 
 
 @query(cte("flow_items") + """ SELECT id, sha1(concat_ws('|', source_uid, coalesce(portal, ''), coalesce(CAST(floor(current_price_eur) AS BIGINT)::STRING, 'na'))) AS uid FROM flow_items""")
@@ -160,40 +163,52 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "flow_items")
 
 
-_PK = "CASE WHEN {0} IS NULL THEN NULL ELSE lower({0}) END"
-_JOINED = cte("flow_items", "assets", "contacts", "listings") + """,
-it AS (SELECT id AS item_id, f.* EXCLUDE (id), CASE WHEN contact_phone IS NULL THEN NULL ELSE '+34' || contact_phone END AS phone, lower(replace(contact_name, '#', '')) AS nm FROM flow_items f),
-li AS (SELECT l.*, a.address_norm, c.phone_norm, c.name_norm FROM listings l JOIN assets a ON a.id = l.asset_id JOIN contacts c ON c.id = l.contact_id),
+_EXT = "CASE WHEN {0} IS NULL THEN NULL WHEN starts_with(split_part({0}, '/', -1), 'listing-') THEN split_part({0}, '/', -1)[9:] ELSE split_part({0}, '-', -1) END"
+_NORM = _KEY.format("address_raw")
+_JOINED = cte("flow_items", "assets", "contacts", "listings") + f""",
+i0 AS (SELECT *, {_NORM} AS ak FROM flow_items), a0 AS (SELECT id, address_norm, {_NORM} AS ak FROM assets),
+it AS (SELECT id AS item_id, f.* EXCLUDE (id), CASE WHEN contact_phone IS NULL THEN NULL ELSE '+34' || contact_phone END AS phone, lower(replace(contact_name, '#', '')) AS nm, {_EXT.format('listing_url')} AS ext,
+    {_FRAGMENT.format('ak')} AS frag, address_raw IS NULL OR NOT contains(ak, 'barrio') AS placed FROM i0 f),
+li AS (SELECT l.*, a.address_norm, {_FRAGMENT.format('a.ak')} AS frag, c.phone_norm, c.name_norm FROM listings l JOIN a0 a ON a.id = l.asset_id JOIN contacts c ON c.id = l.contact_id),
 ca AS (
-    SELECT item_id, l.id AS listing_id FROM it JOIN li l ON l.listing_url = it.listing_url
+    SELECT item_id, coalesce(u.id, e.id) AS listing_id FROM it LEFT JOIN li u ON u.listing_url = it.listing_url LEFT JOIN li e ON e.external_id = it.ext WHERE coalesce(u.id, e.id) IS NOT NULL
     UNION SELECT item_id, l.id FROM it JOIN li l ON l.phone_norm = it.phone
-    UNION SELECT item_id, l.id FROM it JOIN li l ON l.address_norm = it.address_norm AND l.source_portal = it.portal
+    UNION SELECT item_id, l.id FROM it JOIN li l ON l.address_norm = it.address_norm WHERE placed
+    UNION SELECT item_id, l.id FROM it JOIN li l ON l.frag = it.frag WHERE placed AND (it.portal IS NULL OR l.source_portal IS NULL OR it.portal = l.source_portal)
     UNION SELECT item_id, l.id FROM it JOIN li l ON l.name_norm = it.nm
 )"""
 _PROF = """,
 pf AS (SELECT phone_norm, CASE WHEN a = 1 AND b <= 1 AND c <= 1 THEN 'owner_like' WHEN a >= 4 OR b >= 3 OR c >= 3 THEN 'broker_like' ELSE 'unknown' END AS profile
        FROM (SELECT phone_norm, count(DISTINCT id) AS a, count(DISTINCT asset_id) AS b, count(DISTINCT source_portal) AS c FROM li GROUP BY 1) t),
 pr AS (
-    SELECT ca.item_id, ca.listing_id, coalesce(it.listing_url = l.listing_url, false) AS url, coalesce(it.portal = l.source_portal, false) AS po, coalesce(it.phone = l.phone_norm, false) AS ph, coalesce(it.address_norm = l.address_norm, false) AS ad,
-           coalesce(it.nm = l.name_norm, false) AS nm, CASE WHEN it.current_price_eur > 0 AND l.price_eur > 0 THEN abs(it.current_price_eur - l.price_eur) / greatest(it.current_price_eur, l.price_eur) END AS r, pf.profile
+    SELECT ca.item_id, ca.listing_id, coalesce(it.listing_url = l.listing_url, false) AS url, coalesce(it.ext = l.external_id, false) AS ex, coalesce(it.portal = l.source_portal, false) AS po, coalesce(it.phone = l.phone_norm, false) AS ph, coalesce(it.address_norm = l.address_norm, false) AS ad,
+           coalesce(it.nm = l.name_norm, false) AS nm, coalesce(it.frag = l.frag, false) AS fr, CASE WHEN it.current_price_eur > 0 AND l.price_eur > 0 THEN abs(it.current_price_eur - l.price_eur) / greatest(it.current_price_eur, l.price_eur) END AS r, pf.profile
     FROM ca JOIN it USING (item_id) JOIN li l ON l.id = ca.listing_id LEFT JOIN pf USING (phone_norm)
 ),
 sc AS (
-    SELECT item_id, listing_id, CASE WHEN url THEN 100e0 ELSE 0e0 END + CASE WHEN po THEN 18e0 ELSE 0e0 END + CASE WHEN ph THEN CASE profile WHEN 'owner_like' THEN 45e0 WHEN 'unknown' THEN 28e0 ELSE 10e0 END ELSE 0e0 END + CASE WHEN nm THEN 8e0 ELSE 0e0 END
-           + CASE WHEN ad THEN 40e0 ELSE 0e0 END + CASE WHEN r <= 0.05e0 THEN 18e0 WHEN r <= 0.12e0 THEN 10e0 WHEN r <= 0.20e0 THEN 4e0 WHEN r > 0.20e0 THEN -10e0 ELSE 0e0 END + CASE WHEN ph AND ad THEN 18e0 ELSE 0e0 END + CASE WHEN r <= 0.12e0 AND ad THEN 12e0 ELSE 0e0 END AS score,
-           url, po, ph, profile, r FROM pr
+    SELECT item_id, listing_id, CASE WHEN url THEN 100e0 ELSE 0e0 END + CASE WHEN ex THEN 95e0 ELSE 0e0 END + CASE WHEN po THEN 18e0 ELSE 0e0 END + CASE WHEN ph THEN CASE profile WHEN 'owner_like' THEN 45e0 WHEN 'unknown' THEN 28e0 ELSE 10e0 END ELSE 0e0 END + CASE WHEN nm THEN 8e0 ELSE 0e0 END
+           + CASE WHEN ad THEN 40e0 ELSE 0e0 END + CASE WHEN fr THEN 28e0 ELSE 0e0 END + CASE WHEN r <= 0.05e0 THEN 18e0 WHEN r <= 0.12e0 THEN 10e0 WHEN r <= 0.20e0 THEN 4e0 WHEN r > 0.20e0 THEN -10e0 ELSE 0e0 END + CASE WHEN ph AND ad THEN 18e0 ELSE 0e0 END + CASE WHEN r <= 0.12e0 AND ad THEN 12e0 ELSE 0e0 END AS score,
+           url OR ex AS url, po, ph, profile, r FROM pr
 )"""
 _BEST = """,
-rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, listing_id) AS k, coalesce(lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, listing_id), -999e0) AS second_score FROM sc),
+rk AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, -999e0) AS second_score FROM sc WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, CASE WHEN r <= 0.2e0 THEN r ELSE 1e0 END, listing_id)),
 be AS (SELECT *, score - second_score AS gap FROM rk WHERE k = 1)"""
 
 
-@query(cte("flow_items", "listings") + """ SELECT f.id, coalesce(u.id, ap.id) AS listing_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN ap.id IS NOT NULL THEN 'asset_portal' END AS how
-    FROM flow_items f LEFT JOIN listings u ON u.listing_url = f.listing_url LEFT JOIN (SELECT asset_id, source_portal, min(id) AS id FROM listings WHERE source_portal IS NOT NULL GROUP BY 1, 2) ap ON ap.asset_id = f.id % (SELECT count(*) FROM part) AND ap.source_portal = f.portal""")
+@query(cte("flow_items", "listings") + f""", f AS (SELECT *, {_EXT.format('listing_url')} AS ext, id % (SELECT count(*) FROM part) AS asset, CASE WHEN id % 5 = 2 THEN 'https://www.es.prop.example.com/p/' || (id % (SELECT count(*) FROM orders)) || '?x=1' END AS purl FROM flow_items),
+    l AS (SELECT *, 'https://prop.example.com/p/' || id AS purl FROM listings)
+    SELECT f.id, coalesce(u.id, p.id, e.id, ap.id) AS listing_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN p.id IS NOT NULL THEN 'property_url' WHEN e.id IS NOT NULL THEN 'external_id' WHEN ap.id IS NOT NULL THEN 'asset_portal' END AS how
+    FROM f LEFT JOIN l u ON u.listing_url = f.listing_url LEFT JOIN l p ON p.purl = replace(replace(f.purl, 'www.es.', ''), '?x=1', '') LEFT JOIN l e ON e.external_id = f.ext
+    LEFT JOIN (SELECT f.id AS fid, min(l.id) AS id FROM f JOIN l ON l.asset_id = f.asset AND l.source_portal = f.portal AND (f.id % 3 > 0 OR l.contact_id = f.id % (SELECT count(*) FROM customer)) GROUP BY 1) ap ON ap.fid = f.id""")
 def match_listing(spark, d):
-    n = view(spark, d, "n_parts")
-    items = _items(spark, d).crossJoin(F.broadcast(n)).select("id", "listing_url", F.lit(None).cast("string").alias("external_id"), (F.col("id") % F.col("n")).alias("asset_id"), "portal")
-    return identity.match_listing(items, view(spark, d, "listings"))
+    c = F.col
+    v = lambda n: view(spark, d, n)
+    n = v("n_parts").crossJoin(v("n_listings")).crossJoin(v("n_customers").withColumnRenamed("n", "n_c"))  # one row
+    items = _items(spark, d).crossJoin(F.broadcast(n)).select(
+        "id", "listing_url", F.when(c("id") % 5 == 2, F.concat(F.lit("https://www.es.prop.example.com/p/"), (c("id") % c("n_li")).cast("string"), F.lit("?x=1"))).alias("property_url"), text.external_id(c("listing_url")).alias("external_id"),
+        (c("id") % c("n")).alias("asset_id"), F.when(c("id") % 3 == 0, c("id") % c("n_c")).alias("contact_id"), "portal",
+    )
+    return identity.match_listing(items, v("listings").withColumn("property_url", F.concat(F.lit("https://prop.example.com/p/"), c("id").cast("string"))))
 
 
 @query(cte("contacts") + """ SELECT CASE WHEN id % 3 = 0 THEN 'name:' || name_norm ELSE phone_norm END AS contact_key, min(id) AS first_row, arg_min(name_norm, id) AS name_norm, count(*) AS n_rows FROM contacts GROUP BY 1""")
@@ -207,12 +222,12 @@ def match_building(spark, d):
     return identity.match_building(view(spark, d, "assets").select(F.col("id").alias("row_id"), F.col("address_norm").alias("address_base")))
 
 
-_SHAPED = cte("flow_items", "assets", "contacts", "listings") + ", q AS (SELECT f.id, f.address_norm, f.event_datetime, f.current_price_eur, l.source_portal, l.contact_id, 20e0 + f.id % 150 AS area_m2, CASE WHEN f.id % 2 = 0 THEN 'standard' ELSE 'economy' END AS typ FROM flow_items f JOIN listings l ON l.id = f.id % 1500)"
+_SHAPED = cte("flow_items", "assets", "contacts", "listings") + ", q AS (SELECT f.id, f.address_norm, f.event_datetime, f.current_price_eur, l.source_portal, l.contact_id, 20e0 + f.id % 150 AS area_m2, CASE WHEN f.id % 2 = 0 THEN 'standard' ELSE 'economy' END AS typ FROM flow_items f JOIN listings l ON l.id = f.id % (SELECT count(*) FROM orders))"
 
 
 def _shaped(spark, d):
     c = F.col
-    items = _items(spark, d).withColumn("listing_id", c("id") % 1500).select("id", "listing_id", "address_norm", "event_datetime", "current_price_eur")
+    items = _items(spark, d).crossJoin(F.broadcast(view(spark, d, "n_listings"))).withColumn("listing_id", c("id") % c("n_li")).select("id", "listing_id", "address_norm", "event_datetime", "current_price_eur")
     l = view(spark, d, "listings").select(c("id").alias("listing_id"), "source_portal", "contact_id")  # noqa: E741
     return items.join(l, "listing_id").withColumns({"area_m2": (c("id") % 150 + 20).cast("double"), "asset_type_detail": F.when(c("id") % 2 == 0, "standard").otherwise("economy")})
 
@@ -246,27 +261,34 @@ def match_listing_in_window(spark, d):
     return identity.match_listing_in_window(items.drop("listing_id", "contact_id"), view(spark, d, "listings"), view(spark, d, "assets"), view(spark, d, "contacts"), window)
 
 
-def _scored(spark, d):
+def _keys(spark, d):
     v = lambda n: view(spark, d, n)
-    items, listings, assets, contacts = _items(spark, d), v("listings"), v("assets"), v("contacts")
-    found = identity.flow_candidates(items, listings, assets, contacts)
-    return items, identity.score_candidates(found, items, listings, assets, contacts, profiles.phone_profiles(listings, contacts))
+    listings, contacts = v("listings"), v("contacts")
+    return matching.item_keys(_items(spark, d)), matching.listing_keys(listings, v("assets"), contacts, profiles.phone_profiles(listings, contacts))
 
 
 @query(_JOINED + " SELECT * FROM ca")
 def flow_candidates(spark, d):
-    v = lambda n: view(spark, d, n)
-    return identity.flow_candidates(_items(spark, d), v("listings"), v("assets"), v("contacts"))
+    return matching.flow_candidates(*_keys(spark, d))
 
 
 @query(_JOINED + _PROF + " SELECT item_id, listing_id, score FROM sc")
 def score_candidates(spark, d):
-    return _scored(spark, d)[1].select("item_id", "listing_id", "score")
+    items, listings = _keys(spark, d)
+    return matching.score_candidates(matching.flow_candidates(items, listings), items, listings).select("item_id", "listing_id", "score")
 
 
 @query(_JOINED + _PROF + _BEST + " SELECT item_id, listing_id, score, second_score, gap FROM be")
 def best_and_gap(spark, d):
-    return identity.best_and_gap(_scored(spark, d)[1], "item_id", "listing_id").select("item_id", "listing_id", "score", "second_score", "gap")
+    return matching.best_matches(*_keys(spark, d)).select("item_id", "listing_id", "score", "second_score", "gap")
+
+
+def similar_fragments(spark, d):
+    """J-09, F-23: fuzzy ratios of distinct fragments; no SQL, tested against brute force."""
+    return matching.similar_fragments(*_keys(spark, d))
+
+
+QUERIES["similar_fragments"] = similar_fragments
 
 
 _DECIDED = _JOINED + _PROF + _BEST + """,
@@ -277,15 +299,24 @@ de AS (SELECT it.item_id, it.current_price_eur, it.event_datetime, be.listing_id
 @query(_DECIDED + """ SELECT item_id, CASE WHEN match_status = 'resolved' THEN listing_id END AS listing_id, match_status, coalesce(score, 0e0) AS match_score,
     CASE WHEN score IS NULL THEN 'no_candidates' WHEN match_status <> 'resolved' THEN 'candidate_scoring' WHEN url THEN 'direct_anchor' WHEN ph AND profile = 'owner_like' AND po THEN 'phone_portal_owner' WHEN ph AND r > 0.05e0 AND r <= 0.12e0 THEN 'phone_price' ELSE 'candidate_scoring' END AS match_strategy FROM de""")
 def decide_matches(spark, d):
-    return identity.decide_matches(*_scored(spark, d))
+    items, listings = _keys(spark, d)
+    return matching.decide_matches(items, matching.best_matches(items, listings))
+
+
+_STATUS = "CASE event_type_guess WHEN 'listing_detected' THEN 'active' WHEN 'sold' THEN 'sold' END"
 
 
-@query(_DECIDED + """, mm AS (SELECT listing_id AS id, arg_min(current_price_eur, event_datetime) AS p, count(*) AS n FROM de WHERE match_status = 'resolved' GROUP BY 1)
-    SELECT id, coalesce(p, price_eur) AS price_eur, coalesce(n, 0) AS matched_items FROM listings LEFT JOIN mm USING (id)""")
+@query(_DECIDED + f""", mm AS (SELECT listing_id AS id, arg_min(current_price_eur, event_datetime) AS p, arg_min({_STATUS}, event_datetime) FILTER ({_STATUS} IS NOT NULL) AS st, arg_max(portal, event_datetime) FILTER (portal IS NOT NULL) AS po, max(event_datetime) AS seen, count(*) AS n
+        FROM de JOIN (SELECT id AS item_id, event_type_guess, portal FROM flow_items) USING (item_id) WHERE match_status = 'resolved' GROUP BY 1)
+    SELECT id, coalesce(p, price_eur) AS price_eur, {_R("CASE WHEN p IS NULL THEN price_per_m2 ELSE p / area_m2 END", 4)} AS price_per_m2, coalesce(st, status) AS status, coalesce(source_portal, po) AS source_portal,
+           strftime(seen, '%Y-%m-%d %H:%M:%S') AS first_seen, coalesce(n, 0) AS matched_items FROM listings LEFT JOIN mm USING (id)""")
 def apply_matches(spark, d):
-    items, scored = _scored(spark, d)
-    decided = identity.decide_matches(items, scored).join(items.select(F.col("id").alias("item_id"), "current_price_eur", "event_datetime"), "item_id")
-    return identity.apply_matches(view(spark, d, "listings"), decided).select("id", "price_eur", "matched_items")
+    items, listings = _keys(spark, d)
+    flow = _items(spark, d).select(F.col("id").alias("item_id"), "current_price_eur", "event_datetime", "event_type_guess", "portal", "listing_url")
+    decided = matching.decide_matches(items, matching.best_matches(items, listings)).join(flow, "item_id")
+    stored = view(spark, d, "listings").withColumns({"first_seen_at": F.lit(None).cast("timestamp_ntz"), "last_seen_at": F.col("updated_at")})
+    done = identity.apply_matches(stored, decided)
+    return done.select("id", "price_eur", numbers.rounded(F.col("price_per_m2"), 4).alias("price_per_m2"), "status", "source_portal", F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "matched_items")
 
 
 @query(cte("flow_items", "links") + " SELECT id FROM flow_items WHERE id NOT IN (SELECT flow_item_id FROM links WHERE match_status = 'resolved')")
@@ -293,13 +324,13 @@ def pending_flow(spark, d):
     return identity.pending_flow(_items(spark, d), view(spark, d, "links")).select("id")
 
 
-@query(cte("market_events") + """, e AS (SELECT DISTINCT listing_id, event_type, CAST(event_datetime AS DATE) AS event_day, CASE WHEN id % 3 = 0 THEN NULL ELSE price_old END AS price_old, price_new, source_channel FROM market_events)
-    SELECT DISTINCT listing_id, event_type, event_day, price_old, price_new FROM e WHERE source_channel = 'flow'
-    EXCEPT SELECT listing_id, event_type, event_day, price_old, price_new FROM e WHERE source_channel = 'alerts'""")
+@query(cte("market_events") + """, e AS (SELECT id, listing_id, asset_id, CASE WHEN id % 2 = 0 THEN 'flow' ELSE source_channel END AS source_channel, event_type, CAST(event_datetime AS DATE) AS event_day, CASE WHEN id % 3 = 0 THEN NULL ELSE price_old END AS price_old, price_new FROM market_events)
+    SELECT DISTINCT listing_id, asset_id, source_channel, event_type, event_day, price_old, price_new FROM e
+    EXCEPT SELECT listing_id, asset_id, source_channel, event_type, event_day, price_old, price_new FROM e WHERE id % 5 = 0""")
 def new_market_events(spark, d):
     c = F.col
-    e = view(spark, d, "market_events").select("listing_id", "event_type", c("event_datetime").cast("date").alias("event_day"), F.when(c("id") % 3 != 0, c("price_old")).alias("price_old"), "price_new", "source_channel")
-    return identity.new_market_events(e.where("source_channel = 'flow'"), e.where("source_channel = 'alerts'")).drop("source_channel")
+    e = view(spark, d, "market_events").select("id", "listing_id", "asset_id", F.when(c("id") % 2 == 0, "flow").otherwise(c("source_channel")).alias("source_channel"), "event_type", c("event_datetime").cast("date").alias("event_day"), F.when(c("id") % 3 != 0, c("price_old")).alias("price_old"), "price_new")
+    return identity.new_market_events(e, e.where("id % 5 = 0")).drop("id")  # what is stored: events of every fifth id
 
 
 @query(cte("flow_items") + """ SELECT source_uid, count(*) AS occurrence_count, min(id) AS first_seq, max(id) AS last_seq, arg_max(portal, id) FILTER (portal IS NOT NULL AND portal <> '') AS portal, arg_max(contact_phone, id) FILTER (contact_phone IS NOT NULL) AS contact_phone,

@@ -16,6 +16,7 @@ AS_OF = "2024-01-31 00:00:00"
 VIEWS: dict[str, str] = {
     "n_parts": "SELECT count(*) AS n FROM part",
     "n_customers": "SELECT count(*) AS n FROM customer",
+    "n_listings": "SELECT count(*) AS n_li FROM orders",
     "assets": """
         SELECT p_partkey AS id, lower(p_type) AS asset_type_detail,
                CASE WHEN p_partkey % 3 = 0 THEN 'retail_office' ELSE 'residential_standard' END AS asset_type_family,
@@ -46,38 +47,38 @@ VIEWS: dict[str, str] = {
     """,
     "snapshots": "SELECT l_orderkey AS listing_id, l_shipdate AS snapshot_datetime, l_extendedprice AS price_eur, l_linestatus AS status FROM lineitem",
     "market_events": """
-        SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % n END AS asset_id, event_id % 1500 AS listing_id,
+        SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % n END AS asset_id, event_id % n_li AS listing_id,
                CASE event_type WHEN 'view' THEN 'listing_detected' WHEN 'click' THEN 'price_drop' WHEN 'purchase' THEN 'sold' WHEN 'signup' THEN 'reserved' ELSE 'expired' END AS event_type,
                ts AS event_datetime, CASE WHEN event_id % 10 = 9 THEN 'alerts' ELSE 'flow' END AS source_channel,
                CAST(100000 + floor(value) * 100 AS DOUBLE) AS price_old, CAST(100000 + floor(value) * 100 - (event_id % 40) * 1000 AS DOUBLE) AS price_new
-        FROM events CROSS JOIN n_parts
+        FROM events CROSS JOIN n_parts CROSS JOIN n_listings
     """,
     "flow_items": """
         SELECT e.event_id AS id, concat('uid', CAST(e.event_id % 9000 AS STRING)) AS source_uid,
                CASE e.event_type WHEN 'view' THEN 'listing_detected' WHEN 'click' THEN 'price_drop' WHEN 'purchase' THEN 'sold' ELSE 'history_item' END AS event_type_guess,
-               e.ts AS event_datetime, a.address_raw, a.address_norm,
+               e.ts AS event_datetime, CASE WHEN e.event_id % 17 = 0 THEN concat('Barrio ', coalesce(a.neighborhood, 'Sol')) ELSE a.address_raw END AS address_raw, a.address_norm,
                CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE l.source_portal END AS portal,
                CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE c.name_raw END AS contact_name,
                CASE WHEN e.event_id % 4 = 1 THEN NULL ELSE c.phone_raw END AS contact_phone,
-               CASE WHEN e.event_id % 6 = 0 THEN l.listing_url ELSE NULL END AS listing_url,
+               CASE WHEN e.event_id % 6 = 0 THEN l.listing_url WHEN e.event_id % 6 = 1 THEN concat('https://otra.example.com/x/listing-', l.external_id) ELSE NULL END AS listing_url,
                l.price_eur * (1e0 + CAST(e.event_id % 30 AS DOUBLE) * 1e-2) AS current_price_eur,
                CASE WHEN e.event_id % 2 = 0 THEN l.price_eur ELSE NULL END AS previous_price_eur
-        FROM events AS e JOIN listings AS l ON l.id = e.event_id % 1500
+        FROM events AS e CROSS JOIN n_listings JOIN listings AS l ON l.id = e.event_id % n_li
         JOIN assets AS a ON a.id = l.asset_id JOIN contacts AS c ON c.id = l.contact_id
     """,
     "links": """
-        SELECT event_id AS flow_item_id, CASE WHEN event_id % 3 = 0 THEN event_id % 1500 ELSE NULL END AS listing_id,
+        SELECT event_id AS flow_item_id, CASE WHEN event_id % 3 = 0 THEN event_id % n_li ELSE NULL END AS listing_id,
                CASE WHEN event_id % 3 = 0 THEN 'resolved' WHEN event_id % 3 = 1 THEN 'unresolved' WHEN event_id % 5 = 0 THEN 'pending' ELSE 'ambiguous' END AS match_status,
                CAST(event_id % 120 AS DOUBLE) AS match_score,
                CASE WHEN event_id % 3 = 0 THEN 'direct_anchor' ELSE 'candidate_scoring' END AS match_strategy,
                CASE WHEN event_id % 7 = 0 THEN 'reason=price_conflict | precio lejos' ELSE 'reason=weak_identity' END AS match_note
-        FROM events WHERE event_id % 8 <> 7
+        FROM events CROSS JOIN n_listings WHERE event_type <> 'signup'
     """,
     "reviews": """
-        SELECT event_id AS id, event_id % 2000 AS flow_item_id, CASE event_id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'no_match' WHEN 2 THEN 'match' ELSE 'unsure' END AS review_label,
+        SELECT event_id AS id, CAST(floor(event_id / 2) AS BIGINT) AS flow_item_id, CASE event_id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'no_match' WHEN 2 THEN 'match' ELSE 'unsure' END AS review_label,
                CASE WHEN event_id % 3 = 0 THEN 'resolved' WHEN event_id % 3 = 1 THEN 'unresolved' ELSE 'ambiguous' END AS predicted_status,
                CAST(event_id % 101 AS DOUBLE) / 1e2 AS predicted_score, ts AS created_at
-        FROM events WHERE event_id % 2 = 0
+        FROM events
     """,
     "zone_context": """
         SELECT 'neighborhood' AS zone_level, concat(substr(n_name, 1, 1), lower(substr(n_name, 2))) AS zone_label, n_name AS zone_name,
@@ -91,7 +92,7 @@ VIEWS: dict[str, str] = {
     """,
 }
 #: which views a view reads, beside the driver's tables
-NEEDS = {"contacts": ["n_customers"], "listings": ["n_parts"], "market_events": ["n_parts"], "flow_items": ["n_parts", "n_customers", "assets", "contacts", "listings"]}
+NEEDS = {"contacts": ["n_customers"], "listings": ["n_parts"], "market_events": ["n_parts", "n_listings"], "links": ["n_listings"], "flow_items": ["n_parts", "n_customers", "n_listings", "assets", "contacts", "listings"]}
 
 
 def cte(*names: str) -> str:

@@ -169,7 +169,7 @@ q AS (
 _TOP = lambda src, kind, keys, k, label="zone_label", where="true": f"(SELECT '{kind}' AS kind, {label} FROM {src} WHERE {where} ORDER BY {', '.join(keys)}, {label} LIMIT {k})"
 _CLIP = lambda x: f"CASE WHEN count(*) OVER () < 6 THEN {x} ELSE least(greatest({x}, quantile_cont({x}, 0.1) OVER ()), quantile_cont({x}, 0.9) OVER ()) END"
 _W = "w AS (SELECT *, " + ", ".join(f"{_CLIP(f'zone_{k}_score')} AS {k}_sort" for k in ("capture", "heat", "pressure", "liquidity")) + " FROM z)"
-_ALERTS = f"al AS (SELECT zone_label, count(*) AS alerts_in_window, CAST(sum(id % 4 + 1) AS BIGINT) AS occurrences_in_window, count(*) FILTER (id % 2 = 0) AS resolved_in_window FROM zf WHERE id % 3 = 0 GROUP BY 1)"
+_ALERTS = f"al AS (SELECT zone_label, count(*) AS alerts_in_window, CAST(sum(id % 4 + 1) AS BIGINT) AS occurrences_in_window, count(*) FILTER (id % 2 = 0) AS resolved_in_window FROM zf GROUP BY 1)"
 _V1 = SCORED + f""",
 {_ALERTS},
 v0 AS (SELECT f.*, coalesce(alerts_in_window, 0) AS aw, coalesce(occurrences_in_window, 0) AS ow, coalesce(resolved_in_window, 0) AS rw FROM f LEFT JOIN al USING (zone_label) WHERE assets_count > 0 OR listings_count > 0),
