@@ -35,8 +35,13 @@ EM_ROUNDS = 3
 SLICE_ROWS = 300
 #: Distinct words that a worker remembers.
 CACHE_WORDS = 300_000
-#: Runs of letters (general category L), as ``\\p{L}+`` in Spark: alphanumeric characters that are no number.
-_WORD = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal())) + "]+")
+#: Runs of letters and of other characters that count as alphanumeric; these are told apart in ``letters``.
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def letters(run: str) -> list[str]:
+    """The words of a run: its runs of letters (general category L), as ``\\p{L}+`` in Spark."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def default_vocabulary() -> str:
@@ -52,7 +57,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return [p for p in found if p == p.lower() and (_WORD.fullmatch(p.removeprefix(WORD_START)) or p == WORD_START)]
+    return [p for p in found if p == p.lower() and (p.removeprefix(WORD_START).isalpha() or p == WORD_START)]
 
 
 @lru_cache(maxsize=4)
@@ -145,43 +150,51 @@ def train(labelled: DataFrame, *, vocabulary_path: str | None = None, rows_per_l
 
 
 class Scorer:
-    """Scores batches of texts; remembers the words that it has scored."""
+    """Scores batches of texts; remembers the runs of letters that it has scored."""
 
     def __init__(self, langs: list[str], p: np.ndarray, path: str):
         self.langs, self.p, self.path = langs, p, path
+        self.forget()
+
+    def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.known = np.zeros((0, len(langs)))
+        self.known, self.worded = np.zeros((0, len(self.langs))), np.zeros(0, bool)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, runs: list[str]) -> None:
+        """Rows of new runs: the sum over their words, of which a run of numbers has none."""
+        words = [letters(r) for r in runs]
         groups: dict[int, list[str]] = {}
-        for w in words:
+        for w in {w for ws in words for w in ws}:
             groups.setdefault(len(w), []).append(w)
-        found = [self.known]
-        at = len(self.known)
+        score: dict[str, np.ndarray] = {}
         for group in groups.values():
             step = max(1, 500_000 // (len(group[0]) + 1) // max(1, len(self.langs)))
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                found.append(forward(lattice([WORD_START + w for w in part], self.path), self.p))
-                self.row.update(zip(part, range(at, at + len(part)), strict=True))
-                at += len(part)
-        self.known = np.concatenate(found)
+                score.update(zip(part, forward(lattice([WORD_START + w for w in part], self.path), self.p), strict=True))
+        none = np.zeros(len(self.langs))
+        found = [score[ws[0]] if len(ws) == 1 else sum((score[w] for w in ws), none) for ws in words]
+        self.row.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
+        self.known = np.concatenate([self.known, np.array(found).reshape(len(runs), len(self.langs))])
+        self.worded = np.concatenate([self.worded, np.array([bool(ws) for ws in words], bool)])
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
+        runs = [_RUN.findall(t.lower()) if t else [] for t in texts]
+        flat = [r for rs in runs for r in rs]
         new = set(flat) - self.row.keys()
         if len(self.row) + len(new) > CACHE_WORDS:
-            self.row, self.known = {}, np.zeros((0, len(self.langs)))
+            self.forget()
             new = set(flat)
         if new:
             self.learn(sorted(new))
-        sizes = np.array([len(ws) for ws in words])
+        sizes = np.array([len(rs) for rs in runs])
         lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
         if (full := np.flatnonzero(sizes)).size and self.langs:
-            rows = self.known[np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))]
+            rows = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            ll = np.add.reduceat(rows, starts, axis=0)
+            ll = np.add.reduceat(self.known[rows], starts, axis=0)
+            worded = np.logical_or.reduceat(self.worded[rows], starts)
+            full, ll = full[worded], ll[worded]
             post = np.exp(ll - ll.max(axis=1, keepdims=True))
             post /= post.sum(axis=1, keepdims=True)
             best = post.argmax(axis=1)

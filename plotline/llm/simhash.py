@@ -136,6 +136,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
 
 #: For texts that are similar, not nearly equal: fingerprints of so many bits, of the distinct word pairs, dealt into tables.
 WIDE_BITS, PAIR_SHINGLE = 192, 2
+#: Slots that the texts of candidate pairs are hashed into: the table of used slots, which is broadcast, never has more rows.
+SLOTS = 1 << 22
 #: Texts are similar whose sets of so many words have a Jaccard similarity of NEAR / OF or more.
 GRAM, NEAR, OF = 5, 4, 5
 #: One text in SAMPLE is asked which shingles are common, at more than COMMON heads of these; it sets their order, not the results.
@@ -318,9 +320,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """
     parity = [f"p{i}" for i in range(4)]
     found = written(prints(docs, common_grams(docs)), "similar-prints")
-    nodes = found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"), *[F.first(x).alias(x) for x in ("f0", "f1", "f2", *parity, "size", "head")])
-    nodes = durable(nodes)
-    rows = nodes.select("key", "size", F.posexplode("head").alias("pos", "gram"))
+    nodes = durable(found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"), *[F.first(x).alias(x) for x in ("f0", "f1", "f2", *parity, "size")]))
+    rows = found.select("key", "size", "head").groupBy("key").agg(F.first("size").alias("size"), F.first("head").alias("head")).select("key", "size", F.posexplode("head").alias("pos", "gram"))
     of_gram = Window.partitionBy("gram").orderBy("key")
     here = F.struct("key", "pos", "size")
     shared = rows.select("gram", "key", "pos", "size", F.lag(here).over(of_gram).alias("before"), F.first(here).over(of_gram).alias("first"), F.lead("key").over(of_gram).alias("next"))
@@ -341,8 +342,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     def texts(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ids = durable(nodes.join(keys, "key", "left_semi").select("key", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")))
-        some = docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")))
-        return written(some.select("key", "text"), "similar-texts").dropDuplicates(["key"])
+        slot = lambda i, d: F.pmod(F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("")), d), F.lit(SLOTS))
+        used = F.broadcast(ids.select(slot("_id", "_digest").alias("_slot")).distinct())  # SLOTS rows at most; spares most texts the shuffle
+        some = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.xxhash64("text")).withColumn("_slot", slot("doc_id", "digest")).join(used, "_slot", "left_semi")
+        some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+        return some.groupBy("key").agg(F.first("text").alias("text"))
 
     edges = durable(verified(tried, texts(tried)))
     parts = components(edges)
