@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -69,3 +69,54 @@ def address_similarity(a: Column, b: Column) -> Column:
     """The better of both ratios of two addresses' fragments; 0 without one."""
     x, y = address_fragment(a), address_fragment(b)
     return F.greatest(fuzzy_ratio(x, y), partial_ratio(x, y))
+
+
+def _token_ratios(a: str, b: str) -> tuple[float, float]:
+    """Ratios that do not mind the order of words: whole (sorted, and by what is common), and of parts."""
+    x, y = a.split(), b.split()
+    common = sorted(set(x) & set(y))
+    more_x, more_y = " ".join(sorted(set(x) - set(common))), " ".join(sorted(set(y) - set(common)))
+    ordered = " ".join(sorted(x)), " ".join(sorted(y))
+    whole = indel_ratio(*ordered)
+    if common:
+        base = " ".join(common)
+        both = [f"{base} {m}".strip() for m in (more_x, more_y)]
+        whole = 100.0 if not (more_x and more_y) else max(whole, indel_ratio(*both), *(indel_ratio(base, m) for m in both))
+    part = 100.0 if common else max(best_window_ratio(*ordered), best_window_ratio(more_x, more_y))
+    return whole, part
+
+
+def weighted(a: str, b: str) -> float:
+    """The best of ratios of whole texts, parts and words, parts counting less the more the lengths differ."""
+    if not a or not b:
+        return 0.0
+    size = max(len(a), len(b)) / min(len(a), len(b))
+    whole, part = _token_ratios(a, b)
+    if size < 1.5:
+        return max(indel_ratio(a, b), 0.95 * whole)
+    scale = 0.9 if size < 8 else 0.6
+    return max(indel_ratio(a, b), scale * best_window_ratio(a, b), 0.95 * scale * part)
+
+
+@F.pandas_udf(DoubleType())
+def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """F-24: see ``weighted``."""
+    return _pairs(weighted, a, b)
+
+
+def best_keys(keys: DataFrame, choices: DataFrame, *, least: float = 92.0) -> DataFrame:
+    """F-24: key, choice, score: of the distinct ``keys`` (key) the best of ``choices`` (choice, place) at ``least`` or more; ties: the first place.
+
+    Keys meet choices that share a word or three letters in a row; ratios are computed on these pairs only.
+    """
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        k = F.col(name)
+        parts = F.concat(F.split(k, " "), F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: k.substr(i, F.lit(3))))
+        return df.withColumn("_g", F.explode(F.array_distinct(parts)))
+
+    left = grams(keys.where("key is not null").select("key").distinct(), "key")
+    right = grams(choices.where("choice is not null").groupBy("choice").agg(F.min("place").alias("place")), "choice")
+    pairs = left.join(right, "_g").select("key", "choice", "place").distinct()
+    scored = pairs.withColumn("score", weighted_ratio(F.col("key"), F.col("choice"))).where(F.col("score") >= least)
+    return scored.groupBy("key").agg(F.max(F.struct("score", -F.col("place"), "choice")).alias("b")).select("key", "b.choice", "b.score")

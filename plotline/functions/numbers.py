@@ -38,13 +38,15 @@ def flow_price(c: Column) -> Column:
 
 
 def flow_price_pair(text: Column) -> Column:
-    """F-10: struct(current, previous): the first two different prices of a text, those with a euro sign first of all."""
-    as_price = lambda x: F.regexp_replace(x, r"[^0-9]", "").try_cast("double")
-    keep = lambda a: F.array_distinct(F.filter(F.transform(a, as_price), lambda p: (p >= 30000) & (p <= 50000000)))
+    """F-10: struct(current, previous) of a text: amounts after a euro sign; without one, different numbers beside a word of a price; else different numbers of six to eight digits."""
+    number = lambda x: F.regexp_replace(x, r"[^0-9]", "").try_cast("double")
+    fit = lambda a: F.filter(F.transform(a, number), lambda p: (p >= 30000) & (p <= 50000000))
     t = F.coalesce(text, F.lit(""))
-    euros = keep(F.regexp_extract_all(t, F.lit(r"([0-9][0-9.]*)\s*(?:€|eur)"), F.lit(1)))
-    plain = keep(F.regexp_extract_all(t, F.lit(r"\b([0-9]{6,8})\b"), F.lit(1)))
-    found = F.when(F.size(euros) > 0, euros).otherwise(plain)
+    every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    euros = fit(every(r"€\s*([\d.,]+)"))
+    near = F.array_distinct(fit(F.concat(every(r"(?i)(?:precio|price|venta|sale)\D{0,20}(\d{5,8})"), every(r"(?i)(\d{5,8})\D{0,10}(?:eur|€)"))))
+    plain = F.array_distinct(fit(every(r"\b(\d{6,8})\b")))
+    found = F.when(F.size(euros) > 0, euros).when(F.size(near) > 0, near).otherwise(plain)
     return F.struct(F.get(found, 0).alias("current"), F.get(found, 1).alias("previous"))
 
 

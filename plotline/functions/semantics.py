@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plotline.functions.bands import chain
-from plotline.functions.text import normalize_text, text_key
+from plotline.functions.text import let, normalize_text, text_key
 
 #: Words that tell a street, and names of event types in page addresses.
 STREET_HINTS = ["calle", "cl", "avenida", "av", "paseo", "ps", "plaza", "pl", "carretera", "camino", "via", "ronda", "travesia"]
 EVENT_NAMES = {"new": "listing_detected", "listingdetected": "listing_detected", "pricedrop": "price_drop", "decrease": "price_drop", "priceraise": "price_raise", "increase": "price_raise", "reserved": "reserved", "notavailable": "not_available", "sold": "sold", "expired": "expired"}
+#: Fixed value: words of a price.
+PRICE_WORDS = "precio|price|venta|sale|bajada|subida"
 GENERIC_CONTACTS = ["anuncio particular", "particular", "profesional", "inmobiliaria", "agencia", "anunciante", "propietario"]
 
 
@@ -32,7 +34,7 @@ def price_semantics(current: Column, previous: Column, text: Column) -> Column:
     t = F.coalesce(normalize_text(text), F.lit(""))
     k = F.coalesce(text_key(text), F.lit(""))
     euro = t.contains("€") | F.concat(F.lit(" "), k, F.lit(" ")).contains(" eur ")
-    named = k.rlike("precio|price|venta|sale|bajada|subida")
+    named = k.rlike(PRICE_WORDS)
     source = chain((current.isNull(), "none"), (euro, "eur_text"), (named, "contextual_fallback"), other="structured_or_weak_fallback")
     confidence = chain((current.isNull(), "none"), ((current < 30000) | (current > 50000000), "low"), (euro, "high"), (named & previous.isNotNull(), "high"), (named, "medium"), other="low")
     return F.struct(confidence.alias("price_confidence"), source.alias("price_source"))
@@ -45,13 +47,13 @@ def event_type_of_url(c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in EVENT_NAMES.items() for x in pair]), key)
 
 
+#: Words of a flow text and the event type that they tell, in this order.
+EVENT_WORDS = [("bajada de precio", "price_drop"), ("subida de precio", "price_raise"), ("reservado", "reserved"), ("no disponible", "not_available"), ("vendido", "sold"), ("vencido", "expired"), ("nuevo", "listing_detected")]
+
+
 def infer_event_type(text: Column) -> Column:
-    """F-26: the event type that Spanish words of a text tell."""
-    k = F.coalesce(text_key(text), F.lit(""))
-    return chain(
-        (k.contains("bajada"), "price_drop"), (k.contains("subida"), "price_raise"), (k.contains("reservad"), "reserved"), (k.contains("no disponible"), "not_available"),
-        (k.contains("vendid"), "sold"), (k.contains("caducad") | k.contains("expirad"), "expired"), (k.contains("nuevo") | k.contains("entrada"), "listing_detected"), other="history_item",
-    )
+    """F-26: the event type that Spanish words of a text tell (Q16)."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda t: chain(*[(t.contains(w), kind) for w, kind in EVENT_WORDS], other="history_item"))
 
 
 def source_uid(*parts: Column) -> Column:
@@ -60,7 +62,7 @@ def source_uid(*parts: Column) -> Column:
 
 
 def price_key(c: Column) -> Column:
-    return F.coalesce(F.floor(c).cast("string"), F.lit("na"))
+    return F.coalesce(F.floor(c).cast("string"), F.lit("na"))  # a number of euros is whole
 
 
 def is_generic_contact(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latin letters with marks, and what they are without.
@@ -26,6 +26,11 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), 0)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` over columns that cost much: the filter stays above them, so nothing is computed twice to be filtered first."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def normalize_text(c: Column) -> Column:
     """F-01: trimmed, white space collapsed, empty as null. Compatibility forms are left as they are: see ``unicode_text``."""
     return blank_to_null(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")))

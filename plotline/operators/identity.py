@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.bands import chain
 from plotline.functions.numbers import area_is_close, price_is_close
-from plotline.functions.text import blank_to_null, external_id, normalize_url, portal_key, portal_label
+from plotline.functions.text import blank_to_null, external_id, normalize_phone, normalize_url, portal_key, portal_label, text_key
 from plotline.operators.matching import best_and_gap
 
 
@@ -52,6 +52,78 @@ def match_building(rows: DataFrame) -> DataFrame:
     return rows.where("address_base is not null").groupBy("address_base").agg(F.min("row_id").alias("building_id"), F.count("*").alias("n_rows"))
 
 
+#: Points of an asset for a row, and from how many on it is the row's.
+ASSET_BUILDING, ASSET_STREET, ASSET_TYPE, ASSET_AREA, ASSET_LEAST = 50, 40, 20, 20, 60
+
+
+def assign_assets(rows: list[tuple]) -> list[int]:
+    """For each row (building, type, area), in order, the index of the row that founded its asset (Q2). Ties keep the first; all rows are of one street.
+
+    An asset takes a building and an area from a later row where it has none.
+    """
+    assets: list[list] = []  # founder, building, type, area
+    out = []
+    for i, (building, kind, area) in enumerate(rows):
+        best, most = None, 0
+        for a in assets:
+            close = a[3] is None or area is None or abs(a[3] - area) <= max(5.0, max(a[3], area) * 0.08)
+            score = ASSET_STREET + ASSET_BUILDING * (building is not None and a[1] == building) + ASSET_TYPE * (kind is not None and a[2] == kind) + ASSET_AREA * close
+            if score > most:
+                best, most = a, score
+        if most < ASSET_LEAST:
+            best = [i, building, kind, area]
+            assets.append(best)
+        best[1], best[3] = best[1] if best[1] is not None else building, best[3] if best[3] is not None else area
+        out.append(best[0])
+    return out
+
+
+def match_asset(rows: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """J-04: row_id, asset_id (the row that founded the asset) of ``rows`` (row_id, address_norm, building_id, asset_type_detail, area_m2).
+
+    Greedy within a street, in the order of row_id. Rows of one street that are alike in building, type and area are one unit, that of
+    the first of them: a street's group holds as many units as it has, not rows. A row without a street is an asset of its own.
+    With ``similar`` (address_norm, other: distinct keys at 92 or more, see ``similar_streets``) an asset joins the first
+    earlier asset of a similar street that has its type and a close area.
+    """
+    import pandas as pd
+
+    unit = ["address_norm", "building_id", "asset_type_detail", "area_m2"]
+    plain = rows.select("row_id", "address_norm", F.col("building_id").cast("string").alias("building_id"), "asset_type_detail", F.col("area_m2").cast("double").alias("area_m2"))
+    units = plain.where("address_norm is not null").groupBy(*unit).agg(F.min("row_id").alias("first"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first", ignore_index=True)
+        none = lambda x: None if x is None or x != x else x
+        at = assign_assets([(none(b), none(k), none(a)) for b, k, a in zip(pdf["building_id"], pdf["asset_type_detail"], pdf["area_m2"], strict=True)])
+        pdf["asset_id"] = pdf["first"].to_numpy()[at]
+        return pdf[[*unit, "asset_id"]]
+
+    found = units.groupBy("address_norm").applyInPandas(fold, "address_norm string, building_id string, asset_type_detail string, area_m2 double, asset_id long")
+    if similar is not None:
+        founders = found.select("asset_id", "address_norm").distinct().join(plain.select(F.col("row_id").alias("asset_id"), "asset_type_detail", "area_m2"), "asset_id")
+        other = founders.select(F.col("asset_id").alias("to"), F.col("address_norm").alias("other"), F.col("asset_type_detail").alias("_kind"), F.col("area_m2").alias("_area"))
+        near = founders.join(similar.select("address_norm", "other"), "address_norm").join(other, "other").where((F.col("to") < F.col("asset_id")) & (F.col("asset_type_detail") == F.col("_kind")) & area_is_close(F.col("_area"), F.col("area_m2")))
+        moved = near.groupBy("asset_id").agg(F.min("to").alias("to"))
+        found = found.join(moved, "asset_id", "left").withColumn("asset_id", F.coalesce("to", "asset_id")).drop("to")
+    named = found.select(*[F.col(x).alias(f"_{x}") for x in unit], "asset_id")
+    same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in unit]
+    j = plain.join(named, same[0] & same[1] & same[2] & same[3], "left")
+    return j.select("row_id", F.coalesce("asset_id", "row_id").alias("asset_id"))
+
+
+def similar_streets(rows: DataFrame, *, least: float = 92.0) -> DataFrame:
+    """J-04: address_norm, other: distinct street keys whose ratio is ``least`` or more. They meet by three letters in a row; lengths differ by 16 % at most."""
+    from plotline.functions.fuzzy import fuzzy_ratio
+
+    k = F.col("address_norm")
+    grams = rows.select("address_norm").where(F.length(k) > 0).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: k.substr(i, F.lit(3))))))
+    other = grams.select(k.alias("other"), "_g")
+    slack = 2 * (100.0 - least) / 100
+    pairs = grams.join(other, "_g").where((k != F.col("other")) & (F.abs(F.length(k) - F.length("other")) <= slack * (F.length(k) + F.length("other")) / 2)).select("address_norm", "other").distinct()
+    return pairs.where(fuzzy_ratio(k, F.col("other")) >= least)
+
+
 def match_asset_strict(items: DataFrame, assets: DataFrame) -> DataFrame:
     """J-05: id, asset_id, tier: same street and type and area, else type, else area, else the only asset there; the lowest id of the best tier."""
     a = assets.select(F.col("id").alias("asset_id"), "address_norm", "asset_type_detail", F.col("area_m2").alias("_area"))
@@ -85,6 +157,39 @@ def match_listing_in_window(items: DataFrame, listings: DataFrame, assets: DataF
     return best.where("score >= 70 and gap >= 15").select("id", "listing_id", "score", "gap")
 
 
+def resolve_alerts(alerts: DataFrame, listings: DataFrame, assets: DataFrame, contacts: DataFrame, window: DataFrame) -> DataFrame:
+    """J-08: id, listing_id, asset_id, strategy, new_listing of every alert; no asset is made.
+
+    In turn: the listing of the URL or external id; of portal, contact and shape; within the snapshots' days; the asset, strictly. An asset alone
+    gets its listing of the portal (and contact), or a new one. ``alerts``: id, listing_url, source_portal, contact_phone, contact_name,
+    address_norm, asset_type_family, asset_type_detail, area_m2, price_eur, alert_datetime.
+    """
+    c = F.col
+    phones = contacts.where("phone_norm is not null").groupBy("phone_norm").agg(F.min("id").alias("_p"))
+    names = contacts.where("name_norm is not null").groupBy(c("name_norm").alias("_name")).agg(F.min("id").alias("_q"))
+    a = alerts.withColumns({"phone_norm": normalize_phone(c("contact_phone")), "_name": text_key(c("contact_name")), "external_id": external_id(c("listing_url"))})
+    a = a.join(phones, "phone_norm", "left").join(names, "_name", "left").withColumn("contact_id", F.coalesce("_p", F.when(c("phone_norm").isNull(), c("_q")))).drop("_p", "_q", "_name")
+    none = F.lit(None).cast("long")
+    anchored = a.withColumns({"property_url": F.lit(None).cast("string"), "asset_id": none, "portal": c("source_portal")})
+    steps = [
+        ("existing_listing", match_listing(anchored.withColumn("contact_id", none), listings)), ("contact_portal_shape", match_listing_by_shape(a, listings, assets)),
+        ("window_portal_address_area_type", match_listing_in_window(a, listings, assets, contacts, window)),
+    ]
+    j = a
+    for name, found in steps:
+        j = j.join(found.where("listing_id is not null").select("id", c("listing_id").alias(f"_{name}")), "id", "left")
+    j = j.join(match_asset_strict(a, assets).select("id", c("asset_id").alias("_asset")), "id", "left")
+    listing = F.coalesce(*[f"_{name}" for name, _ in steps])
+    j = j.withColumns({"_l": listing, "strategy": chain(*[(c(f"_{name}").isNotNull(), name) for name, _ in steps], (c("_asset").isNotNull(), "existing_asset_strict"), other="unresolved_no_strict_match")})
+    of_listing = listings.select(c("id").alias("_l"), c("asset_id").alias("_la"))
+    j = j.join(of_listing, "_l", "left").withColumn("asset_id", F.coalesce("_la", "_asset"))
+    alone = j.where("_l is null and asset_id is not null").withColumns({"listing_url": F.lit(None).cast("string"), "external_id": F.lit(None).cast("string"), "property_url": F.lit(None).cast("string"), "portal": c("source_portal")})
+    late = match_listing(alone, listings).select("id", c("listing_id").alias("_late"))
+    j = j.join(late, "id", "left")
+    new = c("_l").isNull() & c("asset_id").isNotNull() & c("_late").isNull()
+    return j.select("id", F.coalesce("_l", "_late").alias("listing_id"), "asset_id", F.when(new, "existing_asset_new_listing").otherwise(c("strategy")).alias("strategy"), new.alias("new_listing"))
+
+
 def pending_flow(items: DataFrame, links: DataFrame) -> DataFrame:
     """J-13: items without a link, or with one that is not settled."""
     settled = links.where(~F.col("match_status").isin("pending", "unresolved", "ambiguous")).select(F.col("flow_item_id").alias("id"))

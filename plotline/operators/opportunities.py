@@ -155,3 +155,9 @@ def opportunity_queue_v1(events: DataFrame, assets: DataFrame, listings: DataFra
     owner = F.when(c("phone_norm").isNotNull() & (c("owner_like_phone_count") > 0), 4.0).otherwise(0.0)
     scored = e.withColumn("priority_score", rounded(0.55 * c("zone_capture_score") + 0.20 * c("zone_pressure_score") + 0.15 * c("zone_confidence_score") + (bonus + owner), 1))
     return scored if limit is None else scored.orderBy(c("priority_score").desc(), c("event_datetime").desc(), "event_id").limit(limit)
+
+
+def opportunity_detail(queue: DataFrame, comparables: DataFrame, *, k: int = 5) -> DataFrame:
+    """J-25: every row of a queue with the ids of its asset's k first comparables, in their order. ``comparables``: asset_id, other_id, place."""
+    few = comparables.where(F.col("place") <= k).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("place", "other_id"))).alias("_c"))
+    return queue.join(few.select("asset_id", F.transform("_c", lambda x: x["other_id"]).alias("comparables")), "asset_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.functions.text import text_key
 from plotline.functions.bands import chain
 from plotline.functions.numbers import rounded
 from plotline.operators.identity import latest_review
@@ -78,6 +79,32 @@ def dashboard_stats(items: DataFrame, links: DataFrame, semantics: DataFrame, as
     return i.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(m)).withColumn("resolved_ratio", _share(c("resolved"), c("links")))
 
 
+#: Reasons that count as a weak identity.
+WEAK_REASONS = ["weak_identity", "zone_only_address", "repeated_phone_conflict", "no_candidates", "not_in_csv_yet"]
+
+
+def filter_links(links: DataFrame, reviews: DataFrame, *, status: str | None = None, focus: str | None = None, query: str = "", limit: int = 300) -> DataFrame:
+    """P-06: the newest links (by event_datetime, flow_item_id), of a status before the limit, of a focus and with a text after it (Q24).
+
+    Focus: review_needed, poor_address, repeated_phone, weak_identity or price_conflict. ``links`` has match_status, reason, address_precision,
+    phone_profile and the texts that a query is looked for in: address_raw, contact_name, contact_phone, portal, match_note.
+    """
+    c = F.col
+    rows = links if status is None else links.where(c("match_status") == status)
+    rows = rows.orderBy(c("event_datetime").desc_nulls_last(), c("flow_item_id").desc()).limit(limit)
+    wanted = {
+        "poor_address": c("address_precision").isin("zone_like", "unknown"), "repeated_phone": c("phone_profile") == "broker_like", "weak_identity": c("reason").isin(WEAK_REASONS), "price_conflict": c("reason") == "price_conflict",
+    }
+    if focus == "review_needed":
+        rows = review_needed(rows, reviews)
+    elif focus is not None:
+        rows = rows.where(wanted[focus])
+    if query:
+        hay = text_key(F.concat_ws(" ", "address_raw", "contact_name", "contact_phone", "portal", "match_status", "reason", "match_note"))
+        rows = rows.where(F.contains(F.coalesce(hay, F.lit("")), text_key(F.lit(query))))
+    return rows
+
+
 def review_needed(links: DataFrame, reviews: DataFrame) -> DataFrame:
     """P-06, focus review_needed: unsettled links whose item has no review."""
     done = latest_review(reviews).select("flow_item_id")

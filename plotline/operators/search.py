@@ -1,4 +1,4 @@
-"""Batch full-text search (U-01, X-01 to X-04)."""
+"""Batch full-text search (U-01, X-01 to X-05)."""
 
 from __future__ import annotations
 
@@ -41,14 +41,18 @@ def parse_search_query(c: Column) -> Column:
 def search(queries: DataFrame, docs: DataFrame, index: DataFrame, *, k: int = 25, weights: dict[str, float] | None = None) -> DataFrame:
     """X-04: query_id, section, entity_id, score, place: documents with every token of a query, the k best of each section by BM25.
 
-    A prefix meets postings by its first two letters, an equi-join, before it is compared whole. Ties go to the newest, then the id.
+    The tokens of the queries meet the distinct tokens of the index first, by their first two letters or, of one-letter prefixes, by
+    the first; postings are joined by whole token. Ties go to the newest, then the id.
     """
     c = F.col
     w = weights or {}
     q = queries.select("query_id", F.posexplode(parse_search_query(c("text"))).alias("pos", "t")).select("query_id", "pos", "t.token", "t.prefix")
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    p = index.withColumn("_head", F.substring("token", 1, 2))
-    hit = q.withColumnsRenamed({"token": "_q"}).withColumn("_head", F.substring("_q", 1, 2)).join(p, "_head").where((c("prefix") & F.startswith("token", "_q")) | (c("token") == c("_q")))
+    heads = lambda t: F.array_distinct(F.array(F.substring(t, 1, 1), F.substring(t, 1, 2)))
+    words = index.select("token").distinct().withColumn("_head", F.explode(heads("token")))
+    asked = q.select(c("token").alias("_q"), "prefix").distinct().withColumn("_head", F.substring("_q", 1, 2))
+    meant = asked.join(words, "_head").where((c("prefix") & F.startswith("token", "_q")) | (c("token") == c("_q"))).select("_q", "token").distinct()
+    hit = q.withColumnRenamed("token", "_q").join(meant, "_q").join(index, "token")
     weight = F.coalesce(*[F.when(c("field") == f, float(w.get(f, 1.0))) for f in FIELDS])
     f = hit.groupBy("query_id", "pos", "section", "entity_id", "n_tokens").agg(F.sum(c("tf") * weight).alias("f"))
     n = f.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
@@ -60,3 +64,21 @@ def search(queries: DataFrame, docs: DataFrame, index: DataFrame, *, k: int = 25
     ranked = found.join(docs.select("section", "entity_id", "sort_key"), ["section", "entity_id"])
     place = F.row_number().over(Window.partitionBy("query_id", "section").orderBy(F.round("score", 9).desc(), c("sort_key").desc(), "entity_id"))
     return ranked.withColumn("place", place).where(c("place") <= k).select("query_id", "section", "entity_id", F.round("score", 6).alias("score"), "place")
+
+
+def snippet(text: Column, tokens: Column, width: int = 80) -> Column:
+    """X-04: about ``width`` letters around the first word of a text that begins with one of the tokens, which is set in brackets."""
+    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    hit = lambda w: F.exists(search_tokens(w), lambda x: F.exists(tokens, lambda t: x.startswith(t)))
+    at = F.coalesce(F.get(F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull()), 0), F.lit(0))
+    low = F.greatest(at - 5, F.lit(0))
+    shown = F.transform(F.slice(words, low + 1, 16), lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return F.concat(F.when(low > 0, "…").otherwise(""), F.substring(F.array_join(shown, " "), 1, width + 40))
+
+
+def search_results(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """X-05: ``hits`` of ``search`` with title and content of the document, a snippet, and how many hits the section has among them."""
+    tokens = queries.select("query_id", F.transform(parse_search_query(F.col("text")), lambda t: t["token"]).alias("_tokens"))
+    shown = hits.join(docs.select("section", "entity_id", "title", "content", "phone_digits"), ["section", "entity_id"]).join(tokens, "query_id")
+    shown = shown.withColumns({"snippet": snippet(F.concat_ws(" ", "title", "content", "phone_digits"), F.col("_tokens")), "section_total": F.count("*").over(Window.partitionBy("query_id", "section"))})
+    return shown.drop("_tokens", "phone_digits")

@@ -127,12 +127,14 @@ def address_precision(spark, d):
     return view(spark, d, "assets").select("id", semantics.address_semantics(F.expr(_ADDR)).alias("s")).select("id", "s.address_precision", "s.zone_like_label")
 
 
-_RAW = "CASE id % 4 WHEN 0 THEN 'bajada a 300 €' WHEN 1 THEN 'precio nuevo' WHEN 2 THEN 'sin datos' ELSE NULL END"
+_RAW = "CASE id % 4 WHEN 0 THEN concat('Bajada de precio a ', CAST(id AS STRING), ' €') WHEN 1 THEN 'precio nuevo' WHEN 2 THEN concat('sin datos, ', coalesce(source_portal, 'vendido')) ELSE NULL END"
 
 
-@query(cte("listings") + f"""SELECT id, CASE WHEN price_eur < 30000 OR price_eur > 50000000 THEN 'low' WHEN id % 4 = 0 THEN 'high' WHEN id % 4 = 1 THEN CASE WHEN id % 3 = 0 THEN 'high' ELSE 'medium' END ELSE 'low' END AS price_confidence,
-    CASE id % 4 WHEN 0 THEN 'eur_text' WHEN 1 THEN 'contextual_fallback' ELSE 'structured_or_weak_fallback' END AS price_source,
-    CASE id % 4 WHEN 0 THEN 'price_drop' WHEN 1 THEN 'listing_detected' ELSE 'history_item' END AS event_type FROM listings""")
+@query(cte("listings") + f""", t AS (SELECT id, price_eur, CASE WHEN id % 3 = 0 THEN price_eur END AS previous, lower(coalesce({_RAW}, '')) AS x FROM listings),
+    u AS (SELECT *, contains(x, '€') AS euro, regexp_matches(x, 'precio|price|venta|sale|bajada|subida') AS named FROM t)
+    SELECT id, CASE WHEN price_eur < 30000 OR price_eur > 50000000 THEN 'low' WHEN euro THEN 'high' WHEN named THEN CASE WHEN previous IS NOT NULL THEN 'high' ELSE 'medium' END ELSE 'low' END AS price_confidence,
+    CASE WHEN euro THEN 'eur_text' WHEN named THEN 'contextual_fallback' ELSE 'structured_or_weak_fallback' END AS price_source,
+    CASE WHEN contains(x, 'bajada de precio') THEN 'price_drop' WHEN contains(x, 'vendido') THEN 'sold' WHEN contains(x, 'nuevo') THEN 'listing_detected' ELSE 'history_item' END AS event_type FROM u""")
 def price_confidence(spark, d):
     c = F.col
     s = semantics.price_semantics(c("price_eur"), F.when(c("id") % 3 == 0, c("price_eur")), F.expr(_RAW))

@@ -8,8 +8,9 @@ from pyspark.sql.types import StringType
 
 #: Columns of a lead sheet and the heads, as text keys, under which they come.
 LEAD_COLUMNS = {
-    "phone_raw": ["numero de telefono", "telefono"], "name_raw": ["nombre"], "property_type_raw": ["tipo de propiedad"], "source_portal": ["fuente"], "address_raw": ["direccion"], "price_raw": ["precio"],
-    "status": ["estado del anuncio", "estado"], "area_raw": ["area construida"], "property_url": ["pagina de la propiedad"], "listing_url": ["pagina del anuncio"], "created_raw": ["fecha de creacion del lead"],
+    "phone_raw": ["numero de telefono", "telefono", "telefono de contacto"], "name_raw": ["nombre"], "property_type_raw": ["tipo de propiedad"], "source_portal": ["fuente"], "address_raw": ["direccion"], "price_raw": ["precio"],
+    "status": ["estado del anuncio", "estado"], "area_raw": ["area construida", "superficie construida"], "property_url": ["pagina de la propiedad", "url propiedad"], "listing_url": ["pagina del anuncio", "url anuncio"],
+    "created_raw": ["fecha de creacion del lead", "fecha lead"],
 }
 SEPARATORS = [",", ";", "\t", "|"]
 
@@ -43,8 +44,11 @@ def read_official_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -
 
 
 def read_catalog_packages(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: a row for each package of JSON dumps that hold one or a list of them."""
-    return spark.read.option("multiLine", True).json(path)
+    """SRC-06: a row for each package (struct) of JSON dumps that hold one, a list, or a search's result with a list of them."""
+    raw = spark.read.option("multiLine", True).json(path)
+    if "result" in raw.columns:
+        return raw.select(F.explode("result.results").alias("package"))
+    return raw.select(F.struct("*").alias("package"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -61,12 +65,39 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(done, "file_hash", "left_anti")
 
 
+def ledger_rows(files: DataFrame, ledger: DataFrame, *, as_of) -> DataFrame:
+    """SRC-07: a ledger row for each file: file_hash, path, status (pending, or skipped_duplicate where its content is done or comes twice), started_at."""
+    from pyspark.sql import Window
+
+    done = ledger.where(F.col("status").isin("success", "skipped_duplicate")).select("file_hash").distinct().withColumn("_done", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("file_hash").orderBy("path")) > 1
+    status = F.when(F.coalesce("_done", F.lit(False)) | again, "skipped_duplicate").otherwise("pending")
+    return files.join(done, "file_hash", "left").select("file_hash", "path", status.alias("status"), as_of.alias("started_at"))
+
+
 def write_table(df: DataFrame, path: str, *, by: list[str] | None = None, mode: str = "overwrite") -> None:
     """SNK-01: Parquet, facts partitioned by date."""
     w = df.write.mode(mode)
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def upsert_table(df: DataFrame, path: str, key: list[str], *, by: str) -> None:
+    """SNK-01: ``df`` into the table at ``path``: of the stored and new rows of each key the one with the highest ``by`` stays, a new one on ties.
+
+    The result is written beside the table first, then takes its place, so a failed write leaves the table as it was.
+    """
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    stored = spark.read.parquet(path)
+    both = stored.withColumn("_new", F.lit(0)).unionByName(df.select(*stored.columns).withColumn("_new", F.lit(1)))
+    order = Window.partitionBy(*key).orderBy(F.col(by).desc_nulls_last(), F.col("_new").desc())
+    merged = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
+    side = path.rstrip("/") + "_next"
+    merged.write.mode("overwrite").parquet(side)
+    spark.read.parquet(side).write.mode("overwrite").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """SNK-02: one JSON object a line."""
     df.write.mode("overwrite").json(path)

@@ -1,4 +1,4 @@
-"""Flow items as streams (S-01 to S-03)."""
+"""Flow items as streams (S-01 to S-04)."""
 
 from __future__ import annotations
 
@@ -24,6 +24,36 @@ def stream_event_counts(events: DataFrame, *, late: str = "1 day") -> DataFrame:
     return days.select(F.col("w.start").alias("day"), "event_type", "n")
 
 
+def sync_state(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """S-01: ``state`` (source_name, last_success_to, status, message) after ``runs`` (source_name, until, status, message): a success moves last_success_to on."""
+    c = F.col
+    last = runs.groupBy("source_name").agg(F.max_by(F.struct("status", "message"), "until").alias("_r"), F.max(F.when(c("status") == "success", c("until"))).alias("_to"))
+    j = state.select("source_name", "last_success_to", c("status").alias("_s"), c("message").alias("_m")).join(last, "source_name", "full_outer")
+    return j.select("source_name", F.greatest("last_success_to", "_to").alias("last_success_to"), F.coalesce("_r.status", "_s").alias("status"), F.when(c("_r").isNotNull(), c("_r.message")).otherwise(c("_m")).alias("message"))
+
+
+def stream_zone_counts(events: DataFrame, *, days: int = 14, late: str = "1 day") -> DataFrame:
+    """S-03: events of each zone and type in windows of ``days`` days, one beginning each day; a window closes when the watermark has passed it."""
+    w = F.window("event_datetime", f"{days} days", "1 day").alias("w")
+    counted = events.withWatermark("event_datetime", late).groupBy(w, "zone_label", "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("since"), F.col("w.end").alias("until"), "zone_label", "event_type", "n")
+
+
+def stream_reconcile(items: DataFrame, listings: DataFrame, path: str, checkpoint: str) -> None:
+    """S-04: every batch of a stream of flow items against fixed listings (``matching.listing_keys``); the decisions are written to ``path`` under their batch.
+
+    A batch that is run again after a failure writes the same folder again.
+    """
+    from plotline.operators import matching
+
+    def batch(df: DataFrame, number: int) -> None:
+        keys = matching.item_keys(df)
+        decided = matching.decide_matches(keys, matching.best_matches(keys, listings))
+        decided.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """All that is there now, appended to ``path`` as Parquet."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
