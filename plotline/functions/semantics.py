@@ -18,15 +18,18 @@ GENERIC_CONTACTS = ["anuncio particular", "particular", "profesional", "inmobili
 
 def address_semantics(c: Column) -> Column:
     """F-27: struct(address_precision, zone_like_label)."""
-    t, k = normalize_text(c), text_key(c)
-    words = F.size(F.split(t, " "))
-    number = k.rlike(r"\b[0-9]+[a-z]?\b")
-    street = F.concat(F.lit(" "), k, F.lit(" ")).rlike(f" ({'|'.join(STREET_HINTS)}) ")
-    district = k.contains("barrio") | k.contains("district") | F.concat(F.lit(" "), k, F.lit(" ")).contains(" distrito ")
-    head = F.trim(F.substring_index(t, "-", 1))
-    zone = district | (~number & t.contains("-") & (words <= 6))
-    precision = chain((t.isNull(), "unknown"), (zone, "zone_like"), (street & number, "precise"), (street | (words >= 3), "partial"), other="zone_like")
-    return F.struct(precision.alias("address_precision"), F.when(precision == "zone_like", F.when(zone & t.contains("-"), head).otherwise(t)).alias("zone_like_label"))
+
+    def of(t: Column, k: Column) -> Column:
+        spaced = F.concat(F.lit(" "), k, F.lit(" "))
+        words = F.size(F.split(t, " "))
+        number = k.rlike(r"\b[0-9]+[a-z]?\b")
+        street = spaced.rlike(f" ({'|'.join(STREET_HINTS)}) ")
+        zone = k.contains("barrio") | k.contains("district") | spaced.contains(" distrito ") | (~number & t.contains("-") & (words <= 6))
+        precision = chain((t.isNull(), "unknown"), (zone, "zone_like"), (street & number, "precise"), (street | (words >= 3), "partial"), other="zone_like")
+        named = F.when(zone & t.contains("-"), F.trim(F.substring_index(t, "-", 1))).otherwise(t)
+        return let(precision, lambda x: F.struct(x.alias("address_precision"), F.when(x == "zone_like", named).alias("zone_like_label")))
+
+    return let(normalize_text(c), lambda t: let(text_key(t), lambda k: of(t, k)))
 
 
 def price_semantics(current: Column, previous: Column, text: Column) -> Column:

@@ -9,6 +9,7 @@ from plotline.functions.addresses import NEIGHBORHOODS, address_base, address_ke
 from plotline.functions.bands import chain
 from plotline.functions.fuzzy import best_keys
 from plotline.functions.numbers import rounded
+from plotline.functions.text import where_computed
 from plotline.operators.context import nearest_house_number
 
 
@@ -25,7 +26,7 @@ def resolve_streets(addresses: DataFrame, streets: DataFrame, points: DataFrame,
     """
     c = F.col
     hoods = NEIGHBORHOODS if neighborhoods is None else neighborhoods
-    rows = addresses.select("id", parse_address(c("address"), neighborhoods=hoods).alias("a")).select("id", "a.*")
+    rows = where_computed(addresses.select("id", parse_address(c("address"), neighborhoods=hoods).alias("a")), F.lit(True)).select("id", "a.*")
     by_key = streets.groupBy(F.concat_ws("|", "street_type", "street_name").alias("choice")).agg(F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("place"))
     by_name = streets.groupBy(c("street_name").alias("choice")).agg(F.collect_set("code").alias("codes"), F.min("row_no").alias("place")).select("choice", "place", F.when(F.size("codes") == 1, F.get("codes", 0)).alias("code"))
     keys = rows.where("street_name is not null").select("lookup_key", "street_name").distinct()

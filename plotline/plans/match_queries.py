@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import bands, geo, numbers, semantics, text
 from plotline.operators import identity, matching, profiles, quality
-from plotline.plans.sample import AS_OF, cte, view
+from plotline.plans.sample import AS_OF, cte, kept, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,7 +168,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 _EXT = "CASE WHEN {0} IS NULL THEN NULL WHEN starts_with(split_part({0}, '/', -1), 'listing-') THEN split_part({0}, '/', -1)[9:] ELSE split_part({0}, '-', -1) END"
 _NORM = _KEY.format("address_raw")
 _JOINED = cte("flow_items", "assets", "contacts", "listings") + f""",
-i0 AS (SELECT *, {_NORM} AS ak FROM flow_items), a0 AS (SELECT id, address_norm, {_NORM} AS ak FROM assets),
+f0 AS (SELECT * REPLACE (CASE WHEN id % 17 = 0 THEN 'Barrio Sol' ELSE address_raw END AS address_raw) FROM flow_items), i0 AS (SELECT *, {_NORM} AS ak FROM f0), a0 AS (SELECT id, address_norm, {_NORM} AS ak FROM assets),
 it AS (SELECT id AS item_id, f.* EXCLUDE (id), CASE WHEN contact_phone IS NULL THEN NULL ELSE '+34' || contact_phone END AS phone, lower(replace(contact_name, '#', '')) AS nm, {_EXT.format('listing_url')} AS ext,
     {_FRAGMENT.format('ak')} AS frag, address_raw IS NULL OR NOT contains(ak, 'barrio') AS placed FROM i0 f),
 li AS (SELECT l.*, a.address_norm, {_FRAGMENT.format('a.ak')} AS frag, c.phone_norm, c.name_norm FROM listings l JOIN a0 a ON a.id = l.asset_id JOIN contacts c ON c.id = l.contact_id),
@@ -266,7 +266,8 @@ def match_listing_in_window(spark, d):
 def _keys(spark, d):
     v = lambda n: view(spark, d, n)
     listings, contacts = v("listings"), v("contacts")
-    return matching.item_keys(_items(spark, d)), matching.listing_keys(listings, v("assets"), contacts, profiles.phone_profiles(listings, contacts))
+    items = _items(spark, d).withColumn("address_raw", F.when(F.col("id") % 17 == 0, "Barrio Sol").otherwise(F.col("address_raw")))  # some name a zone alone
+    return kept(matching.item_keys(items)), kept(matching.listing_keys(listings, v("assets"), contacts, profiles.phone_profiles(listings, contacts)))
 
 
 @query(_JOINED + " SELECT * FROM ca")

@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from plotline.plans import context_queries, match_queries, more_queries, record_queries, zone_queries, zone_sql
+from plotline.plans.sample import release
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return zone_queries.QUERIES | match_queries.QUERIES | more_queries.QUERIES | context_queries.QUERIES | record_queries.QUERIES
+    every = zone_queries.QUERIES | match_queries.QUERIES | more_queries.QUERIES | context_queries.QUERIES | record_queries.QUERIES
+    return {name: _alone(f) for name, f in every.items()}
+
+
+def _alone(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``f``, before which what the last query kept is freed."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        release()
+        return f(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
     "flow_items": """
         SELECT e.event_id AS id, concat('uid', CAST(e.event_id % 9000 AS STRING)) AS source_uid,
                CASE e.event_type WHEN 'view' THEN 'listing_detected' WHEN 'click' THEN 'price_drop' WHEN 'purchase' THEN 'sold' ELSE 'history_item' END AS event_type_guess,
-               e.ts AS event_datetime, CASE WHEN e.event_id % 17 = 0 THEN concat('Barrio ', coalesce(a.neighborhood, 'Sol')) ELSE a.address_raw END AS address_raw, a.address_norm,
+               e.ts AS event_datetime, a.address_raw, a.address_norm,
                CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE l.source_portal END AS portal,
                CASE WHEN e.event_id % 3 = 0 THEN NULL ELSE c.name_raw END AS contact_name,
                CASE WHEN e.event_id % 4 = 1 THEN NULL ELSE c.phone_raw END AS contact_phone,
@@ -95,6 +95,20 @@ VIEWS: dict[str, str] = {
 NEEDS = {"contacts": ["n_customers"], "listings": ["n_parts"], "market_events": ["n_parts", "n_listings"], "links": ["n_listings"], "flow_items": ["n_parts", "n_customers", "n_listings", "assets", "contacts", "listings"]}
 
 
+_HELD: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` cached for a query that reads it more than once; freed when the next query is asked for."""
+    _HELD.append(df.cache())
+    return _HELD[-1]
+
+
+def release() -> None:
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def cte(*names: str) -> str:
     """``WITH`` text of the named views and what they read, for an oracle."""
     wanted: list[str] = []

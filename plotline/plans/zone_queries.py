@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.labels import with_zone
 from plotline.operators import opportunities, profiles, radar, zones
-from plotline.plans.sample import AS_OF, cte, view
+from plotline.plans.sample import AS_OF, cte, kept, view
 
 
 def as_of():
@@ -30,13 +30,13 @@ def features_v2(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_v2(spark: SparkSession, d: str) -> DataFrame:
     """A row for each zone, kept for what reads it more than once."""
-    return zones.zone_prediction(zones.zone_scores_v2(zones.worth_keeping(features_v2(spark, d).cache()))).cache()
+    return kept(zones.zone_prediction(zones.zone_scores_v2(zones.worth_keeping(kept(features_v2(spark, d))))))
 
 
 def scored_microzones(spark: SparkSession, d: str, z: DataFrame | None = None) -> DataFrame:
     v = lambda n: view(spark, d, n)
     features = zones.microzone_features(placed_assets(spark, d), v("listings"), v("market_events"), z or scored_v2(spark, d), as_of=as_of())
-    return zones.microzone_scores(features.cache()).cache()
+    return kept(zones.microzone_scores(kept(features)))
 
 
 FEATURES = [
@@ -79,8 +79,8 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_scores_v1(spark: SparkSession, d: str) -> DataFrame:
-    z = zone_features_v1(spark, d).cache().join(alert_zone_features(spark, d), "zone_label", "left").na.fill(0, ["alerts_in_window", "occurrences_in_window", "resolved_in_window"])
-    return zones.zone_scores_v1(z.cache()).select("zone_label", "zone_saturation_score", "zone_activity_score", "zone_opportunity_score", "confidence_ratio", "recommended_action")
+    z = kept(zone_features_v1(spark, d)).join(alert_zone_features(spark, d), "zone_label", "left").na.fill(0, ["alerts_in_window", "occurrences_in_window", "resolved_in_window"])
+    return zones.zone_scores_v1(kept(z)).select("zone_label", "zone_saturation_score", "zone_activity_score", "zone_opportunity_score", "confidence_ratio", "recommended_action")
 
 
 def zone_scores_v2(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def filter_opportunities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opportunity_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = queue(spark, d).cache()
+    rows = kept(queue(spark, d))
     return opportunities.opportunity_groups(rows, "zone").unionByName(opportunities.opportunity_groups(rows, "event_type")).unionByName(opportunities.opportunity_groups(rows, "contact"))
 
 
@@ -175,7 +175,7 @@ def radar_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def radar_v1(spark: SparkSession, d: str) -> DataFrame:
-    return radar.radar_v1(zone_scores_v1(spark, d).cache()).select("kind", "zone_label")
+    return radar.radar_v1(kept(zone_scores_v1(spark, d))).select("kind", "zone_label")
 
 
 def dashboard_tops(spark: SparkSession, d: str) -> DataFrame:
