@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plotline.functions.text import address_fragment
+from plotline.functions.text import address_fragment, where_computed
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -28,18 +28,39 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * common_subsequence(a, b) / (len(a) + len(b))
 
 
+def _windows(a: str, b: str) -> list[tuple[float, str]]:
+    """Windows of ``b`` as long as ``a``, those cut at both ends included, each with the ratio that its letters admit at most."""
+    n, rest = len(a), {}
+    for ch in a:
+        rest[ch] = rest.get(ch, 0) + 1
+    common, out = 0, []
+    for i in range(1 - n, len(b)):
+        if i + n - 1 < len(b):
+            ch = b[i + n - 1]
+            rest[ch] = rest.get(ch, 0) - 1
+            common += rest[ch] >= 0
+        if i > 0:
+            ch = b[i - 1]
+            common -= rest[ch] >= 0
+            rest[ch] += 1
+        span = b[max(0, i) : i + n]
+        out.append((200.0 * common / (n + len(span)), span))
+    return out
+
+
 def best_window_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a window of its length in the longer, windows cut at both ends included."""
+    """The best ratio of the shorter string with a window of its length in the longer, windows cut at both ends included; equal lengths try both directions."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    spans = [b[max(0, i) : i + n] for i in range(1 - n, len(b))]
-    if n == len(b):
-        spans += [b]
-        return max(max(indel_ratio(a, s) for s in spans), max(indel_ratio(b, a[max(0, i) : i + n]) for i in range(1 - n, n)))
-    return max(indel_ratio(a, s) for s in spans)
+    tries = [(most, a, span) for most, span in _windows(a, b)] + ([(most, b, span) for most, span in _windows(b, a)] if len(a) == len(b) else [])
+    best = 0.0
+    for most, x, span in sorted(tries, reverse=True):
+        if most <= best:
+            break
+        best = max(best, indel_ratio(x, span))
+    return best
 
 
 def _pairs(f, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -118,5 +139,5 @@ def best_keys(keys: DataFrame, choices: DataFrame, *, least: float = 92.0) -> Da
     left = grams(keys.where("key is not null").select("key").distinct(), "key")
     right = grams(choices.where("choice is not null").groupBy("choice").agg(F.min("place").alias("place")), "choice")
     pairs = left.join(right, "_g").select("key", "choice", "place").distinct()
-    scored = pairs.withColumn("score", weighted_ratio(F.col("key"), F.col("choice"))).where(F.col("score") >= least)
+    scored = where_computed(pairs.withColumn("score", weighted_ratio(F.col("key"), F.col("choice"))), F.col("score") >= least)
     return scored.groupBy("key").agg(F.max(F.struct("score", -F.col("place"), "choice")).alias("b")).select("key", "b.choice", "b.score")
