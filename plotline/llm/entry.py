@@ -78,6 +78,12 @@ def op8_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import collocations
+
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_chat_machine": op8_chat_machine,
     "op9_simhash": op9_simhash,
     "op10_html_wrappers": op10_html_wrappers,
+    "op11_collocations": op11_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_machine": r"""
@@ -106,6 +113,38 @@ ORACLE_SQL: dict[str, str] = {
                    AND arg_max(role, turn) = 'assistant' AS valid
         FROM s GROUP BY conv_id
     """,
+    "op11_collocations": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents
+        ),
+        p AS (SELECT doc, lang, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS x FROM d),
+        s AS (SELECT doc, lang, piece, string_split_regex(trim(x, ' ' || chr(9)), '[\x20\x09]+') AS ws FROM p WHERE trim(x, ' ' || chr(9)) <> ''),
+        t AS (SELECT doc, lang, piece, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM s),
+        g AS (SELECT lang, w AS w1, lead(w) OVER (PARTITION BY doc, piece ORDER BY pos) AS w2, lead(w, 2) OVER (PARTITION BY doc, piece ORDER BY pos) AS w3 FROM t),
+        n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+        f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+            FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w2
+            LEFT JOIN longer x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2
+            WHERE x.most IS NULL OR 100 * x.most < 50 * c.f
+            UNION ALL
+            SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, l.f, r.f
+            FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1 JOIN f2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+            UNION ALL
+            SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, l.f, r.f
+            FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2 JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w3
+        ),
+        scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
