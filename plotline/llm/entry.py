@@ -84,6 +84,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_docs(spark, sf_dir))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import alignment
+
+    return alignment.alignment(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html_wrappers": op10_html_wrappers,
     "op11_collocations": op11_collocations,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_machine": r"""
