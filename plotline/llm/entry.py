@@ -84,6 +84,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_docs(spark, sf_dir))
 
 
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plotline.llm import prefix_join
+
+    return prefix_join.similar_sets(_docs(spark, sf_dir))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plotline.llm import alignment
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html_wrappers": op10_html_wrappers,
     "op11_collocations": op11_collocations,
+    "op12_prefix_join": op12_prefix_join,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
