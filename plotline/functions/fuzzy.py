@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plotline.functions.text import address_fragment, where_computed
+from plotline.functions.text import address_fragment
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -128,16 +128,11 @@ def weighted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def best_keys(keys: DataFrame, choices: DataFrame, *, least: float = 92.0) -> DataFrame:
     """F-24: key, choice, score: of the distinct ``keys`` (key) the best of ``choices`` (choice, place) at ``least`` or more; ties: the first place.
 
-    Keys meet choices that share a word or three letters in a row; ratios are computed on these pairs only.
+    Ratios are computed only on the pairs that ``weighted_candidates`` leaves; none at ``least`` (above 90) is missed.
     """
+    from plotline.functions.similar import weighted_candidates
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        k = F.col(name)
-        parts = F.concat(F.split(k, " "), F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: k.substr(i, F.lit(3))))
-        return df.withColumn("_g", F.explode(F.array_distinct(parts)))
-
-    left = grams(keys.where("key is not null").select("key").distinct(), "key")
-    right = grams(choices.where("choice is not null").groupBy("choice").agg(F.min("place").alias("place")), "choice")
-    pairs = left.join(right, "_g").select("key", "choice", "place").distinct()
-    scored = where_computed(pairs.withColumn("score", weighted_ratio(F.col("key"), F.col("choice"))), F.col("score") >= least)
+    places = choices.where("choice is not null").groupBy("choice").agg(F.min("place").alias("place"))
+    pairs = weighted_candidates(keys, choices.withColumnRenamed("choice", "other"), least=least).withColumnRenamed("other", "choice")
+    scored = pairs.withColumn("score", weighted_ratio(F.col("key"), F.col("choice"))).where(F.col("score") >= least).join(places, "choice")
     return scored.groupBy("key").agg(F.max(F.struct("score", -F.col("place"), "choice")).alias("b")).select("key", "b.choice", "b.score")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.bands import chain
 from plotline.functions.numbers import area_is_close, price_is_close
+from plotline.functions.similar import edit_pairs
 from plotline.functions.text import blank_to_null, external_id, normalize_phone, normalize_url, portal_key, portal_label, text_key
 from plotline.operators.matching import best_and_gap
+from plotline.operators.shared import components, stored
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -53,75 +60,113 @@ def match_building(rows: DataFrame) -> DataFrame:
 
 
 #: Points of an asset for a row, and from how many on it is the row's.
-ASSET_BUILDING, ASSET_STREET, ASSET_TYPE, ASSET_AREA, ASSET_LEAST = 50, 40, 20, 20, 60
-
-
-def assign_assets(rows: list[tuple]) -> list[int]:
-    """For each row (building, type, area), in order, the index of the row that founded its asset (Q2). Ties keep the first; all rows are of one street.
-
-    An asset takes a building and an area from a later row where it has none.
-    """
-    assets: list[list] = []  # founder, building, type, area
-    out = []
-    for i, (building, kind, area) in enumerate(rows):
+ASSET_BUILDING, ASSET_STREET, ASSET_NEAR, ASSET_TYPE, ASSET_AREA, ASSET_LEAST = 50, 40, 20, 20, 20, 60
+
+
+class AssetBook:
+    """The assets of one component of streets and buildings, in the order in which they were founded, as find-or-create meets the rows one after another (Q2)."""
+
+    def __init__(self) -> None:
+        self.founders: list[int] = []
+        self.of: list[list] = []  # building, street, type, area
+        self.by_building: dict[str, list[int]] = {}
+        self.by_street: dict[str, list[int]] = {}
+        self.near: dict[str, set[str]] = {}
+
+    def place(self, row_id: int, building: str | None, street: str | None, kind: str | None, area: float | None) -> int:
+        """The founder of the row's asset, which is the row itself where no asset has enough points."""
+        found = self._best(building, street, kind, area)
+        if found is None:
+            found = len(self.founders)
+            self.founders.append(row_id)
+            self.of.append([None, street, kind, area])
+            if street is not None:
+                self.by_street.setdefault(street, []).append(found)
+        asset = self.of[found]
+        if building is not None and asset[0] is None:
+            asset[0] = building
+            insort(self.by_building.setdefault(building, []), found)
+        if asset[3] is None:
+            asset[3] = area
+        return self.founders[found]
+
+    def _best(self, building: str | None, street: str | None, kind: str | None, area: float | None) -> int | None:
+        there = self.by_building.get(building, []) if building is not None else []
+        along = self.by_street.get(street, []) if street is not None else []
+        near = self.near.get(street, set()) if street is not None else set()
+        if not there and not along:  # neither: the first asset of a similar street with the type and a close area has just enough
+            like = [i for other in near for i in self.by_street.get(other, []) if kind is not None and self.of[i][2] == kind and _close(self.of[i][3], area)]
+            return min(like, default=None)
+        most_possible = (building is not None) * ASSET_BUILDING + (street is not None) * ASSET_STREET + (kind is not None) * ASSET_TYPE + ASSET_AREA
         best, most = None, 0
-        for a in assets:
-            close = a[3] is None or area is None or abs(a[3] - area) <= max(5.0, max(a[3], area) * 0.08)
-            score = ASSET_STREET + ASSET_BUILDING * (building is not None and a[1] == building) + ASSET_TYPE * (kind is not None and a[2] == kind) + ASSET_AREA * close
-            if score > most:
-                best, most = a, score
-        if most < ASSET_LEAST:
-            best = [i, building, kind, area]
-            assets.append(best)
-        best[1], best[3] = best[1] if best[1] is not None else building, best[3] if best[3] is not None else area
-        out.append(best[0])
-    return out
+        for i in dict.fromkeys([*there, *along]) if there and along else there or along:
+            b, s, k, a = self.of[i]
+            points = ASSET_BUILDING * (building is not None and b == building) + ASSET_TYPE * (kind is not None and k == kind) + ASSET_AREA * _close(a, area)
+            if street is not None and s is not None:
+                points += ASSET_STREET if s == street else ASSET_NEAR * (s in near)
+            if points > most:
+                best, most = i, points
+                if most == most_possible:
+                    break
+        return best if most >= ASSET_LEAST else None
+
+
+def _close(a: float | None, b: float | None) -> bool:
+    return a is None or b is None or abs(a - b) <= max(5.0, max(a, b) * 0.08)
+
+
+def _fold_assets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in the order of their component and row_id, one book at a time."""
+    component, book = None, AssetBook()
+    none = lambda x: None if x is None or x != x else x
+    for pdf in batches:
+        out = []
+        for part, row_id, building, street, kind, area, near in pdf[["component", "row_id", "building", "street", "kind", "area", "near"]].itertuples(index=False, name=None):
+            if part != component:
+                component, book = part, AssetBook()
+            if near is not None:
+                book.near[street] = set(near)
+            out.append(book.place(row_id, none(building), none(street), none(kind), none(area)))
+        yield pd.DataFrame({"row_id": pdf["row_id"], "asset_id": np.array(out, np.int64)})
 
 
 def match_asset(rows: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """J-04: row_id, asset_id (the row that founded the asset) of ``rows`` (row_id, address_norm, building_id, asset_type_detail, area_m2).
 
-    Greedy within a street, in the order of row_id. Rows of one street that are alike in building, type and area are one unit, that of
-    the first of them: a street's group holds as many units as it has, not rows. A row without a street is an asset of its own.
-    With ``similar`` (address_norm, other: distinct keys at 92 or more, see ``similar_streets``) an asset joins the first
-    earlier asset of a similar street that has its type and a close area.
-    """
-    import pandas as pd
-
-    unit = ["address_norm", "building_id", "asset_type_detail", "area_m2"]
-    plain = rows.select("row_id", "address_norm", F.col("building_id").cast("string").alias("building_id"), "asset_type_detail", F.col("area_m2").cast("double").alias("area_m2"))
-    units = plain.where("address_norm is not null").groupBy(*unit).agg(F.min("row_id").alias("first"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", ignore_index=True)
-        none = lambda x: None if x is None or x != x else x
-        at = assign_assets([(none(b), none(k), none(a)) for b, k, a in zip(pdf["building_id"], pdf["asset_type_detail"], pdf["area_m2"], strict=True)])
-        pdf["asset_id"] = pdf["first"].to_numpy()[at]
-        return pdf[[*unit, "asset_id"]]
+    As if every row in turn, by row_id, looked for its asset among those founded before: those of its building, then those of its street; where there are none,
+    those of its type. Points: building, equal or (``similar``: address_norm, other, see ``similar_streets``) similar street, type, close area; the first
+    asset with most points, if enough. An asset takes a building and an area from a row where it has none. Empty values are none.
 
-    found = units.groupBy("address_norm").applyInPandas(fold, "address_norm string, building_id string, asset_type_detail string, area_m2 double, asset_id long")
+    Rows can only meet over a shared building, street or pair of similar streets: connected components of these are independent and dealt over
+    tasks, and in one its rows pass in order beside a book of its assets. A task holds assets, not rows; one component is not divided, since each row may
+    change what the next one finds. Rows with neither street nor building found an asset of their own.
+    """
+    c = F.col
+    text = lambda x: blank_to_null(c(x).cast("string"))
+    plain = rows.select("row_id", text("building_id").alias("building"), text("address_norm").alias("street"), text("asset_type_detail").alias("kind"), c("area_m2").cast("double").alias("area"))
+    b, s = F.concat(F.lit("b"), "building"), F.concat(F.lit("s"), "street")
+    edges = plain.select(F.coalesce(s, b).alias("a"), F.coalesce(b, s).alias("b")).where("a is not null").distinct()
+    near = None
     if similar is not None:
-        founders = found.select("asset_id", "address_norm").distinct().join(plain.select(F.col("row_id").alias("asset_id"), "asset_type_detail", "area_m2"), "asset_id")
-        other = founders.select(F.col("asset_id").alias("to"), F.col("address_norm").alias("other"), F.col("asset_type_detail").alias("_kind"), F.col("area_m2").alias("_area"))
-        near = founders.join(similar.select("address_norm", "other"), "address_norm").join(other, "other").where((F.col("to") < F.col("asset_id")) & (F.col("asset_type_detail") == F.col("_kind")) & area_is_close(F.col("_area"), F.col("area_m2")))
-        moved = near.groupBy("asset_id").agg(F.min("to").alias("to"))
-        found = found.join(moved, "asset_id", "left").withColumn("asset_id", F.coalesce("to", "asset_id")).drop("to")
-    named = found.select(*[F.col(x).alias(f"_{x}") for x in unit], "asset_id")
-    same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in unit]
-    j = plain.join(named, same[0] & same[1] & same[2] & same[3], "left")
-    return j.select("row_id", F.coalesce("asset_id", "row_id").alias("asset_id"))
+        near = stored(similar.where(c("address_norm") != c("other")).select(c("address_norm").alias("street"), "other").distinct(), "similar-streets")
+        edges = edges.union(near.select(F.concat(F.lit("s"), "street"), F.concat(F.lit("s"), "other")))
+    parts = components(edges)
+    placed = plain.withColumn("node", F.coalesce(s, b)).join(parts.withColumnRenamed("label", "component"), "node", "left").drop("node")
+    if near is None:
+        placed = placed.withColumn("near", F.lit(None).cast("array<string>"))
+    else:  # with the first row of each street
+        first = plain.groupBy("street").agg(F.min("row_id").alias("row_id")).join(near.groupBy("street").agg(F.collect_set("other").alias("near")), "street")
+        placed = placed.join(first.select("row_id", "near"), "row_id", "left")
+    alone = placed.where("component is null").select("row_id", c("row_id").cast("long").alias("asset_id"))
+    ordered = placed.where("component is not null").repartition("component").sortWithinPartitions("component", "row_id")
+    return ordered.mapInPandas(_fold_assets, "row_id long, asset_id long").unionByName(alone)
 
 
 def similar_streets(rows: DataFrame, *, least: float = 92.0) -> DataFrame:
-    """J-04: address_norm, other: distinct street keys whose ratio is ``least`` or more. They meet by three letters in a row; lengths differ by 16 % at most."""
-    from plotline.functions.fuzzy import fuzzy_ratio
-
-    k = F.col("address_norm")
-    grams = rows.select("address_norm").where(F.length(k) > 0).distinct().withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: k.substr(i, F.lit(3))))))
-    other = grams.select(k.alias("other"), "_g")
-    slack = 2 * (100.0 - least) / 100
-    pairs = grams.join(other, "_g").where((k != F.col("other")) & (F.abs(F.length(k) - F.length("other")) <= slack * (F.length(k) + F.length("other")) / 2)).select("address_norm", "other").distinct()
-    return pairs.where(fuzzy_ratio(k, F.col("other")) >= least)
+    """J-04: address_norm, other: distinct street keys whose ratio is ``least`` or more, both ways round; see ``edit_candidates``."""
+    k = rows.select("address_norm").where(F.length("address_norm") > 0)
+    found = edit_pairs(k.withColumnRenamed("address_norm", "key"), k.withColumnRenamed("address_norm", "other"), least=least)
+    return found.where(F.col("key") != F.col("other")).select(F.col("key").alias("address_norm"), "other")
 
 
 def match_asset_strict(items: DataFrame, assets: DataFrame) -> DataFrame:

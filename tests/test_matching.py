@@ -57,35 +57,83 @@ def test_weighted_ratio():
     assert fuzzy.weighted("alcala", "paseo de la castellana y de alcala") == pytest.approx(90)
 
 
-def test_assets_are_greedy_within_a_street(spark):
-    rng = random.Random(5)
-    rows, seen = [], set()
-    for i in range(200):
-        unit = (rng.choice(["a", "b"]), rng.choice([None, "h1", "h2", "h3"]), rng.choice([None, "piso", "local"]), rng.choice([None, 50.0, 53.0, 90.0]))
-        if unit not in seen:
-            rows.append((i, *unit))
-        seen.add(unit)
-    rows += [(500 + k, *rows[k][1:]) for k in range(5)] + [(900, None, None, "piso", 1.0)]
-    schema = "row_id long, address_norm string, building_id string, asset_type_detail string, area_m2 double"
-    got = {r.row_id: r.asset_id for r in identity.match_asset(spark.createDataFrame(rows, schema).repartition(3)).collect()}
-    for street in "ab":  # one after another, as the rows come
-        mine = [r for r in rows if r[1] == street and r[0] < 500]
-        founded = []
-        for row_id, _, building, kind, area in mine:
-            best, most = None, 0
-            for a in founded:
-                close = a["area"] is None or area is None or abs(a["area"] - area) <= max(5, 0.08 * max(a["area"], area))
-                score = 40 + 50 * (building is not None and a["building"] == building) + 20 * (kind is not None and a["kind"] == kind) + 20 * close
-                if score > most:
-                    best, most = a, score
-            if most < 60:
-                best = {"id": row_id, "building": building, "kind": kind, "area": area}
-                founded.append(best)
-            best["building"], best["area"] = best["building"] or building, best["area"] or area
-            assert got[row_id] == best["id"]
-    assert all(got[500 + k] == got[rows[k][0]] for k in range(5)) and got[900] == 900
-    two = spark.createDataFrame([(1, "callealcaladehenares", None, "piso", 50.0), (2, "callealcaladehenarez", None, "piso", 52.0), (3, "callemayor", None, "piso", 50.0)], schema)
-    assert {r.row_id: r.asset_id for r in identity.match_asset(two, identity.similar_streets(two)).collect()} == {1: 1, 2: 1, 3: 3}
+def one_after_another(rows, ratio=fuzzy.indel_ratio):
+    """Find-or-create, row by row, over all assets: building 50, street 40 or a similar one 20, type 20, area 20; 60 are enough."""
+    assets, out = [], {}
+    for row_id, street, building, kind, area in sorted(rows):
+        found = [a for a in assets if building and a["building"] == building]
+        found += [a for a in assets if street and a["street"] == street and a not in found]
+        best, most = None, 0
+        for a in found or [a for a in assets if kind and a["kind"] == kind]:
+            points = 50 if building and a["building"] == building else 0
+            if street and a["street"]:
+                points += 40 if a["street"] == street else 20 if ratio(street, a["street"]) >= 92 else 0
+            points += 20 if kind and a["kind"] == kind else 0
+            points += 20 if a["area"] is None or area is None or abs(a["area"] - area) <= max(5, 0.08 * max(a["area"], area)) else 0
+            if points > most:
+                best, most = a, points
+        if most < 60:
+            best = {"id": row_id, "building": None, "street": street, "kind": kind, "area": area}
+            assets.append(best)
+        best["building"] = best["building"] or building
+        best["area"] = area if best["area"] is None else best["area"]
+        out[row_id] = best["id"]
+    return out
+
+
+ASSET_ROWS = "row_id long, address_norm string, building_id string, asset_type_detail string, area_m2 double"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assets_equal_find_or_create(spark, seed):
+    """Q2: shared buildings over streets, chains of similar streets, repeated rows, missing values."""
+    rng = random.Random(seed)
+    chain = ["callealcaladehenares", "callealcaladehenarez", "callealcaladehenarezz", "callealcaladehenarzzz"]
+    streets = [*chain, "callesol", "plazanueva", "callemayor", "callemayorr", "", None]
+    rows = [(i, rng.choice(streets), rng.choice([None, None, "", *(f"h{k}" for k in range(12))]), rng.choice([None, "piso", "local", "atico"]), rng.choice([None, 50.0, 51.0, 53.0, 55.5, 56.0, 90.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, ASSET_ROWS).repartition(3)
+    got = {r.row_id: r.asset_id for r in identity.match_asset(df, identity.similar_streets(df)).collect()}
+    assert got == one_after_another(rows)
+    assert all(got[a] == a for a in set(got.values()))  # every asset is its own founder
+    alone = {r.row_id: r.asset_id for r in identity.match_asset(df).collect()}
+    assert alone == one_after_another(rows, lambda a, b: 0)
+
+
+def test_assets_of_one_building(spark):
+    """Q2: one building over two streets and a row without one is one asset; a chain of similar streets has no founder that moved."""
+    rows = [(1, "callesol", "B1", "piso", 50.0), (2, "plazanueva", "B1", "piso", 50.0), (3, None, "B1", "piso", 50.0), (4, None, None, "piso", 50.0)]
+    df = spark.createDataFrame(rows, ASSET_ROWS)
+    assert {r.row_id: r.asset_id for r in identity.match_asset(df, identity.similar_streets(df)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    rows = [(1, "callealcaladehenares", None, "piso", 50.0), (2, "callealcaladehenarez", None, "piso", 52.0), (3, "callealcaladehenarezz", None, "piso", 50.0)]
+    df = spark.createDataFrame(rows, ASSET_ROWS)
+    assert {r.row_id: r.asset_id for r in identity.match_asset(df, identity.similar_streets(df)).collect()} == one_after_another(rows)
+    assert identity.match_asset(df.limit(0), identity.similar_streets(df.limit(0))).count() == 0
+
+
+def test_edit_join_equals_all_pairs(spark):
+    """Prefix, length and count filters lose no pair, with words in any order, short keys and repeated letters."""
+    from plotline.functions import similar
+
+    rng = random.Random(8)
+    base = ["callealcala", "gran via", "paseo de la castellana", "aa", "a", "avenida de america", "plaza mayor de la villa", "aaaaaaaaaa", "calle de fuencarral norte"]
+    keys = set(base)
+    for _ in range(300):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "e", "s", " "])
+        keys.add(" ".join("".join(w).split()))
+    keys = sorted(k for k in keys if k)
+    left, right = spark.createDataFrame([(k,) for k in keys[::2]], "key string"), spark.createDataFrame([(k,) for k in keys], "other string")
+    for least in (80, 92):
+        want = {(a, b) for a in keys[::2] for b in keys if fuzzy.indel_ratio(a, b) >= least}
+        assert {(r.key, r.other) for r in similar.edit_pairs(left, right, least=least).collect()} == want
+        turned = {(a, b) for a in keys[::2] for b in keys if fuzzy.indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) >= least}
+        assert turned <= {(r.key, r.other) for r in similar.edit_candidates(left, right, least=least).collect()}
+    choices = right.withColumnRenamed("other", "choice").withColumn("place", F.monotonically_increasing_id())
+    got = {r.key: r.score for r in fuzzy.best_keys(left, choices).collect()}
+    best = {a: max(fuzzy.weighted(a, b) for b in keys) for a in keys[::2]}
+    assert got == {a: s for a, s in best.items() if s >= 92}
 
 
 def test_addresses(spark):
