@@ -26,35 +26,56 @@ def search_documents(**sections: DataFrame) -> DataFrame:
 
 
 def build_search_index(docs: DataFrame) -> DataFrame:
-    """X-02: token, section, entity_id, field, tf, n_tokens (of the document, all fields)."""
+    """X-02: token, section, entity_id, field, n_tokens (of the document, all fields), tf, positions (of the token in the field, from 0, ascending)."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), search_tokens(F.col(f)).alias("tokens")) for f in FIELDS])
     d = docs.select("section", "entity_id", fields.alias("f")).withColumn("n_tokens", F.aggregate("f", F.lit(0), lambda a, x: a + F.size(x["tokens"])))
-    flat = d.select("section", "entity_id", "n_tokens", F.explode("f").alias("x")).select("section", "entity_id", "n_tokens", "x.field", F.explode("x.tokens").alias("token"))
-    return flat.groupBy("token", "section", "entity_id", "field", "n_tokens").agg(F.count("*").alias("tf"))
+    flat = d.select("section", "entity_id", "n_tokens", F.explode("f").alias("x")).select("section", "entity_id", "n_tokens", "x.field", F.posexplode("x.tokens").alias("position", "token"))
+    return flat.groupBy("token", "section", "entity_id", "field", "n_tokens").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def parse_search_query(c: Column) -> Column:
-    """X-03: at most ten tokens; those with a digit or of two letters at least are prefixes."""
-    return F.transform(F.slice(search_tokens(c), 1, 10), lambda t: F.struct(t.alias("token"), (t.rlike("[0-9]") | (F.length(t) >= 2)).alias("prefix")))
+    """X-03: at most ten terms of letters, digits and underscores: their tokens in order (``a_b`` is a phrase), and whether the last of them is a prefix.
+
+    Terms with digits alone or of two signs at least are prefixes. Terms without a letter or digit say nothing.
+    """
+    terms = F.slice(F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}\p{M}_\s]", " "), r"\s+"), lambda t: t != ""), 1, 10)
+    parsed = F.transform(terms, lambda t: F.struct(search_tokens(t).alias("tokens"), (t.rlike(r"^\p{Nd}+$") | (F.length(t) >= 2)).alias("prefix")))
+    return F.filter(parsed, lambda t: F.size(t["tokens"]) > 0)
+
+
+def _meant(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """_q, prefix, token: the words of the index that each asked token means: itself, or those that begin with it.
+
+    Prefixes meet words by their first two letters, and those of one letter by the first, so a short prefix does not gather the longer ones' words.
+    """
+    exact = asked.where("not prefix").join(words, F.col("_q") == F.col("token"), "left_semi").withColumn("token", F.col("_q"))
+    out = exact.select("_q", "prefix", "token")
+    for letters, some in ((1, F.length("_q") == 1), (2, F.length("_q") > 1)):
+        met = asked.where("prefix").where(some).withColumn("_head", F.substring("_q", 1, letters)).join(words.withColumn("_head", F.substring("token", 1, letters)), "_head")
+        out = out.unionByName(met.where(F.startswith("token", "_q")).select("_q", "prefix", "token"))
+    return out
 
 
 def search(queries: DataFrame, docs: DataFrame, index: DataFrame, *, k: int = 25, weights: dict[str, float] | None = None) -> DataFrame:
-    """X-04: query_id, section, entity_id, score, place: documents with every token of a query, the k best of each section by BM25.
+    """X-04: query_id, section, entity_id, score, place: documents with every term of a query, the k best of each section by BM25.
 
-    The tokens of the queries meet the distinct tokens of the index first, by their first two letters or, of one-letter prefixes, by
-    the first; postings are joined by whole token. Ties go to the newest, then the id.
+    The tokens of the queries meet the distinct tokens of the index first; postings are joined by whole token. A phrase's hits are the places where all its
+    tokens stand one after another in a field: positions less the token's place in the phrase, counted where all agree. Ties go to the newest, then the id.
     """
     c = F.col
     w = weights or {}
-    q = queries.select("query_id", F.posexplode(parse_search_query(c("text"))).alias("pos", "t")).select("query_id", "pos", "t.token", "t.prefix")
+    q = queries.select("query_id", F.posexplode(parse_search_query(c("text"))).alias("pos", "t"))
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    heads = lambda t: F.array_distinct(F.array(F.substring(t, 1, 1), F.substring(t, 1, 2)))
-    words = index.select("token").distinct().withColumn("_head", F.explode(heads("token")))
-    asked = q.select(c("token").alias("_q"), "prefix").distinct().withColumn("_head", F.substring("_q", 1, 2))
-    meant = asked.join(words, "_head").where((c("prefix") & F.startswith("token", "_q")) | (c("token") == c("_q"))).select("_q", "token").distinct()
-    hit = q.withColumnRenamed("token", "_q").join(meant, "_q").join(index, "token")
+    q = q.select("query_id", "pos", F.size("t.tokens").alias("terms"), c("t.prefix").alias("_open"), F.posexplode("t.tokens").alias("at", "_q"))
+    q = q.select("query_id", "pos", "terms", "at", "_q", (c("_open") & (c("at") == c("terms") - 1)).alias("prefix"))
+    meant = _meant(q.select("_q", "prefix").distinct(), index.select("token").distinct())
+    hit = q.join(meant, ["_q", "prefix"]).join(index, "token")
+    of = ["query_id", "pos", "section", "entity_id", "field", "n_tokens"]
+    single = hit.where("terms = 1").select(*of, "tf")
+    starts = hit.where("terms > 1").select(*of, "terms", F.explode(F.transform("positions", lambda p: p - c("at"))).alias("start"))
+    phrases = starts.groupBy(*of, "terms", "start").agg(F.count("*").alias("n")).where("n = terms").groupBy(*of).agg(F.count("*").alias("tf"))
     weight = F.coalesce(*[F.when(c("field") == f, float(w.get(f, 1.0))) for f in FIELDS])
-    f = hit.groupBy("query_id", "pos", "section", "entity_id", "n_tokens").agg(F.sum(c("tf") * weight).alias("f"))
+    f = single.unionByName(phrases).groupBy("query_id", "pos", "section", "entity_id", "n_tokens").agg(F.sum(c("tf") * weight).alias("f"))
     n = f.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
     size = index.select("section", "entity_id", "n_tokens").distinct().agg(F.count("*").alias("total"), F.avg("n_tokens").alias("mean"))
     s = f.join(n, ["query_id", "pos"]).crossJoin(F.broadcast(size))
@@ -78,7 +99,7 @@ def snippet(text: Column, tokens: Column, width: int = 80) -> Column:
 
 def search_results(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """X-05: ``hits`` of ``search`` with title and content of the document, a snippet, and how many hits the section has among them."""
-    tokens = queries.select("query_id", F.transform(parse_search_query(F.col("text")), lambda t: t["token"]).alias("_tokens"))
+    tokens = queries.select("query_id", F.flatten(F.transform(parse_search_query(F.col("text")), lambda t: t["tokens"])).alias("_tokens"))
     shown = hits.join(docs.select("section", "entity_id", "title", "content", "phone_digits"), ["section", "entity_id"]).join(tokens, "query_id")
     shown = shown.withColumns({"snippet": snippet(F.concat_ws(" ", "title", "content", "phone_digits"), F.col("_tokens")), "section_total": F.count("*").over(Window.partitionBy("query_id", "section"))})
     return shown.drop("_tokens", "phone_digits")
