@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from plotline.functions.text import normalize_text, text_key
 
 NO_ZONE = "Sin zona"
 
 
-@F.pandas_udf(StringType())
-def _title_if_upper(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x.title() if isinstance(x, str) and x.upper() == x else x)
+def _title_if_upper(c: Column) -> Column:
+    """Names in capitals with a capital at each word's start only, words also beginning after hyphens, dots and apostrophes; other names as they are."""
+    mark = "\u0001 "  # a blank where a word begins that no blank precedes
+    titled = F.replace(F.initcap(F.regexp_replace(c, r"([^\p{L}\s])(?=\p{L})", "$1" + mark)), F.lit(mark), F.lit(""))
+    return F.when(F.upper(c) == c, titled).otherwise(c)
 
 
 def canonical_zones(labels: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def opportunity_prediction(zone_absorption: Column, capture: Column, concentrati
     return rounded(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 1)
 
 
-def opportunity_queue(events: DataFrame, assets: DataFrame, listings: DataFrame, contacts: DataFrame, zones: DataFrame, microzones: DataFrame, *, as_of: Column, window_days: int = 14, channel: str = "flow", limit: int | None = 100) -> DataFrame:
+def opportunity_queue(events: DataFrame, assets: DataFrame, listings: DataFrame, contacts: DataFrame, zones: DataFrame, microzones: DataFrame, *, as_of: Column, window_days: int = 14, channel: str = "flow", limit: int | None = 100, phones: DataFrame | None = None) -> DataFrame:
     """W-07: a scored row for each event of the window.
 
     Events are cut to the window before any join; the zone table, a row for each zone, is broadcast; listings and assets are joined by id.
@@ -50,7 +50,8 @@ def opportunity_queue(events: DataFrame, assets: DataFrame, listings: DataFrame,
     e = e.join(best, "asset_id", "left").withColumn("listing_id", F.coalesce("listing_id", "_best"))
     e = e.join(listings.select(c("id").alias("listing_id"), "contact_id", "source_portal"), "listing_id", "left")
     e = e.join(contacts.select(c("id").alias("contact_id"), c("phone_raw").alias("contact_phone"), "phone_norm"), "contact_id", "left")
-    e = e.join(phone_profiles(listings, contacts).select("phone_norm", "phone_profile"), "phone_norm", "left").withColumn("phone_profile", F.coalesce("phone_profile", F.lit("unknown")))
+    profiles = phone_profiles(listings, contacts) if phones is None else phones
+    e = e.join(profiles.select("phone_norm", "phone_profile"), "phone_norm", "left").withColumn("phone_profile", F.coalesce("phone_profile", F.lit("unknown")))
     e = e.withColumn("microzone_label", geo.microzone_label(c("zone_label"), c("lat"), c("lon")))
     z = zones.select("zone_label", *[c(f"zone_{k}_score").alias(f"_z_{k}") for k in ("capture", "pressure", "confidence", "relative_heat", "transformation_signal")], c("predicted_absorption_score").alias("_absorption"))
     m = microzones.select("microzone_label", *[c(f"microzone_{k}_score").alias(f"_m_{k}") for k in ("capture", "concentration", "confidence")])

@@ -86,13 +86,13 @@ def event_counts(events: DataFrame, as_of: Column, window_days: int = 14) -> Dat
     )
 
 
-def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame, events: DataFrame, flow_items: DataFrame, context: DataFrame, *, as_of: Column, window_days: int = 14, freshness: int | None = 2, channel: str = "flow") -> DataFrame:
+def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame, events: DataFrame, flow_items: DataFrame, context: DataFrame, *, as_of: Column, window_days: int = 14, freshness: int | None = 2, channel: str = "flow", phones: DataFrame | None = None) -> DataFrame:
     """A-03: some forty measures for each zone.
 
     ``assets`` and ``flow_items`` have zone_label. Four aggregates that each shrink to a row for each zone, then a full outer join of these and
-    the zones' context (J-17: the neighborhood's, else the district's).
+    the zones' context (J-17: the neighborhood's, else the district's). ``phones``: the profiles of the phones (A-01), if they are at hand.
     """
-    profiles = phone_profiles(listings, contacts)
+    profiles = phone_profiles(listings, contacts) if phones is None else phones
     zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label")
     in_zone = lambda df: df.join(zone_of, "asset_id", "left").withColumn("zone_label", F.coalesce("zone_label", F.lit("Sin zona")))
     mine = event_asset(events.where(F.col("source_channel") == channel).select("listing_id", "asset_id", "event_type", "event_datetime"), listings)

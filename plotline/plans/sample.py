@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotline.operators.shared import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 AS_OF = "2024-01-31 00:00:00"
 
@@ -95,18 +97,9 @@ VIEWS: dict[str, str] = {
 NEEDS = {"contacts": ["n_customers"], "listings": ["n_parts"], "market_events": ["n_parts", "n_listings"], "links": ["n_listings"], "flow_items": ["n_parts", "n_customers", "n_listings", "assets", "contacts", "listings"]}
 
 
-_HELD: list[DataFrame] = []
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` cached for a query that reads it more than once; freed when the next query is asked for."""
-    _HELD.append(df.cache())
-    return _HELD[-1]
-
-
-def release() -> None:
-    while _HELD:
-        _HELD.pop().unpersist()
+def kept(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` as a written stage, for a query that reads it more than once: what reads it has a scan in its plan, not all that led to it."""
+    return stored(df, name)
 
 
 def cte(*names: str) -> str:

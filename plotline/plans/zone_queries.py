@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,24 +21,66 @@ def placed_assets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def placed_flow(spark: SparkSession, d: str) -> DataFrame:
-    items = view(spark, d, "flow_items").select("id", "address_raw", F.lit(None).cast("string").alias("neighborhood"), F.lit(None).cast("string").alias("district"))
+    items = kept(view(spark, d, "flow_items").select("id", "address_raw", F.lit(None).cast("string").alias("neighborhood"), F.lit(None).cast("string").alias("district")), "flow")
     return with_zone(items, view(spark, d, "zone_context"))
 
 
+class Stages:
+    """The stage graph of one query: each stage is written when it is first asked for, and later stages scan it."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.view = lambda n: view(spark, d, n)
+        self.flow = lambda: placed_flow(spark, d)
+        self.raw_assets = lambda: placed_assets(spark, d)
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        return kept(self.raw_assets(), "assets")
+
+    @cached_property
+    def listings(self) -> DataFrame:
+        return kept(self.view("listings"), "listings")
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return kept(profiles.phone_profiles(self.listings, self.view("contacts")), "phone-profiles")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Market events with the asset of the event, or else of its listing."""
+        return kept(profiles.event_asset(self.view("market_events"), self.listings), "events")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        v = self.view
+        found = zones.zone_features_v2(self.assets, self.listings, v("contacts"), self.events, self.flow(), v("zone_context"), as_of=as_of(), phones=self.profiles)
+        return kept(found, "zone-features")
+
+    @cached_property
+    def zones(self) -> DataFrame:
+        """Scored zones, a row for each."""
+        return kept(zones.zone_prediction(zones.zone_scores_v2(zones.worth_keeping(self.features))), "zones")
+
+    @cached_property
+    def microzones(self) -> DataFrame:
+        """Scored cells, a row for each."""
+        cells = kept(zones.microzone_features(self.assets, self.listings, self.events, self.zones, as_of=as_of()), "cells")
+        return kept(zones.microzone_scores(cells), "scored-cells")
+
+    def queue(self, limit: int | None = None) -> DataFrame:
+        return opportunities.opportunity_queue(self.events, self.assets, self.listings, self.view("contacts"), self.zones, self.microzones, as_of=as_of(), limit=limit, phones=self.profiles)
+
+
 def features_v2(spark: SparkSession, d: str) -> DataFrame:
-    v = lambda n: view(spark, d, n)
-    return zones.zone_features_v2(placed_assets(spark, d), v("listings"), v("contacts"), v("market_events"), placed_flow(spark, d), v("zone_context"), as_of=as_of())
+    return Stages(spark, d).features
 
 
 def scored_v2(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each zone, kept for what reads it more than once."""
-    return kept(zones.zone_prediction(zones.zone_scores_v2(zones.worth_keeping(kept(features_v2(spark, d))))))
+    return Stages(spark, d).zones
 
 
-def scored_microzones(spark: SparkSession, d: str, z: DataFrame | None = None) -> DataFrame:
-    v = lambda n: view(spark, d, n)
-    features = zones.microzone_features(placed_assets(spark, d), v("listings"), v("market_events"), z or scored_v2(spark, d), as_of=as_of())
-    return kept(zones.microzone_scores(kept(features)))
+def scored_microzones(spark: SparkSession, d: str) -> DataFrame:
+    return Stages(spark, d).microzones
 
 
 FEATURES = [
@@ -84,7 +128,7 @@ def zone_scores_v1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_scores_v2(spark: SparkSession, d: str) -> DataFrame:
-    return zones.zone_scores_v2(zones.worth_keeping(features_v2(spark, d))).select("zone_label", *SCORE_COLUMNS, "geo_point_ratio", "recommended_action")
+    return scored_v2(spark, d).select("zone_label", *SCORE_COLUMNS, "geo_point_ratio", "recommended_action")
 
 
 def zone_prediction(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +144,7 @@ def microzone_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
-    v = lambda n: view(spark, d, n)
-    z = scored_v2(spark, d)
-    return opportunities.opportunity_queue(v("market_events"), placed_assets(spark, d), v("listings"), v("contacts"), z, scored_microzones(spark, d, z), as_of=as_of(), limit=limit)
+    return Stages(spark, d).queue(limit)
 
 
 QUEUE = ["event_id", "event_type", "zone_label", "asset_id", "listing_id", "contact_id", "contact_phone", "phone_profile", "price_drop_pct", "score_event_base", "score_recency", "score_price_signal", "score_zone_signal", "score_microzone_signal", "score_predictive_signal", "score_geo_signal", "predicted_opportunity_score", "predicted_opportunity_band", "score", "priority_label", "reason"]
@@ -170,8 +212,8 @@ def radar_microzones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def radar_summary(spark: SparkSession, d: str) -> DataFrame:
-    z = scored_v2(spark, d)
-    return radar.radar_summary(z, scored_microzones(spark, d, z))
+    stages = Stages(spark, d)
+    return radar.radar_summary(stages.zones, stages.microzones)
 
 
 def radar_v1(spark: SparkSession, d: str) -> DataFrame:

@@ -162,3 +162,11 @@ def test_archives(spark, tmp_path):
     (tmp_path / "c.html").write_text("<p>y</p>")
     (tmp_path / "a.xlsx").rename(tmp_path / "a.zip")
     assert sorted(r.html for r in archives.read_chat_export(spark, str(tmp_path)).collect()) == ["<p>x</p>", "<p>y</p>"]
+
+
+def test_titles_of_capitals(spark):
+    from plotline.functions.labels import _title_if_upper
+
+    names = ["SOL", "SAN BLAS-CANILLEJAS", "EL VISO", "Sol", "VILLA DE VALLECAS", "L'ILLA", "ÁLAMOS", "A.B. CENTRO", "CASCO H.VALLECAS", "", None, "12 DE OCTUBRE"]
+    got = spark.createDataFrame([(x,) for x in names], "x string").select(_title_if_upper(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [x.title() if x and x.upper() == x else x for x in names]
