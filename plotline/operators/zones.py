@@ -86,11 +86,12 @@ def event_counts(events: DataFrame, as_of: Column, window_days: int = 14) -> Dat
     )
 
 
-def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame, events: DataFrame, flow_items: DataFrame, context: DataFrame, *, as_of: Column, window_days: int = 14, freshness: int | None = 2, channel: str = "flow", phones: DataFrame | None = None) -> DataFrame:
+def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame, events: DataFrame, flow_items: DataFrame, context: DataFrame, *, as_of: Column, window_days: int = 14, freshness: DataFrame | int | None = None, channel: str = "flow", phones: DataFrame | None = None) -> DataFrame:
     """A-03: some forty measures for each zone.
 
     ``assets`` and ``flow_items`` have zone_label. Four aggregates that each shrink to a row for each zone, then a full outer join of these and
     the zones' context (J-17: the neighborhood's, else the district's). ``phones``: the profiles of the phones (A-01), if they are at hand.
+    ``freshness``: days since the last good run, or the one row of ``profiles.freshness_days``.
     """
     profiles = phone_profiles(listings, contacts) if phones is None else phones
     zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label")
@@ -104,7 +105,6 @@ def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame
     out = out.withColumn("absorption_count", sum((c(f"{t}_count") for t in ABSORBED[1:]), c("reserved_count")))
     out = out.withColumns(
         {
-            "freshness_days": F.lit(freshness).cast("int"),
             "broker_phone_share": ratio(c("broker_like_phone_count"), c("unique_phone_count")),
             "owner_phone_share": ratio(c("owner_like_phone_count"), c("unique_phone_count")),
             "listings_per_asset": ratio(c("listings_count"), c("assets_count"), 3),
@@ -114,7 +114,8 @@ def zone_features_v2(assets: DataFrame, listings: DataFrame, contacts: DataFrame
             "geo_coverage_ratio": ratio(c("geo_point_assets"), c("assets_count")),
         }
     )
-    out = zone_context(out, context)
+    age = freshness.select("freshness_days") if isinstance(freshness, DataFrame) else contacts.sparkSession.range(1).select(F.lit(freshness).cast("long").alias("freshness_days"))
+    out = zone_context(out, context).crossJoin(F.broadcast(age))  # one row
     rate = lambda n, m: F.when(F.coalesce(c("population"), F.lit(0)) == 0, 0.0).otherwise(rounded(c(n) / c("population") * float(m), 4))
     return out.withColumns(
         {

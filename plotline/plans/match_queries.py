@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from plotline.functions import bands, geo, numbers, semantics, text
 from plotline.operators import identity, matching, profiles, quality
+from plotline.operators.shared import shared_folder
 from plotline.plans.sample import AS_OF, cte, kept, view
+from plotline.sources import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,6 +345,22 @@ def upsert_flow(spark, d):
     return identity.consolidate(_items(spark, d), "source_uid", "id", ["portal", "contact_phone"], ["contact_name"])
 
 
+_BATCH = "SELECT source_uid, arg_max(portal, id) FILTER (portal IS NOT NULL) AS portal, arg_max(contact_phone, id) FILTER (contact_phone IS NOT NULL) AS contact_phone, arg_max(contact_name, id) FILTER (contact_name IS NOT NULL) AS contact_name, max(id) AS id FROM flow_items"
+
+
+@query(cte("flow_items") + f""", b1 AS ({_BATCH} WHERE event_datetime < TIMESTAMP '2024-01-20' GROUP BY 1), b2 AS ({_BATCH} GROUP BY 1)
+    SELECT CASE WHEN b1.source_uid IS NULL THEN 'created' ELSE 'updated' END AS change, b2.source_uid, b2.portal, b2.contact_phone, b2.contact_name, b2.id FROM b2 LEFT JOIN b1 USING (source_uid)
+    WHERE b1.source_uid IS NULL OR (b1.portal, b1.contact_phone, b1.contact_name, b1.id) IS DISTINCT FROM (b2.portal, b2.contact_phone, b2.contact_name, b2.id)""")
+def flow_changes(spark, d):
+    """A-08 and SNK-01: what a second batch of flow items created and updated in a table that the first has made."""
+    items = _items(spark, d).select("source_uid", "portal", "contact_phone", "contact_name", "id", "event_datetime")
+    path = f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
+    for early in (True, False):
+        batch = items.where((F.col("event_datetime") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))) == F.lit(early)).drop("event_datetime")
+        versions.upsert_version(batch, path, ["source_uid"], by="id", fill=True)
+    return versions.changes(spark, path, 1)
+
+
 @query(cte("snapshots") + """ SELECT listing_id, strftime(snapshot_datetime, '%Y-%m-%d') AS day, p.price_eur, p.status FROM (
     SELECT listing_id, snapshot_datetime, min(struct_pack(price_eur := price_eur, status := status)) AS p FROM snapshots GROUP BY 1, 2) t""")
 def baseline_snapshots(spark, d):

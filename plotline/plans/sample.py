@@ -82,6 +82,11 @@ VIEWS: dict[str, str] = {
                CAST(event_id % 101 AS DOUBLE) / 1e2 AS predicted_score, ts AS created_at
         FROM events
     """,
+    "runs": """
+        SELECT event_id % 30 AS id, CASE WHEN event_id % 30 < 25 THEN 'csv' ELSE 'flow' END AS source_type, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END AS status,
+               max(ts) AS finished_at
+        FROM events WHERE ts < TIMESTAMP '2024-01-24 00:00:00' OR event_id % 3 = 0 OR event_id % 30 >= 25 GROUP BY event_id % 30, event_id % 3
+    """,
     "zone_context": """
         SELECT 'neighborhood' AS zone_level, concat(substr(n_name, 1, 1), lower(substr(n_name, 2))) AS zone_label, n_name AS zone_name,
                CAST(5000 + n_nationkey * 731 AS BIGINT) AS population, CAST(n_nationkey % 9 AS BIGINT) AS change_of_use_24m, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS change_of_use_rate,

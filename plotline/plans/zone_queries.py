@@ -53,7 +53,7 @@ class Stages:
     @cached_property
     def features(self) -> DataFrame:
         v = self.view
-        found = zones.zone_features_v2(self.assets, self.listings, v("contacts"), self.events, self.flow(), v("zone_context"), as_of=as_of(), phones=self.profiles)
+        found = zones.zone_features_v2(self.assets, self.listings, v("contacts"), self.events, self.flow(), v("zone_context"), as_of=as_of(), phones=self.profiles, freshness=profiles.freshness_days(v("runs"), as_of()))
         return kept(found, "zone-features")
 
     @cached_property
@@ -88,7 +88,7 @@ FEATURES = [
     "broker_phone_share", "owner_phone_share", "avg_price_eur", "avg_price_m2", "avg_area_m2", "asset_type_diversity", "portal_diversity", "top_portal", "listings_per_asset",
     "events_7d", "events_14d", "events_30d", "listing_detected_count", "price_drop_count", "reserved_count", "sold_count", "expired_count", "absorption_count", "net_new_supply",
     "resolved_events", "raw_in_zone", "unresolved_estimated", "resolved_ratio", "geo_neighborhood_assets", "geo_district_assets", "geo_point_assets", "geo_coverage_ratio",
-    "population", "assets_per_1k", "active_listings_per_1k", "events_per_10k", "detected_per_10k", "drops_per_10k", "absorption_per_10k", "raw_per_10k",
+    "population", "assets_per_1k", "active_listings_per_1k", "events_per_10k", "detected_per_10k", "drops_per_10k", "absorption_per_10k", "raw_per_10k", "freshness_days",
 ]
 SCORES = ["saturation", "heat", "relative_heat", "transformation_signal", "pressure", "liquidity", "confidence", "capture"]
 SCORE_COLUMNS = [f"zone_{s}_score" for s in SCORES]
@@ -112,6 +112,10 @@ def zone_features_v2(spark: SparkSession, d: str) -> DataFrame:
     return features_v2(spark, d).select(*FEATURES)
 
 
+def freshness_days(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.freshness_days(view(spark, d, "runs"), as_of())
+
+
 def alert_zone_features(spark: SparkSession, d: str) -> DataFrame:
     return opportunities.alert_zone_features(alerts(spark, d))
 
@@ -253,7 +257,7 @@ def opportunity_queue_v1(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        phone_profiles, infer_zone, zone_features_v1, zone_features_v2, alert_zone_features, zone_scores_v1, zone_scores_v2, zone_prediction, microzone_features, microzone_scores,
+        phone_profiles, infer_zone, zone_features_v1, zone_features_v2, freshness_days, alert_zone_features, zone_scores_v1, zone_scores_v2, zone_prediction, microzone_features, microzone_scores,
         opportunity_queue, opportunity_top, filter_opportunities, opportunity_groups, select_group, best_listing, event_asset, snapshot_window, zone_context, winsorize, radar_top, radar_all, radar_microzones, radar_summary, radar_v1, dashboard_tops, zone_focus_compare,
         map_viewport, filter_microzones, map_points, zone_detail, opportunity_queue_v1,
     )

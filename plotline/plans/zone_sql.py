@@ -10,7 +10,8 @@ RATIO = lambda a, b, n=4: f"(CASE WHEN coalesce({b}, 0) = 0 THEN 0.0 ELSE {R(f'C
 MEAN = lambda x: R(f"CAST(sum(CAST(floor({x} * 100 + 0.5) AS HUGEINT)) AS DOUBLE) / (count({x}) * 100)", 2)
 ACTIVE = "(status IS NULL OR status IN ('', 'active', 'Disponible', 'En venta'))"
 
-BASE = cte("zone_context", "assets", "contacts", "listings", "market_events", "flow_items", "snapshots") + f""",
+BASE = cte("zone_context", "assets", "contacts", "listings", "market_events", "flow_items", "snapshots", "runs") + f""",
+fs AS (SELECT CAST(greatest(date_diff('second', max(finished_at), TIMESTAMP '{AS_OF}') // 86400, 0) AS BIGINT) AS freshness_days FROM runs WHERE source_type = 'csv' AND status = 'success'),
 za AS (
     SELECT a.*, coalesce(n.zone_label, d.zone_label, r.zone_label, 'Sin zona') AS zone_label
     FROM assets a LEFT JOIN zone_context n ON upper(n.zone_label) = a.neighborhood
@@ -55,8 +56,8 @@ f0 AS (
     FROM fa FULL JOIN fl USING (zone_label) FULL JOIN tp USING (zone_label) FULL JOIN fp USING (zone_label) FULL JOIN fe USING (zone_label) FULL JOIN fr USING (zone_label)
 ),
 f1 AS (
-    SELECT f0.*, reserved_count + sold_count + not_available_count + expired_count AS absorption_count, c.population, c.change_of_use_rate, c.inspections_rate, c.closed_rate, c.vut_rate
-    FROM f0 LEFT JOIN zone_context c USING (zone_label)
+    SELECT f0.*, fs.freshness_days, reserved_count + sold_count + not_available_count + expired_count AS absorption_count, c.population, c.change_of_use_rate, c.inspections_rate, c.closed_rate, c.vut_rate
+    FROM f0 CROSS JOIN fs LEFT JOIN zone_context c USING (zone_label)
 ),
 f AS (
     SELECT *, listing_detected_count - absorption_count AS net_new_supply, greatest(raw_in_zone - resolved_events, 0) AS unresolved_estimated,
@@ -89,7 +90,7 @@ k2 AS (
 ),
 k3 AS (
     SELECT *, 0.25e0 * n_drops + 0.20e0 * n_drops_pop + 0.20e0 * sat + 0.15e0 * n_broker + 0.10e0 * greatest(n_supply - n_absorbed, 0e0) + 0.10e0 * tra AS pre,
-           0.32e0 * n_resolved + 0.18e0 * 1e0 + 0.15e0 * n_kinds + 0.10e0 * n_portals + 0.20e0 * geo + 0.05e0 * n_context AS con FROM k2
+           0.32e0 * n_resolved + 0.18e0 * CASE WHEN freshness_days <= 3 THEN 1e0 WHEN freshness_days <= 7 THEN 0.8e0 WHEN freshness_days <= 14 THEN 0.6e0 WHEN freshness_days <= 30 THEN 0.35e0 ELSE 0.15e0 END + 0.15e0 * n_kinds + 0.10e0 * n_portals + 0.20e0 * geo + 0.05e0 * n_context AS con FROM k2
 ),
 k4 AS (
     SELECT *, {', '.join(f"{R(f'{v} * 100', 1)} AS zone_{k}_score" for k, v in (('saturation', 'sat'), ('heat', 'heat'), ('relative_heat', 'rel'), ('transformation_signal', 'tra'), ('pressure', 'pre'), ('liquidity', 'liq'), ('confidence', 'con')))},
@@ -197,6 +198,7 @@ def _oracles() -> dict[str, str]:
         "infer_zone": BASE.rstrip().rstrip(",") + " SELECT id, zone_label FROM za",
         "zone_features_v1": BASE.rstrip().rstrip(",") + " SELECT zone_label, assets_count, asset_type_diversity, geo_neighborhood_assets, geo_district_assets, geo_point_assets, listings_count, contacts_count, avg_price_eur, avg_price_m2, top_portal, listings_per_asset FROM f WHERE assets_count > 0 OR listings_count > 0",
         "zone_features_v2": BASE.rstrip().rstrip(",") + f" SELECT {features} FROM f",
+        "freshness_days": BASE.rstrip().rstrip(",") + " SELECT freshness_days FROM fs",
         "alert_zone_features": BASE + _ALERTS + " SELECT * FROM al",
         "zone_scores_v1": _V1 + " SELECT * FROM v",
         "zone_scores_v2": SCORED + f" SELECT zone_label, {', '.join(zq.SCORE_COLUMNS)}, geo_point_ratio, recommended_action FROM z",

@@ -81,23 +81,6 @@ def write_table(df: DataFrame, path: str, *, by: list[str] | None = None, mode:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def upsert_table(df: DataFrame, path: str, key: list[str], *, by: str) -> None:
-    """SNK-01: ``df`` into the table at ``path``: of the stored and new rows of each key the one with the highest ``by`` stays, a new one on ties.
-
-    The result is written beside the table first, then takes its place, so a failed write leaves the table as it was.
-    """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    stored = spark.read.parquet(path)
-    both = stored.withColumn("_new", F.lit(0)).unionByName(df.select(*stored.columns).withColumn("_new", F.lit(1)))
-    order = Window.partitionBy(*key).orderBy(F.col(by).desc_nulls_last(), F.col("_new").desc())
-    merged = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
-    side = path.rstrip("/") + "_next"
-    merged.write.mode("overwrite").parquet(side)
-    spark.read.parquet(side).write.mode("overwrite").parquet(path)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """SNK-02: one JSON object a line."""
     df.write.mode("overwrite").json(path)

@@ -190,10 +190,6 @@ def test_stream_equals_batch(spark, flow_tables, tmp_path):
 def test_tables_and_ledger(spark, tmp_path):
     from plotline.sources import files
 
-    df = lambda rows: spark.createDataFrame(rows, "k long, v string, at long")
-    files.write_table(df([(1, "a", 1), (2, "b", 5)]), str(tmp_path / "t"))
-    files.upsert_table(df([(1, "c", 2), (2, "d", 4), (3, "e", 1)]), str(tmp_path / "t"), ["k"], by="at")
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "c", 2), (2, "b", 5), (3, "e", 1)]
     found = spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h2", "c")], "file_hash string, path string")
     ledger = spark.createDataFrame([("h1", "success")], "file_hash string, status string")
     assert {r.path: r.status for r in files.ledger_rows(found, ledger, as_of=F.current_timestamp()).collect()} == {"a": "skipped_duplicate", "b": "pending", "c": "skipped_duplicate"}
