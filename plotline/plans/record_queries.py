@@ -203,7 +203,7 @@ def explain_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_links(spark: SparkSession, d: str) -> DataFrame:
-    rows, reviews = _cases(spark, d), view(spark, d, "reviews").where("id % 3 = 0")
+    rows, reviews = _cases(spark, d), view(spark, d, "reviews")
     out = None
     for focus in ("review_needed", "poor_address", "repeated_phone", "weak_identity", "price_conflict"):
         part = quality.filter_links(rows, reviews, status="unresolved" if focus != "review_needed" else None, focus=focus, query="barrio" if focus == "poor_address" else "", limit=500).select(F.lit(focus).alias("focus"), "flow_item_id")
@@ -221,7 +221,7 @@ _EXPLAINED = _CASES + f""", ex AS (SELECT *, {_name_sql('reason', _E.REASON_NAME
     SELECT flow_item_id, coalesce({_name_sql('match_status', _E.STATE_NAMES)}, 'Caso sin resolver') || '. Banda ' || band || '. La lectura actual sugiere que ' || array_to_string(clues[1:3], ', ') || '.' AS summary, upper(human[1]) || human[2:] || '.' AS brief,
         CASE WHEN match_status = 'resolved' THEN '{_E.CASE_STEPS['resolved']}' WHEN match_status = 'ambiguous' THEN '{_E.CASE_STEPS['ambiguous']}' WHEN reason IN ('weak_identity', 'zone_only_address', 'repeated_phone_conflict') THEN '{_E.CASE_STEPS['weak']}' ELSE '{_E.CASE_STEPS['other']}' END AS next_step FROM ex"""
 _TOP = lambda where: f"SELECT * FROM ca {where} ORDER BY event_datetime DESC, flow_item_id DESC LIMIT 500"
-_FOCUS = _CASES + f""", al AS ({_TOP('')}), un AS ({_TOP("WHERE match_status = 'unresolved'")}), rv AS (SELECT DISTINCT flow_item_id FROM (SELECT CAST(floor(event_id / 2) AS BIGINT) AS flow_item_id FROM events WHERE event_id % 3 = 0) q)
+_FOCUS = _CASES + f""", al AS ({_TOP('')}), un AS ({_TOP("WHERE match_status = 'unresolved'")}), rv AS (SELECT DISTINCT flow_item_id FROM (SELECT CAST(floor(event_id / 2) AS BIGINT) AS flow_item_id FROM events) q)
     SELECT 'review_needed' AS focus, flow_item_id FROM al WHERE match_status IN ('ambiguous', 'unresolved', 'pending') AND flow_item_id NOT IN (SELECT flow_item_id FROM rv)
     UNION ALL SELECT 'poor_address', flow_item_id FROM un WHERE zonal UNION ALL SELECT 'repeated_phone', flow_item_id FROM un WHERE phone_profile = 'broker_like'
     UNION ALL SELECT 'weak_identity', flow_item_id FROM un WHERE reason IN ('weak_identity', 'zone_only_address', 'repeated_phone_conflict') UNION ALL SELECT 'price_conflict', flow_item_id FROM un WHERE reason = 'price_conflict'"""
@@ -265,9 +265,9 @@ def geo_audit(spark: SparkSession, d: str) -> DataFrame:
 def enrich_geography(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     streets, points = _street_tables(spark, d)
-    a = view(spark, d, "assets").withColumns({"building_id": c("id") % 50, "data_confidence": F.when(c("id") % 2 == 0, 0.6)})
+    a = view(spark, d, "assets").withColumns({"building_id": c("id") - c("id") % 4, "data_confidence": F.when(c("id") % 2 == 0, 0.6)})
     a = a.withColumn("address_raw", F.when(c("id") % 9 > 0, F.substring_index("address_raw", ",", 1)))
-    b = view(spark, d, "assets").where("id < 50").select("id", F.substring_index("address_raw", ",", 1).alias("address_base"), "district", "neighborhood", "lat", "lon")
+    b = view(spark, d, "assets").select("id", F.substring_index("address_raw", ",", 1).alias("address_base"), "district", "neighborhood", "lat", "lon")
     return geography.enrich_geography(a, b, streets, points).select("id", "district", "neighborhood", "lat", "lon", "data_confidence", "changed")
 
 

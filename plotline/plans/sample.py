@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
         FROM events CROSS JOIN n_parts CROSS JOIN n_listings
     """,
     "flow_items": """
-        SELECT e.event_id AS id, concat('uid', CAST(e.event_id % 9000 AS STRING)) AS source_uid,
+        SELECT e.event_id AS id, concat('uid', CAST(CASE WHEN e.event_id % 10 = 9 THEN e.event_id - 4 ELSE e.event_id END AS STRING)) AS source_uid,
                CASE e.event_type WHEN 'view' THEN 'listing_detected' WHEN 'click' THEN 'price_drop' WHEN 'purchase' THEN 'sold' ELSE 'history_item' END AS event_type_guess,
                e.ts AS event_datetime, a.address_raw, a.address_norm,
                CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE l.source_portal END AS portal,
@@ -74,7 +74,7 @@ VIEWS: dict[str, str] = {
                CAST(event_id % 120 AS DOUBLE) AS match_score,
                CASE WHEN event_id % 3 = 0 THEN 'direct_anchor' ELSE 'candidate_scoring' END AS match_strategy,
                CASE WHEN event_id % 7 = 0 THEN 'reason=price_conflict | precio lejos' ELSE 'reason=weak_identity' END AS match_note
-        FROM events CROSS JOIN n_listings WHERE event_type <> 'signup'
+        FROM events CROSS JOIN n_listings
     """,
     "reviews": """
         SELECT event_id AS id, CAST(floor(event_id / 2) AS BIGINT) AS flow_item_id, CASE event_id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'no_match' WHEN 2 THEN 'match' ELSE 'unsure' END AS review_label,
