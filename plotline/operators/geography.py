@@ -9,8 +9,8 @@ from plotline.functions.addresses import NEIGHBORHOODS, address_base, address_ke
 from plotline.functions.bands import chain
 from plotline.functions.fuzzy import best_keys
 from plotline.functions.numbers import rounded
-from plotline.functions.text import where_computed
 from plotline.operators.context import nearest_house_number
+from plotline.operators.shared import stored
 
 
 def _named(key: Column, neighborhoods: dict[str, tuple[str, str]], place: int) -> Column:
@@ -26,15 +26,18 @@ def resolve_streets(addresses: DataFrame, streets: DataFrame, points: DataFrame,
     """
     c = F.col
     hoods = NEIGHBORHOODS if neighborhoods is None else neighborhoods
-    rows = where_computed(addresses.select("id", parse_address(c("address"), neighborhoods=hoods).alias("a")), F.lit(True)).select("id", "a.*")
+    rows = stored(addresses.select("id", parse_address(c("address"), neighborhoods=hoods).alias("a")).select("id", "a.*"), "parsed-addresses")
     by_key = streets.groupBy(F.concat_ws("|", "street_type", "street_name").alias("choice")).agg(F.min_by("code", "row_no").alias("code"), F.min("row_no").alias("place"))
+    by_key = stored(by_key, "street-keys")
     by_name = streets.groupBy(c("street_name").alias("choice")).agg(F.collect_set("code").alias("codes"), F.min("row_no").alias("place")).select("choice", "place", F.when(F.size("codes") == 1, F.get("codes", 0)).alias("code"))
+    by_name = stored(by_name, "street-names")
     keys = rows.where("street_name is not null").select("lookup_key", "street_name").distinct()
     exact = keys.join(by_key.select(c("choice").alias("lookup_key"), c("code").alias("_k")), "lookup_key", "left").join(by_name.select(c("choice").alias("street_name"), c("code").alias("_n")), "street_name", "left")
+    exact = stored(exact, "street-matches")
     open_ = exact.where("_k is null and _n is null").select("lookup_key", "street_name")
     fuzzy_key = best_keys(open_.select(c("lookup_key").alias("key")), by_key, least=least).join(by_key.select("choice", "code"), "choice").select(c("key").alias("lookup_key"), c("code").alias("_fk"), c("score").alias("_fks"))
     fuzzy_name = best_keys(open_.select(c("street_name").alias("key")), by_name, least=least).join(by_name.where("code is not null").select("choice", "code"), "choice").select(c("key").alias("street_name"), c("code").alias("_fn"), c("score").alias("_fns"))
-    found = exact.join(fuzzy_key, "lookup_key", "left").join(fuzzy_name, "street_name", "left")
+    found = stored(exact.join(fuzzy_key, "lookup_key", "left").join(fuzzy_name, "street_name", "left"), "street-matches")
     j = rows.join(found, ["lookup_key", "street_name"], "left")
     last = _named(c("last_key"), hoods, 0)
     match = chain(
@@ -84,9 +87,9 @@ def enrich_geography(assets: DataFrame, buildings: DataFrame, streets: DataFrame
 
     of_building = known(buildings, c("address_base")).select("id", *[c(x).alias(f"_m_{x}") for x in geo])
     b = buildings.join(of_building, "id", "left").select(c("id").alias("building_id"), c("address_base").alias("_base"), *[F.coalesce(f"_m_{x}", x).alias(f"_b_{x}") for x in geo])
-    j = assets.join(b, "building_id", "left").withColumn("_address", F.coalesce("address_raw", "_base"))
+    j = stored(assets.join(b, "building_id", "left").withColumn("_address", F.coalesce("address_raw", "_base")), "placed-assets")
     m = known(j, c("_address")).withColumnsRenamed({x: f"_m_{x}" for x in geo})
-    j = j.join(m, "id", "left")
+    j = stored(j.join(m, "id", "left"), "placed-assets")
     confidence = j.select("id", "data_confidence", "matched", "match_type", "confidence", *[c(f"_m_{x}").alias(x) for x in geo]).select("id", match_confidence(c("data_confidence")).alias("_confidence"))
     j = j.join(confidence, "id")
     skip = F.lit(False)
