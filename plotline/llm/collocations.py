@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from plotline.llm.common import shuffle_partitions, text_or_empty, written
 
 #: Words of a phrase at most, and words of a shard beyond which no further document joins it.
-DEPTH, SHARD_WORDS = 3, 1 << 21
+DEPTH, SHARD_WORDS = 3, 1 << 22
+#: Rows of a transform whose intervals are extended at a time.
+ROWS = 1 << 18
 _UPPER, _LOWER, _MARKS = bytes(range(65, 91)), bytes(range(97, 123)), b".,;:!?\n\x0b\x0c\r"
 #: ASCII capitals become small, marks between pieces a byte that UTF-8 never uses.
 _FOLD = bytes.maketrans(_UPPER + _MARKS, _LOWER + b"\xff" * len(_MARKS))
@@ -87,7 +89,15 @@ class FMIndex:
 
     def __init__(self, ids: np.ndarray, depth: int):
         columns = [np.concatenate([ids[k:], np.zeros(min(k, len(ids)), ids.dtype)]) for k in range(depth)]
-        order = np.argsort((columns[0] << 32) | columns[1], kind="stable") if depth == 2 else np.lexsort(columns[::-1])
+        if depth == 2:
+            key = columns[0].astype(np.int64)
+            key <<= 32
+            key |= columns[1]
+            del columns
+            order = np.argsort(key, kind="stable")
+            del key
+        else:
+            order = np.lexsort(columns[::-1])
         self.bwt = ids[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids))])  # where the rows that begin with each id start
         self._occurrences: np.ndarray | None = None
@@ -96,7 +106,7 @@ class FMIndex:
         """The row to which ``symbols`` before each of ``rows`` lead: rows that begin with a smaller id, and its occurrences above."""
         n = len(self.bwt) + 1
         if self._occurrences is None:
-            self._occurrences = np.sort(self.bwt * n + np.arange(n - 1))
+            self._occurrences = np.sort(self.bwt.astype(np.int64) * n + np.arange(n - 1))
         return np.searchsorted(self._occurrences, symbols * n + rows)
 
     def extend(self, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -106,8 +116,11 @@ class FMIndex:
         """
         size = high - low
         owner = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        found, count = np.unique((owner << 32) | self.bwt[rows], return_counts=True)
+        rows = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        owner <<= 32
+        owner |= self.bwt[rows]
+        del rows
+        found, count = np.unique(owner, return_counts=True)
         owner, symbol = found >> 32, found & 0xFFFFFFFF
         before = np.cumsum(count) - count  # rows of all patterns before, and of smaller ids of the same
         at = other[owner] + before - (np.cumsum(size) - size)[owner]
@@ -115,44 +128,56 @@ class FMIndex:
         return owner[keep], symbol[keep], count[keep], at[keep]
 
 
+def _slices(size: np.ndarray) -> Iterator[slice]:
+    """Intervals of these sizes by about ``ROWS`` rows."""
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ROWS, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def enumerate_phrases(ids: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 2 to ``depth``: the distinct phrases of ``ids`` (0 separates), one row each, and their counts."""
+    """The distinct phrases of 2 to ``depth`` words of ``ids`` (0 separates), in arrays of one length each, and their counts."""
     if not len(ids) or ids.max() == 0 or depth < 2:
         return
-    ids = np.concatenate([ids, [0]]).astype(np.int64)  # the id before the first is the separator
-    forward, backward = FMIndex(ids, max(depth - 1, 1)), FMIndex(ids[::-1].copy(), max(depth - 1, 1))
+    ids = np.concatenate([ids, [0]]).astype(np.int32)  # the id before the first is the separator
+    forward, backward = FMIndex(ids, max(depth - 1, 1)), FMIndex(ids[::-1], max(depth - 1, 1))
+
+    def to_the_right(phrases: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield phrases, count
+        if phrases.shape[1] < depth:
+            for some in _slices(count):
+                owner, symbol, more, _ = backward.extend(low[some], (low + count)[some], low[some])
+                at = backward.rank(symbol, low[some][owner]) if phrases.shape[1] + 1 < depth else symbol
+                yield from to_the_right(np.concatenate([phrases[some][owner], symbol[:, None]], 1), at, more)
+
     words = np.arange(1, len(forward.first) - 1)
     words = words[forward.first[words + 1] > forward.first[words]]
     low, high = forward.first[words], forward.first[words + 1]
-    owner, symbol, count, at = forward.extend(low, high, backward.first[words])  # one word to the left
-    phrases = np.stack([symbol, words[owner]], 1)
-    yield phrases, count
-    for _ in range(depth - 2):  # the others to the right, in the reversed text
-        low = at
-        owner, symbol, more, _ = backward.extend(low, low + count, np.zeros(len(low), np.int64))
-        at = backward.rank(symbol, low[owner]) if depth > 3 else low[owner]
-        phrases, count = np.concatenate([phrases[owner], symbol[:, None]], 1), more
-        yield phrases, count
+    for some in _slices(high - low):
+        owner, symbol, count, at = forward.extend(low[some], high[some], backward.first[words[some]])  # one word to the left
+        yield from to_the_right(np.stack([symbol, words[some][owner]], 1), at, count)
 
 
-def _phrase_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Phrases of one shard by the corpus numbers of its frequent words: g1, g2, g3 (-1: none) and their count."""
+def _phrase_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Phrases of one shard (ids, at and gid: the corpus numbers of its frequent words): g1, g2, g3 (-1: none) and their count."""
     import zstandard
 
-    of_local = pdf["frequent"].iloc[0]
-    local = np.array([x["at"] for x in of_local], np.int64) + 1
-    gid = np.array([x["gid"] for x in of_local], np.int64)
-    local, gid = local[order := np.argsort(local)], gid[order]
-    ids = np.frombuffer(zstandard.decompress(pdf["ids"].iloc[0]), np.uint32)
-    dense = np.zeros(int(max(ids.max(initial=0), local[-1])) + 1, np.int64)
-    dense[local] = np.arange(1, len(local) + 1)
-    ids = dense[ids]
-    ids = ids[(ids > 0) | (np.concatenate([[1], ids[:-1]]) > 0)]  # one separator after another is none
-    out = []
-    for phrases, count in enumerate_phrases(ids):
-        columns = {f"g{k + 1}": gid[phrases[:, k] - 1] if k < phrases.shape[1] else np.full(len(phrases), -1) for k in range(DEPTH)}
-        out.append(pd.DataFrame(columns | {"c": count}))
-    return pd.concat(out) if out else pd.DataFrame({x: np.zeros(0, np.int64) for x in ("g1", "g2", "g3", "c")})
+    for pdf in batches:
+        for packed, at, gid in zip(pdf["ids"], pdf["at"], pdf["gid"], strict=True):
+            order = np.argsort(at)
+            local, gid = at[order] + 1, gid[order]
+            ids = np.frombuffer(zstandard.decompress(packed), np.uint32)
+            dense = np.zeros(int(max(ids.max(initial=0), local[-1])) + 1, np.int32)
+            dense[local] = np.arange(1, len(local) + 1)
+            ids = dense[ids]
+            ids = ids[(ids > 0) | (np.concatenate([[1], ids[:-1]]) > 0)]  # one separator after another is none
+            for phrases, count in enumerate_phrases(ids):
+                part = gid[phrases - 1]
+                columns = {f"g{k + 1}": part[:, k] if k < part.shape[1] else np.full(len(part), -1) for k in range(DEPTH)}
+                yield pd.DataFrame(columns | {"c": count})
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,7 +191,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = 10) -> tuple[DataFrame, Da
     words = seen.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     words = written(words.join(totals, "lang").withColumn("gid", F.monotonically_increasing_id()), "phrase-words")
     local = seen.select("lang", "shard", "at", "word").join(words.select("lang", "word", "gid"), ["lang", "word"])
-    local = local.groupBy("shard").agg(F.collect_list(F.struct("at", "gid")).alias("frequent"))  # at most the words of one shard
+    local = local.groupBy("shard").agg(F.collect_list(F.struct("at", "gid")).alias("x")).select("shard", "x.at", "x.gid")  # at most the words of one shard
     rows = local.join(parts.select("shard", "ids"), "shard").groupBy("shard").applyInPandas(_phrase_rows, "g1 long, g2 long, g3 long, c long")
     counts = written(rows.groupBy("g1", "g2", "g3").agg(F.sum("c").alias("a")).where(F.col("a") >= least), "phrase-counts")
     return words, counts.where("g3 = -1").drop("g3"), counts.where("g3 >= 0")
