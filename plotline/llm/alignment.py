@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,45 +28,42 @@ A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: An id pair is one number: the id of A times this, plus the id of B.
 PAIR = 1 << 32
 #: A worker remembers so many intervals, and so many characters of them, before it begins anew; the encoder beside it far fewer.
-REMEMBERED, REMEMBERED_CHARS, REMEMBERED_TOKENS = 250_000, 1 << 24, 20_000
+REMEMBERED, REMEMBERED_CHARS, REMEMBERED_TOKENS = 600_000, 1 << 24, 20_000
 #: Texts end their tokens in both vocabularies before a space or line feed that follows anything but white space.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Where an ASCII mark follows a letter or digit, a byte-level token ends; apostrophes may begin an ending.
+_MARKED = re.compile(r"(?<=[^\W_])(?=[!-&(-/:-@\[-`{-~])")
 
 
-def divide(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """The cuts that two ascending lists of token ends share, as (tokens of A, tokens of B) up to each; the last ends are equal.
+def divide(ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b: np.ndarray) -> np.ndarray:
+    """The tokens of A after which a cut is shared, ascending, in many texts at once: text i has the ends from starts[i] up to starts[i + 1].
 
-    Each interval asks for the common end nearest to its middle token of A: outwards from there, each end of A is looked up among those of B by
-    bisection. The halves on both sides follow; an interval without a common end inside is a leaf.
+    Ends ascend over all texts, and the last ends of a text are equal. Each interval asks for the common end nearest to its middle token of A: outwards from there,
+    an end of A is looked up among those of B by bisection. Both halves follow; an interval without a common end inside is a leaf. All intervals of all texts take their steps together.
     """
-    cuts = []
-    todo = [(0, len(ends_a), 0, len(ends_b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        middle = (a0 + a1 - 1) // 2
-        for step in range(a1 - a0):
-            at = middle + (step + 1 >> 1) * (1 if step & 1 else -1)
-            if not a0 <= at < a1 - 1:  # the last end is the interval's own
-                continue
-            b = bisect_left(ends_b, ends_a[at], b0, b1 - 1)
-            if b < b1 - 1 and ends_b[b] == ends_a[at]:
-                todo += [(at + 1, a1, b + 1, b1), (a0, at + 1, b0, b + 1)]
-                break
-        else:
-            cuts.append((a1, b1))
-    return sorted(cuts)
-
-
-def links(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Places of the tokens of A and B whose bytes overlap, in order; one token in A and one in B are at hand at each byte. Empty tokens have none."""
-    out, i, j, at = [], 0, 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        end = min(ends_a[i], ends_b[j])
-        if end > at:
-            out.append((i, j))
-            at = end
-        i, j = i + (ends_a[i] == end), j + (ends_b[j] == end)
-    return out
+    some = starts_a[1:] > starts_a[:-1]
+    a0, a1, b0, b1 = starts_a[:-1][some], starts_a[1:][some], starts_b[:-1][some], starts_b[1:][some]
+    step = np.zeros(len(a0), np.int64)
+    leaves = []
+    while len(a0):
+        at = (a0 + a1 - 1) // 2 + ((step + 1) >> 1) * np.where(step & 1, 1, -1)
+        inside = (at >= a0) & (at < a1 - 1)  # the last end is the interval's own
+        b = np.searchsorted(ends_b, ends_a[np.where(inside, at, a0)])
+        hit = inside & (b < b1 - 1)
+        hit[hit] = ends_b[b[hit]] == ends_a[at[hit]]
+        over = ~hit & (step + 1 >= a1 - a0)
+        leaves.append(a1[over] - 1)
+        more = ~hit & ~over
+        at, b = at[hit], b[hit]
+        a0, a1, b0, b1 = (np.concatenate([x[more], y, z]) for x, y, z in ((a0, a0[hit], at + 1), (a1, at + 1, a1[hit]), (b0, b0[hit], b + 1), (b1, b + 1, b1[hit])))
+        step = np.concatenate([step[more] + 1, np.zeros(2 * len(at), np.int64)])
+    return np.sort(np.concatenate([*leaves, np.zeros(0, np.int64)]))
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of A and B whose bytes overlap, pair by pair in order. Between two ends next to each other, whichever side's, one token of each is at hand."""
+    ends = np.unique(np.concatenate([ends_a, ends_b]))
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
 @lru_cache(maxsize=2)
@@ -93,59 +90,131 @@ def _byte_entries(path: str) -> list[bytes]:
     return out
 
 
-class Aligner(dict):
-    """Intervals of texts between known cuts, by their string, to their number in the columns kept here; -1 where the bytes differ from the text."""
+@lru_cache(maxsize=2)
+def _neighbours(path: str) -> frozenset[str]:
+    """The pairs of signs that stand side by side in a piece. Between two others no piece joins what is on both sides."""
+    model, _ = _pieces(path)
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_byte(i))
+    return frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
+
+
+class Aligner:
+    """Intervals of texts between known cuts, and the columns of what is known of each by its number; -1 where its bytes differ from the text.
+
+    ``words`` has intervals of a space and what follows it by the latter, and those that begin with a line feed; ``parts`` all others.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        super().__init__()
         self.tokens = ChunkEncoder(path_a, space_chunks)
         self.bytes_a = _byte_entries(path_a)
         self.model, self.bytes_b = _pieces(path_b)
-        self.start = self.model.piece_to_id("▁")
+        self.joined = _neighbours(path_b)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.start, self.feed = self.model.piece_to_id("▁"), self.model.piece_to_id("<0x0A>")
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
         self.sizes = array("q")  # tokens of A and B, groups, links of each
         self.pairs, self.ends = array("q"), array("q", [0])
 
-    def ids_b(self, part: str) -> list[int]:
-        """The model puts a space before what it encodes: here the one that the interval begins with."""
-        if part[0] == " ":
-            return self.model.encode(part[1:]) if len(part) > 1 else [self.start]
-        found = self.model.encode(part)  # a line feed, which joins no other piece
-        return found[1:] if found[:1] == [self.start] else []
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's intervals, in order; none for texts that one of the vocabularies cannot give back."""
+        cut = [self._words(t) for t in texts]
+        self._learn({w for words, _ in cut for w in words if w not in self.words}, {p for _, parts in cut for p in parts if p not in self.parts})
+        found = [list(map(self.words.__getitem__, words)) if words else list(map(self.parts.__getitem__, parts)) for words, parts in cut]
+        return [[] if -1 in x else x for x in found]
+
+    @staticmethod
+    def _words(text: str) -> tuple[list[str], list[str]]:
+        """A text's intervals by ``words``, or where white space stands beside white space by ``parts``."""
+        if not text:
+            return [], []
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words or "\n" in words or text[0] == "\n":
+            return [], _CUT.split(" " + text)
+        return words, []
+
+    def _learn(self, words: set[str], parts: set[str]) -> None:
+        """Takes in new intervals: marks after a word are apart where no token joins them to it, so that most new words are made of known ones."""
+        made: list[tuple[dict, str, list[str]]] = []
+        new: dict[str, None] = {}
+        for known, key in [*((self.words, w) for w in words), *((self.parts, p) for p in parts)]:
+            self.chars += len(key)
+            whole = key if known is self.parts or key[0] == "\n" else " " + key
+            inner = [whole]
+            if (m := _MARKED.search(whole)) and whole[m.start() - 1 : m.start() + 1] not in self.joined:
+                inner = [whole[: m.start()], whole[m.start() :]]
+            new.update((x, None) for x in inner if x not in self.parts)
+            made.append((known, key, inner))
+        if new:
+            self._encode(list(new))
+        for known, key, inner in made:
+            if len(inner) == 1:
+                known[key] = self.parts[inner[0]]
+                continue
+            of = [self.parts[x] for x in inner]
+            if -1 in of:
+                known[key] = -1
+                continue
+            known[key] = len(self.groups)
+            self.groups.append(";".join([self.groups[i] for i in of]))
+            self.sizes.extend([sum(self.sizes[4 * i + k] for i in of) for k in range(4)])
+            for i in of:
+                self.pairs.extend(self.pairs[self.ends[i] : self.ends[i + 1]])
+            self.ends.append(len(self.pairs))
 
-    def __missing__(self, part: str) -> int:
-        raw = part.encode("utf-8", "surrogatepass")
-        self.chars += len(part)
+    def _encode(self, parts: list[str]) -> None:
+        """Both encodings of intervals, their division and their links. The piece model puts a space before all that it encodes: the interval's own, or one that goes."""
         if len(self.tokens) > REMEMBERED_TOKENS:
             self.tokens.clear()
-        a = np.frombuffer(self.tokens([part])[0], "<u4").tolist()
-        b = self.ids_b(part)
-        of_a, of_b = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        number = -1
-        if b"".join(of_a) == raw == b"".join(of_b):
-            ends_a, ends_b = np.cumsum(list(map(len, of_a))).tolist(), np.cumsum(list(map(len, of_b))).tolist()
-            was, texts = (0, 0), []
-            for cut in divide(ends_a, ends_b):
-                texts.append(f"{','.join(map(str, a[was[0] : cut[0]]))}|{','.join(map(str, b[was[1] : cut[1]]))}")
-                was = cut
-            met = links(ends_a, ends_b)
-            number = len(self.groups)
-            self.groups.append(";".join(texts))
-            self.sizes.extend((len(a), len(b), len(texts), len(met)))
-            self.pairs.extend(a[i] * PAIR + b[j] for i, j in met)
-            self.ends.append(len(self.pairs))
-        self[part] = number
-        return number
+        of_a = [array("I", self.tokens[p]) for p in parts]
+        of_b = self.model.encode([p[1:] if p[0] == " " and len(p) > 1 else "\n" + p for p in parts], num_threads=1)
+        raw = [p.encode("utf-8", "surrogatepass") for p in parts]
+        for i, part in enumerate(parts):
+            if part == " ":
+                of_b[i] = [self.start]
+            elif part[0] != " ":
+                of_b[i] = of_b[i][2:] if of_b[i][:2] == [self.start, self.feed] else []
+            if b"".join(map(self.bytes_a.__getitem__, of_a[i])) != raw[i] or b"".join(map(self.bytes_b.__getitem__, of_b[i])) != raw[i]:
+                self.parts[part] = -1
+                of_a[i], of_b[i] = (), ()
+        starts_a, starts_b = (np.concatenate([[0], np.cumsum(list(map(len, x)))]).astype(np.int64) for x in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n[-1]) for x, n in ((of_a, starts_a), (of_b, starts_b)))
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cut = divide(ends_a, ends_b, starts_a, starts_b)
+        cut_b = np.searchsorted(ends_b, ends_a[cut])
+        i, j = links(ends_a, ends_b)
+        n_groups = np.searchsorted(cut, starts_a)
+        n_links = np.searchsorted(i, starts_a)
+        sizes = np.stack([np.diff(starts_a), np.diff(starts_b), np.diff(n_groups), np.diff(n_links)], 1)
+        # the groups of all parts as one list of texts: ids, each followed by what stands between it and the next
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[cut], after_b[cut_b] = 1, 1
+        text_a = [x + (",", "|")[y] for x, y in zip(map(str, a.tolist()), after_a.tolist(), strict=True)]
+        text_b = [x + (",", ";")[y] for x, y in zip(map(str, b.tolist()), after_b.tolist(), strict=True)]
+        ahead, behind = (cut + 1).tolist(), (cut_b + 1).tolist()
+        at_a = at_b = 0
+        groups = []
+        for m, n in zip(ahead, behind, strict=True):
+            groups.append("".join(text_a[at_a:m]) + "".join(text_b[at_b:n]))
+            at_a, at_b = m, n
+        good = np.flatnonzero(sizes[:, 0])
+        first = len(self.groups)
+        bounds = n_groups.tolist()
+        self.groups += ["".join(groups[bounds[k] : bounds[k + 1]])[:-1] for k in good.tolist()]
+        self.parts.update(zip([parts[k] for k in good.tolist()], range(first, first + len(good)), strict=True))
+        self.sizes.frombytes(np.ascontiguousarray(sizes[good]).tobytes())
+        self.ends.frombytes((len(self.pairs) + np.cumsum(sizes[good, 3])).tobytes())
+        self.pairs.frombytes((a[i] * PAIR + b[j]).tobytes())
 
 
 def _aligner(path_a: str, path_b: str) -> Aligner:
     found = remembered(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
-    if len(found) > REMEMBERED or found.chars > REMEMBERED_CHARS:
+    if len(found.words) + len(found.parts) > REMEMBERED or found.chars > REMEMBERED_CHARS:
         found.forget()
     return found
 
@@ -178,13 +247,9 @@ def align(docs: DataFrame, *, a: str | None = None, b: str | None = None) -> Dat
 
 def _aligned(pdf: pd.DataFrame, known: Aligner) -> pd.DataFrame:
     """``align`` for some rows, by the columns of their intervals."""
-    at, groups = [], []
-    for text in pdf["text"]:
-        found = list(map(known.__getitem__, _CUT.split(" " + text))) if text else []
-        if -1 in found:
-            found = []
-        at.append(np.array(found, np.int64))
-        groups.append(";".join(map(known.groups.__getitem__, found)))
+    found = known.numbers(list(pdf["text"]))
+    at = [np.array(x, np.int64) for x in found]
+    groups = [";".join(map(known.groups.__getitem__, x)) for x in found]
     sizes = np.frombuffer(known.sizes, np.int64).reshape(-1, 4) if known.sizes else np.zeros((0, 4), np.int64)
     ends = np.frombuffer(known.ends, np.int64)
     every = np.frombuffer(known.pairs, np.int64) if known.pairs else np.zeros(0, np.int64)
