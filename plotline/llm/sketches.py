@@ -2,9 +2,8 @@
 
 Of the 64-bit hashes of a text's five-word shingles a sketch retains every one below a fixed fraction of the range. Sketches of
 parts merge by union, and the share of one sketch found in another estimates containment without bias from size, so a
-paragraph is recognised in a book. The fraction is one in ``SCALE``; a text of fewer than ``SHORT`` shingles retains all of them (scale
-1). Whatever compares or merges two sketches first takes both to the larger scale of the two, so nothing is counted that only
-one of them could have retained.
+paragraph is recognised in a book. The fraction is one in ``SCALE``, a parameter of the whole table: short and long texts
+are retained by one rule.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from plotline.llm.common import shuffle_partitions, text_or_empty
 
 SHINGLE = 5
-#: One hash in so many is retained; all of them of texts with fewer than so many shingles.
-SCALE, SHORT = 8, 64
+#: One hash in so many is retained.
+SCALE = 4
 _LOWEST = -(1 << 63)
 
 
@@ -35,15 +34,10 @@ def _hashes(words: Column, shingle: int) -> Column:
     )
 
 
-def _at(hashes: Column, scale: Column, most: int) -> Column:
-    """Those of ``hashes`` that a sketch of this scale, 1 or ``most``, retains."""
-    return F.when(scale == 1, hashes).otherwise(F.filter(hashes, lambda h: h < F.lit(_LOWEST + (1 << 64) // most)))
-
-
-def sketch(hashes: Column, scale: int = SCALE, short: int = SHORT) -> Column:
-    """struct(scale, hashes): the retained hashes, ascending and distinct."""
-    own = F.when(F.size(hashes) < short, 1).otherwise(scale)
-    return F.struct(own.alias("scale"), F.array_sort(F.array_distinct(_at(hashes, own, scale))).alias("hashes"))
+def sketch(hashes: Column, scale: int = SCALE) -> Column:
+    """struct(words, hashes): whether the text has a shingle at all, and the retained hashes, ascending and distinct."""
+    kept = F.filter(hashes, lambda h: h < F.lit(_LOWEST + (1 << 64) // scale)) if scale > 1 else hashes
+    return F.struct((F.size(hashes) > 0).alias("words"), F.array_sort(F.array_distinct(kept)).alias("hashes"))
 
 
 def with_sketch(df: DataFrame, text: str, out: str, *, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -56,27 +50,23 @@ def with_sketch(df: DataFrame, text: str, out: str, *, shingle: int = SHINGLE, s
     )
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts' shingles together, at the larger scale of the two."""
-    own = F.greatest(a["scale"], b["scale"])
-    return F.struct(own.alias("scale"), F.array_sort(F.array_union(_at(a["hashes"], own, scale), _at(b["hashes"], own, scale))).alias("hashes"))
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together."""
+    return F.struct((a["words"] | b["words"]).alias("words"), F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
-def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+def containment(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other has; 1 for two texts without words, 0 for one.
 
-    Null, no estimate, where the larger scale of the two leaves nothing of a text that has words.
+    Null, no estimate, where nothing is retained of a text that has words.
     """
-    own = F.greatest(a["scale"], b["scale"])
-    x, y = _at(a["hashes"], own, scale), _at(b["hashes"], own, scale)
-    least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(a["hashes"]), F.size(b["hashes"]))
-    wordless = F.least(F.size(a["hashes"]), F.size(b["hashes"])) == 0
-    return F.when(most == 0, 1.0).when(wordless, 0.0).when(least > 0, F.size(F.array_intersect(x, y)) / least)
+    least = F.least(F.size(a["hashes"]), F.size(b["hashes"]))
+    return F.when(~a["words"] & ~b["words"], 1.0).when(~a["words"] | ~b["words"], 0.0).when(least > 0, F.size(F.array_intersect(a["hashes"], b["hashes"])) / least)
 
 
 def as_text(a: Column) -> Column:
-    """A sketch as one string, its scale and sixteen hexadecimal digits for each hash; '' for a text without words."""
-    return F.when(F.size(a["hashes"]) == 0, "").otherwise(F.concat(a["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(a["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")))
+    """A sketch as one string of sixteen hexadecimal digits for each hash."""
+    return F.array_join(F.transform(a["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def with_next(docs: DataFrame, columns: list[str], *, by: str = "doc_id", tie: str = "text") -> DataFrame:
@@ -122,20 +112,23 @@ def edited_pairs(docs: DataFrame, *, shingle: int = SHINGLE, scale: int = SCALE)
     """For each row: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document,
-    ascending doc_id. Likeness is containment, 0 where there is no estimate. Null texts are empty; an empty text has the fingerprint ''. Rows of the same
+    ascending doc_id. Likeness is containment, 0 where there is no estimate. Null texts are empty; a text of which nothing is retained has the fingerprint ''. Rows of the same
     doc_id are neighbours in the order of their texts. An empty table gives no row.
     """
-    rows = with_sketch(docs.select("doc_id", text_or_empty().alias("text")), "text", "sketch", shingle=shingle, scale=scale)
     n, k = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    paired = with_next(rows, ["text", "sketch"])
+    paired = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
     edited = paired.select(
-        "doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"),
+        "doc_id", n.cast("long").alias("n_chars"), "text", F.col("next.text").alias("next_text"),
         F.concat(F.substring("text", F.lit(1), n - k), F.substring("next.text", F.lit(1), k)).alias("edited"),
     )
-    both = with_sketch(edited, "edited", "edited_sketch", shingle=shingle, scale=scale)
+    both = edited  # sketches are made where they are compared: texts alone are shuffled
+    for name, out in (("text", "sketch"), ("next_text", "next_sketch")):
+        both = with_sketch(both, name, out, shingle=shingle, scale=scale)
+    both = both.drop("text", "next_text")
+    both = with_sketch(both, "edited", "edited_sketch", shingle=shingle, scale=scale)
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        F.coalesce(containment(F.col("sketch"), F.col("edited_sketch"), scale), F.lit(0.0)).alias("near_edited"),
-        F.coalesce(containment(F.col("sketch"), F.col("next_sketch"), scale), F.lit(0.0)).alias("near_next"),
+        F.coalesce(containment(F.col("sketch"), F.col("edited_sketch")), F.lit(0.0)).alias("near_edited"),
+        F.coalesce(containment(F.col("sketch"), F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
     )

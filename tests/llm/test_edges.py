@@ -130,13 +130,12 @@ def test_sketches_equal_brute_force(spark):
     df = spark.createDataFrame(df.collect(), df.schema)
     got = df.select("i", "ha", "hb", "a", "b", s.containment(F.col("a"), F.col("b")).alias("c"), s.merged(F.col("a"), F.col("b")).alias("m")).collect()
     limit = -(1 << 63) + (1 << 64) // s.SCALE
-    keep = lambda h, scale: {x for x in h if scale == 1 or x < limit}
+    keep = lambda h: {x for x in h if x < limit}
     none = 0
     for r in got:
-        x, y = (1 if len(h) < s.SHORT else s.SCALE for h in (r.ha, r.hb))
-        assert (r.a.scale, set(r.a.hashes), r.b.scale, set(r.b.hashes)) == (x, keep(r.ha, x), y, keep(r.hb, y)) and r.a.hashes == sorted(r.a.hashes)
-        assert (r.m.scale, set(r.m.hashes)) == (max(x, y), keep({*r.ha, *r.hb}, max(x, y)))
-        p, q = keep(r.ha, max(x, y)), keep(r.hb, max(x, y))
+        assert (r.a.words, set(r.a.hashes), r.b.words, set(r.b.hashes)) == (bool(r.ha), keep(r.ha), bool(r.hb), keep(r.hb)) and r.a.hashes == sorted(r.a.hashes)
+        assert (r.m.words, set(r.m.hashes)) == (bool(r.ha or r.hb), keep({*r.ha, *r.hb}))
+        p, q = keep(r.ha), keep(r.hb)
         want = 1.0 if not r.ha and not r.hb else 0.0 if not r.ha or not r.hb else len(p & q) / min(len(p), len(q)) if p and q else None
         assert r.c == want
         none += want is None
