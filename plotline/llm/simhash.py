@@ -140,8 +140,8 @@ WIDE_BITS, PAIR_SHINGLE = 192, 2
 SLOTS = 1 << 22
 #: Texts are similar whose sets of so many words have a Jaccard similarity of NEAR / OF or more.
 GRAM, NEAR, OF = 5, 4, 5
-#: One text in SAMPLE is asked which shingles are common, at more than COMMON heads of these; it sets their order, not the results.
-SAMPLE, COMMON = 8, 12
+#: One text in SAMPLE is asked which shingles are common, at more than COMMON heads of these, HEAVY of them at most; it sets their order, not the results.
+SAMPLE, COMMON, HEAVY = 8, 12, 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -208,7 +208,10 @@ def _head(n: int) -> int:
 
 
 def common_grams(docs: DataFrame) -> dict[int, int]:
-    """Shingles that many heads of one text in ``SAMPLE`` have, and how many; they go last in the order of all shingles."""
+    """The ``HEAVY`` shingles, or fewer, that most heads of one text in ``SAMPLE`` have, and how many; they go last in the order of all shingles, the others by hash.
+
+    Any one order finds the same pairs, so the bound on what the driver gathers and tasks are sent changes no result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,7 +219,7 @@ def common_grams(docs: DataFrame) -> dict[int, int]:
             yield pd.DataFrame({"gram": np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)})
 
     sample = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInPandas(run, "gram long")
-    rows = sample.groupBy("gram").count().where(F.col("count") > COMMON).collect()
+    rows = sample.groupBy("gram").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "gram").limit(HEAVY).collect()
     return {r["gram"] % (1 << 64): r["count"] for r in rows}
 
 
