@@ -36,13 +36,62 @@ def read_leads(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(c).cast(StringType()) for c in LEAD_COLUMNS])
 
 
-def read_official_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """SRC-04: semicolons; heads and values are trimmed, '' and '-' are null."""
-    df = spark.read.csv(path, header=True, sep=";", encoding=encoding, inferSchema=False)
+def read_official_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", sep: str = ";") -> DataFrame:
+    """SRC-04: heads and values are trimmed, '' and '-' are null; heads become lower-case words joined by underscores."""
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
     clean = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin("", "-"), F.trim(F.col(f"`{c}`"))).alias(_key(c.lstrip("﻿")).replace(" ", "_"))
     return df.select(*[clean(c) for c in df.columns])
 
 
+#: First bytes of a file that tell how it is written.
+PROBE_BYTES = 1 << 16
+
+
+def probe(head: bytes, wanted: list[str] | None = None) -> tuple[str, str, tuple[str, ...]]:
+    """SRC-04: encoding, separator and heads of a file that begins with ``head``.
+
+    UTF-8 if its bytes are, apart from a letter that is cut at the end; Latin-1 otherwise. The separator that finds most of ``wanted`` (any heads: most columns) wins; ties go to the first.
+    """
+    import codecs
+
+    try:
+        text, encoding = codecs.getincrementaldecoder("utf-8-sig")().decode(head), "UTF-8"
+    except UnicodeDecodeError:
+        text, encoding = head.decode("latin-1"), "ISO-8859-1"
+    line = text.splitlines()[0] if text else ""
+    split = {s: tuple(_key(h.strip('"')).replace(" ", "_") for h in line.split(s)) for s in SEPARATORS}
+    best = max(SEPARATORS, key=lambda s: len(set(split[s]) & set(wanted)) if wanted else len(split[s]))
+    return encoding, best, split[best]
+
+
+def read_official_folder(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
+    """SRC-04: all CSV files of a folder as one table, each by its own encoding, separator and order of columns; columns that a file lacks are null.
+
+    Only the first bytes of each file are looked at first; files that are written alike are read together.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    alike: dict[tuple, list[str]] = {}
+    for status in fs.listStatus(at):
+        name = status.getPath().toString()
+        if status.isFile() and name.lower().endswith((".csv", ".txt")):
+            stream = fs.open(status.getPath())
+            try:
+                head = bytes(stream.readNBytes(PROBE_BYTES))
+            finally:
+                stream.close()
+            if head:
+                alike.setdefault(probe(head, wanted), []).append(name)
+    out = None
+    for (encoding, sep, _), names in sorted(alike.items()):
+        part = read_official_csv(spark, names, encoding, sep)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no CSV files in {path}")
+    return out if wanted is None else out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+
+
 def read_catalog_packages(spark: SparkSession, path: str) -> DataFrame:
     """SRC-06: a row for each package (struct) of JSON dumps that hold one, a list, or a search's result with a list of them."""
     raw = spark.read.option("multiLine", True).json(path)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sync_range(state: DataFrame, as_of: Column) -> DataFrame:
@@ -32,11 +37,40 @@ def sync_state(state: DataFrame, runs: DataFrame) -> DataFrame:
     return j.select("source_name", F.greatest("last_success_to", "_to").alias("last_success_to"), F.coalesce("_r.status", "_s").alias("status"), F.when(c("_r").isNotNull(), c("_r.message")).otherwise(c("_m")).alias("message"))
 
 
-def stream_zone_counts(events: DataFrame, *, days: int = 14, late: str = "1 day") -> DataFrame:
-    """S-03: events of each zone and type in windows of ``days`` days, one beginning each day; a window closes when the watermark has passed it."""
-    w = F.window("event_datetime", f"{days} days", "1 day").alias("w")
-    counted = events.withWatermark("event_datetime", late).groupBy(w, "zone_label", "event_type").agg(F.count("*").alias("n"))
-    return counted.select(F.col("w.start").alias("since"), F.col("w.end").alias("until"), "zone_label", "event_type", "n")
+#: S-03: the windows that are counted, in days.
+WINDOWS, DAY_MS = (7, 14, 30), 86_400_000
+
+
+def stream_window_counts(events: DataFrame, *, late: str = "1 day") -> DataFrame:
+    """S-03: day, zone_label, event_type, events_7d, events_14d, events_30d: events up to and with each day that has one, for each zone and type.
+
+    One stateful operator: an event is counted once, in its day, and a zone and type hold the counts of their open days and of the thirty before, so nothing
+    is copied into overlapping windows. A day closes when the watermark, ``late`` behind the newest event, has passed its end; rows of closed days are
+    dropped. Events without a zone or type are those of a null one; those without a time are not counted. Days are those of UTC, which the session keeps.
+    """
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        days, counts, done = state.get if state.exists else ([], [], 0)
+        held = dict(zip(days, counts, strict=True))
+        closed = state.getCurrentWatermarkMs() // DAY_MS  # days before this one have ended
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for day, n in (pd.to_datetime(pdf["event_datetime"]).astype("datetime64[ms]").astype("int64") // DAY_MS).value_counts().items():
+                    if day >= max(closed, done):
+                        held[day] = held.get(day, 0) + int(n)
+        rows = [(dt.date(1970, 1, 1) + dt.timedelta(days=day), *key, *[sum(n for d, n in held.items() if day - w < d <= day) for w in WINDOWS]) for day in sorted(held) if done <= day < closed]
+        done = max(done, closed)
+        held = {d: n for d, n in held.items() if d > done - WINDOWS[-1]}
+        if held:
+            state.update((list(held), list(held.values()), done))
+            state.setTimeoutTimestamp((max(closed, min((d for d in held if d >= done), default=min(held) + WINDOWS[-1])) + 1) * DAY_MS)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["day", "zone_label", "event_type", *[f"events_{w}d" for w in WINDOWS]])
+
+    out = "day date, zone_label string, event_type string, " + ", ".join(f"events_{w}d long" for w in WINDOWS)
+    timed = events.withWatermark("event_datetime", late).where("event_datetime is not null").select("event_datetime", "zone_label", "event_type")
+    return timed.groupBy("zone_label", "event_type").applyInPandasWithState(count, out, "days array<int>, counts array<long>, done int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_reconcile(items: DataFrame, listings: DataFrame, path: str, checkpoint: str) -> None:
