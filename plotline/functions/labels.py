@@ -36,7 +36,7 @@ def with_zone(df: DataFrame, known: DataFrame, *, neighborhood: str = "neighborh
 
     Only distinct labels are mapped; parts with digits or under three characters are passed over.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(address), F.lit("")), ","), F.trim), lambda p: ~p.rlike("[0-9]") & (F.length(p) >= 3))
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(address), F.lit("")), ","), lambda p: F.trim(p)), lambda p: ~p.rlike("[0-9]") & (F.length(p) >= 3))
     rows = df.withColumn("_labels", F.array_compact(F.concat(F.array(F.col(neighborhood), F.col(district)), F.reverse(parts))))
     labels = rows.select(F.explode("_labels").alias("label"))
     zones = canonical_zones(labels, known, aliases)

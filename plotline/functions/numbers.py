@@ -90,6 +90,13 @@ def spanish_float(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(c), r"\.", ""), ",", ".").try_cast("double")
 
 
+def split_district_list(c: Column) -> Column:
+    """F-13: districts that a street crosses, written between hyphens or, where there is a slash, between slashes; blanks and empty parts go, null has none."""
+    text = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    parts = F.when(F.contains(text, F.lit("-")) & ~F.contains(text, F.lit("/")), F.split(text, "-")).otherwise(F.split(text, "/"))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
 def dms_to_decimal(c: Column) -> Column:
     """F-13: degrees, minutes and seconds with a hemisphere; a decimal number as it is."""
     p = r"([0-9]+)[º°]\s*([0-9]+)'\s*([0-9]+(?:\.[0-9]+)?)(?:''|\")?\s*([NSEWO])"

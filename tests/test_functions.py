@@ -170,3 +170,17 @@ def test_titles_of_capitals(spark):
     names = ["SOL", "SAN BLAS-CANILLEJAS", "EL VISO", "Sol", "VILLA DE VALLECAS", "L'ILLA", "ÁLAMOS", "A.B. CENTRO", "CASCO H.VALLECAS", "", None, "12 DE OCTUBRE"]
     got = spark.createDataFrame([(x,) for x in names], "x string").select(_title_if_upper(F.col("x")).alias("y")).collect()
     assert [r.y for r in got] == [x.title() if x and x.upper() == x else x for x in names]
+
+
+def test_address_parts_name_zones(spark):
+    """Parts are trimmed of blanks only; those with a digit anywhere are passed over."""
+    known = spark.createDataFrame([("Sol",), ("Goya",)], "zone_label string")
+    rows = [(1, None, None, "Calle Mayor 3, Sol"), (2, None, None, "1 Sol, x"), (3, None, None, "Calle, 1 Goya"), (4, None, "GOYA", "Sol"), (5, None, None, None), (6, "SOL", "Goya", "")]
+    df = spark.createDataFrame(rows, "id int, neighborhood string, district string, address_raw string")
+    assert {r.id: r.zone_label for r in labels.with_zone(df, known).collect()} == {1: "Sol", 2: "Sin zona", 3: "Sin zona", 4: "Goya", 5: "Sin zona", 6: "Sol"}
+
+
+def test_district_lists(spark):
+    cases = {"01-03-04 ": ["01", "03", "04"], "04/05": ["04", "05"], "1-2/3": ["1-2", "3"], " - ": [], "": [], None: [], "7": ["7"]}
+    got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", numbers.split_district_list(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == cases
