@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,36 @@ def normalize_text(c: Column) -> Column:
     return blank_to_null(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")))
 
 
+@cache
+def _unsettled() -> str:
+    """A class of the signs that compatibility composition may change, alone or beside others, built from the Unicode tables of this Python."""
+    import unicodedata
+
+    made = {x for ch in map(chr, range(0x110000)) if not 0xD800 <= ord(ch) <= 0xDFFF and len(d := unicodedata.normalize("NFD", ch)) > 1 for x in d[1:]}  # what may join the sign before
+    points = [i for i in range(0x80, 0x110000) if not 0xD800 <= i <= 0xDFFF and (unicodedata.combining(chr(i)) or chr(i) in made or unicodedata.normalize("NFKC", chr(i)) != chr(i))]
+    ranges: list[list[int]] = []
+    for i in points:
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]"
+
+
+def unicode_text(c: Column) -> Column:
+    """F-01: ``normalize_text`` after compatibility composition (NFKC). Texts without a sign that it may change, which one expression tells, never leave the JVM."""
+
+    @F.pandas_udf("string")
+    def composed(s: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    text = c.cast("string")
+    some = F.when(text.rlike(_unsettled()), text)
+    return normalize_text(F.coalesce(composed(some), text))
+
+
 def fold_accents(c: Column) -> Column:
     """Lower-case Latin letters without their marks, combining marks removed; JVM side."""
     return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"\p{Mn}", "")

@@ -113,9 +113,28 @@ def map_viewport(points: DataFrame) -> DataFrame:
 
 def zone_detail(assets: DataFrame, listings: DataFrame, contacts: DataFrame, k: int = 10) -> DataFrame:
     """A-19: for every zone the k most frequent portals, types and phones. Counted before they are ranked."""
-    zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label", "asset_type_detail")
+    zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label", F.coalesce("asset_type_detail", "asset_type_family").alias("asset_type_detail"))
     placed = listings.join(zone_of, "asset_id").join(contacts.select(F.col("id").alias("contact_id"), "phone_raw"), "contact_id", "left")
     long = placed.select("zone_label", F.explode(F.map_from_arrays(F.array(F.lit("portal"), F.lit("type"), F.lit("phone")), F.array("source_portal", "asset_type_detail", "phone_raw"))).alias("kind", "value"))
     counts = long.where("value is not null").groupBy("zone_label", "kind", "value").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("zone_label", "kind").orderBy(F.col("n").desc(), "value"))
     return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def zone_latest_events(events: DataFrame, assets: DataFrame, k: int = 20) -> DataFrame:
+    """A-19: the ``k`` newest events of every zone (ties: the highest id), by the zone of the event's asset. ``events`` have their asset (J-16)."""
+    zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label")
+    placed = events.join(zone_of, "asset_id").select("zone_label", F.col("id").alias("event_id"), "event_type", "event_datetime", "asset_id", "listing_id")
+    order = [F.col("event_datetime").desc_nulls_last(), F.col("event_id").desc()]
+    # a zone may have a third of all events: the best of each of its shares first
+    shares = placed.withColumn("_share", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    best = shares.withColumn("_n", F.row_number().over(Window.partitionBy("zone_label", "_share").orderBy(*order))).where(F.col("_n") <= k)
+    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("zone_label").orderBy(*order))).where(F.col("place") <= k)
+    return ranked.drop("_share", "_n")
+
+
+def zone_means(assets: DataFrame, listings: DataFrame) -> DataFrame:
+    """A-19, first version: listings, assets, mean price and mean price a metre of every zone's listings; means in whole hundredths."""
+    zone_of = assets.select(F.col("id").alias("asset_id"), "zone_label")
+    mean = lambda x: rounded(F.sum(F.floor(F.col(x) * 100 + 0.5)).cast("double") / (F.count(x) * 100), 2)
+    return listings.join(zone_of, "asset_id").groupBy("zone_label").agg(F.count("*").alias("listings_count"), F.countDistinct("asset_id").alias("assets_count"), mean("price_eur").alias("avg_price_eur"), mean("price_per_m2").alias("avg_price_m2"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.functions.numbers import split_district_list
-from plotline.operators import profiles, reports
+from plotline.operators import profiles, radar, reports
 from plotline.plans.sample import cte, view
-from plotline.plans.zone_queries import scored_v2
-from plotline.plans.zone_sql import SCORED
+from plotline.plans.zone_queries import Stages, placed_assets, scored_v2
+from plotline.plans.zone_sql import BASE, MEAN, SCORED
 
 _R = lambda x, n: f"(floor(({x}) * 1e{n} + 0.5) / 1e{n})"
 
@@ -72,12 +72,21 @@ def recent_asset_details(spark: SparkSession, d: str) -> DataFrame:
     return reports.recent_asset_details(a, view(spark, d, "listings"), b).withColumn("listings", F.array_join(F.transform("listings", lambda x: x.cast("string")), ","))
 
 
+def zone_latest_events(spark: SparkSession, d: str) -> DataFrame:
+    stages = Stages(spark, d)
+    return radar.zone_latest_events(stages.events, stages.assets).select("zone_label", "place", "event_id", "event_type", "asset_id", "listing_id")
+
+
+def zone_means(spark: SparkSession, d: str) -> DataFrame:
+    return radar.zone_means(placed_assets(spark, d), view(spark, d, "listings"))
+
+
 def district_lists(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(' 0', CAST(p_partkey % 21 AS STRING), '-', CAST(p_partkey % 19 AS STRING), ' - ') WHEN 1 THEN concat(CAST(p_partkey AS STRING), '/ ', CAST(p_partkey % 7 AS STRING), '-', p_name) WHEN 2 THEN p_name END")
     return view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(split_district_list(text), "|").alias("districts"))
 
 
-QUERIES = {f.__name__: f for f in (link_report, matching_report, review_counters, integrity_report, overlap_report, population_levels, table_freshness, boundary_layers, recent_asset_details, district_lists)}
+QUERIES = {f.__name__: f for f in (link_report, matching_report, review_counters, integrity_report, overlap_report, population_levels, table_freshness, boundary_layers, recent_asset_details, zone_latest_events, zone_means, district_lists)}
 
 _RV = cte("reviews") + ", rv AS (SELECT *, CASE WHEN id % 3 > 0 THEN 'r' || id % 5 ELSE 'unknown' END AS reviewer, CASE WHEN id % 2 = 0 THEN 'flow' ELSE 'unknown' END AS source FROM reviews)"
 _SIDE = "tp + fn + fp + tn"
@@ -102,5 +111,7 @@ ORACLES = {
     "boundary_layers": SCORED + f" SELECT *, count(*) OVER (PARTITION BY metric, level) AS matched_count FROM (WITH b AS (SELECT 'neighborhoods' AS level, n_name AS name FROM nation UNION ALL SELECT 'districts', r_name FROM region) {_B}) q",
     "recent_asset_details": cte("assets", "listings") + """ SELECT a.id, building_id, b.address_base, coalesce(l.listings, '') AS listings FROM (SELECT id, CASE WHEN id % 7 > 0 THEN id - id % 4 END AS building_id FROM assets ORDER BY id DESC LIMIT 300) a
         LEFT JOIN (SELECT id AS bid, split_part(address_raw, ',', 1) AS address_base FROM assets) b ON b.bid = a.building_id LEFT JOIN (SELECT asset_id, array_to_string(list_reverse_sort(list(id)), ',') AS listings FROM listings GROUP BY 1) l ON l.asset_id = a.id""",
+    "zone_latest_events": BASE.rstrip().rstrip(",") + " SELECT zone_label, CAST(place AS INTEGER) AS place, event_id, event_type, asset_id, listing_id FROM (SELECT za.zone_label, ev.*, row_number() OVER (PARTITION BY za.zone_label ORDER BY event_datetime DESC, event_id DESC) AS place FROM ev JOIN za ON za.id = ev.asset_id) q WHERE place <= 20",
+    "zone_means": BASE.rstrip().rstrip(",") + f" SELECT za.zone_label, count(*) AS listings_count, count(DISTINCT asset_id) AS assets_count, {MEAN('price_eur')} AS avg_price_eur, {MEAN('price_per_m2')} AS avg_price_m2 FROM listings l JOIN za ON za.id = l.asset_id GROUP BY 1",
     "district_lists": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '0' || p_partkey % 21 || '|' || p_partkey % 19 WHEN 1 THEN p_partkey || '|' || p_partkey % 7 || '-' || p_name WHEN 2 THEN p_name ELSE '' END AS districts FROM part",
 }

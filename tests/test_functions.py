@@ -184,3 +184,17 @@ def test_district_lists(spark):
     cases = {"01-03-04 ": ["01", "03", "04"], "04/05": ["04", "05"], "1-2/3": ["1-2", "3"], " - ": [], "": [], None: [], "7": ["7"]}
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", numbers.split_district_list(F.col("x")).alias("y")).collect()
     assert {r.x: r.y for r in got} == cases
+
+
+def test_compatibility_forms_of_all_code_points(spark):
+    """F-01: every code point alone, and each that may join another after a letter, equal the Unicode tables."""
+    import random
+    import unicodedata
+
+    signs = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF and unicodedata.category(chr(i)) not in ("Cn", "Co", "Zs", "Zl", "Zp", "Cc")]
+    rng = random.Random(4)
+    rows = [f"a{x}b" for x in signs] + ["".join(rng.choice(signs) for _ in range(4)) for _ in range(5000)] + ["e\u0301\u0323", "\u1100\u1161\u11a8", "\uac00\u11a8", "ﬁn  Ⅳ", "½ m²"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").repartition(4)
+    got = {r.i: r.y for r in df.select("i", text.unicode_text(F.col("x")).alias("y")).collect()}
+    wrong = [x for i, x in enumerate(rows) if (got[i] or "") != " ".join(unicodedata.normalize("NFKC", x).split())]
+    assert not wrong, (len(wrong), [x.encode("unicode_escape") for x in wrong[:10]])
