@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotline.functions.bands import match_band
 from plotline.functions.numbers import rounded
 from plotline.functions.semantics import address_semantics, price_semantics
-from plotline.operators import captures, catalog, context, explanations, geography, identity, matching, opportunities, profiles, quality, search, zone_context
+from plotline.operators import captures, catalog, context, explanations, geography, identity, opportunities, profiles, quality, search, zone_context
 from plotline.plans.more_queries import _search_docs, comparables
 from plotline.plans.sample import cte, view
 from plotline.plans.zone_queries import queue, scored_v2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.labels import with_zone
 from plotline.operators import opportunities, profiles, radar, zones
-from plotline.plans.sample import AS_OF, cte, kept, view
+from plotline.plans.sample import AS_OF, kept, view
 
 
 def as_of():
