@@ -176,3 +176,51 @@ def test_license_filters_prune_and_lose_nothing():
         matched += bool(want)
     seen = table.seen
     assert matched > 50 and seen["prefix"] > seen["length"] > seen["positional"] > 0
+
+
+def test_tables_made_once_spare_memory_and_disk(spark):
+    """Batches to Python workers are bounded in bytes, shuffle files go with the job that made them, and settings are restored."""
+    import time
+    from pathlib import Path
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from plotline.llm import common
+
+    def rows_of_batches(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    names = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = [spark.conf.get(x, None) for x in names]
+    folder = Path(spark.conf.get("spark.local.dir", "/tmp"))
+    files = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    for made in (common.durable, lambda df: common.written(df, "test")):
+        texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        sizes = [r.n for r in made(texts.mapInPandas(rows_of_batches, "n long")).collect()]
+        assert sum(sizes) == 2000 and max(sizes) * 10_000 <= common.BATCH_BYTES * 1.1
+        old = files()
+        found = made(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+        for _ in range(50):
+            if not files() - old:
+                break
+            time.sleep(0.2)
+        assert not files() - old
+        assert found.agg(F.sum("n")).first()[0] == 10_000
+        assert [spark.conf.get(x, None) for x in names] == before
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    """Ids do not depend on what is forgotten, and a worker remembers two generations of chunks at most."""
+    from plotline.llm import tokens
+
+    assert tokens.CACHE_CHUNKS * 2 <= 500_000
+    path = tokens.public_path("byte_bpe_50k.json")
+    text = " ".join(f"Wort{chr(97 + i % 26)}{chr(97 + i // 26)}, größe{chr(97 + i % 7)} naïve" for i in range(200))
+    want = tokens._tokenizer(path).encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 50)
+    encode = tokens.ChunkEncoder(path, tokens.space_chunks)
+    found = encode([text])[0]
+    assert len(encode) <= 51 and len(encode.older) <= 51
+    assert [int.from_bytes(found[i : i + 4], "little") for i in range(0, len(found), 4)] == want
