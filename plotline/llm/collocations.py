@@ -106,7 +106,12 @@ class FMIndex:
         """The row to which ``symbols`` before each of ``rows`` lead: rows that begin with a smaller id, and its occurrences above."""
         n = len(self.bwt) + 1
         if self._occurrences is None:
-            self._occurrences = np.sort(self.bwt.astype(np.int64) * n + np.arange(n - 1))
+            found = self.bwt.astype(np.int64)  # changed in place: only one array of the shard's length is added
+            found *= n
+            for at in range(0, n - 1, ROWS):
+                found[at : at + ROWS] += np.arange(at, min(at + ROWS, n - 1))
+            found.sort()
+            self._occurrences = found
         return np.searchsorted(self._occurrences, symbols * n + rows)
 
     def extend(self, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -224,3 +224,21 @@ def test_remembered_chunks_are_bounded(monkeypatch):
     found = encode([text])[0]
     assert len(encode) <= 51 and len(encode.older) <= 51
     assert [int.from_bytes(found[i : i + 4], "little") for i in range(0, len(found), 4)] == want
+
+
+def test_ranks_of_an_index_add_one_array():
+    import tracemalloc
+
+    import numpy as np
+
+    from plotline.llm.collocations import FMIndex
+
+    n = 1 << 20
+    ids = np.random.default_rng(1).integers(0, 1000, n, np.int32)
+    index = FMIndex(ids, 2)
+    tracemalloc.start()
+    found = index.rank(np.array([5, 7]), np.array([1000, n]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * 1.5
+    assert found.tolist() == [int((index.bwt[:1000] == 5).sum() + (index.bwt < 5).sum()), int((index.bwt <= 7).sum())]
