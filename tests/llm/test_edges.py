@@ -242,3 +242,37 @@ def test_ranks_of_an_index_add_one_array():
     tracemalloc.stop()
     assert peak < 8 * n * 1.5
     assert found.tolist() == [int((index.bwt[:1000] == 5).sum() + (index.bwt < 5).sum()), int((index.bwt <= 7).sum())]
+
+
+def test_pairs_that_share_many_shingles_meet_about_once(spark):
+    """Every pair of unlike texts that the bounds admit is listed, but not at each of the shingles that it shares."""
+    import numpy as np
+
+    from plotline.llm import simhash
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(w if rng.random() > 0.015 else f"x{k}n{i}" for i, w in enumerate(base)) for k in range(30)]
+    hashes = [simhash._gram_hashes(t) for t in texts]
+    heads = [h[: simhash._head(len(h))] for h in hashes]
+    rows = [
+        (int(np.int64(np.uint64(g))), k, k, pos, len(hashes[k]), [int(np.int64(x)) for x in h[max(0, pos - simhash.AHEAD) : pos].view(np.int64)], *simhash._parity(hashes[k]).tolist())
+        for k, h in enumerate(heads) for pos, g in enumerate(h)
+    ]
+    member = spark.createDataFrame(rows, f"gram long, key long, part long, pos int, size int, ahead array<long>, {', '.join(f'{p} long' for p in simhash.PARITY)}")
+    got = simhash.met_once(member.select("gram", "key", "part", "pos", "size", "ahead", *simhash._folded())).select("key", "key_2").collect()
+    want, shared = set(), 0
+    folded = [np.bitwise_xor.reduce(simhash._parity(h).reshape(4, 4), axis=0) for h in hashes]
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            apart = len(np.setxor1d(hashes[a], hashes[b]))
+            bits = [sum(int(x).bit_count() for x in (m ^ n).view(np.uint64)) for m, n in ((folded[a], folded[b]), (simhash._parity(hashes[a]), simhash._parity(hashes[b])))]
+            assert bits[0] <= bits[1] <= apart
+            for g in set(heads[a].tolist()) & set(heads[b].tolist()):
+                p, q = heads[a].tolist().index(g), heads[b].tolist().index(g)
+                m, n = len(hashes[a]), len(hashes[b])
+                if min(m - p, n - q) * 9 >= (m + n) * 4 and min(m, n) * 5 >= max(m, n) * 4 and bits[0] * 9 <= m + n:
+                    want.add((a, b))
+                    shared += 1
+    assert {tuple(r) for r in got} == want and len(want) > 100
+    assert len(got) < 2 * len(want) < shared / 4
