@@ -88,17 +88,23 @@ class FMIndex:
     """
 
     def __init__(self, ids: np.ndarray, depth: int):
-        columns = [np.concatenate([ids[k:], np.zeros(min(k, len(ids)), ids.dtype)]) for k in range(depth)]
-        if depth == 2:
-            key = columns[0].astype(np.int64)
-            key <<= 32
-            key |= columns[1]
-            del columns
-            order = np.argsort(key, kind="stable")
-            del key
+        n = len(ids)
+        wide, place = int(ids.max(initial=0)).bit_length(), n.bit_length()
+        if depth * wide + place < 64:  # the next ids and the row in one number: sorted in place, no second array of the shard's length
+            order = ids.astype(np.int64)
+            for k in range(1, depth):
+                order <<= wide
+                order[: n - k] |= ids[k:]
+            order <<= place
+            for at in range(0, n, ROWS):
+                order[at : at + ROWS] |= np.arange(at, min(at + ROWS, n))
+            order.sort()
+            order &= (1 << place) - 1
         else:
-            order = np.lexsort(columns[::-1])
-        self.bwt = ids[order - 1]
+            order = np.lexsort([np.concatenate([ids[k:], np.zeros(min(k, n), ids.dtype)]) for k in reversed(range(depth))])
+        order -= 1
+        self.bwt = ids[order]
+        del order
         self.first = np.concatenate([[0], np.cumsum(np.bincount(ids))])  # where the rows that begin with each id start
         self._occurrences: np.ndarray | None = None
 
@@ -149,6 +155,7 @@ def enumerate_phrases(ids: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.
         return
     ids = np.concatenate([ids, [0]]).astype(np.int32)  # the id before the first is the separator
     forward, backward = FMIndex(ids, max(depth - 1, 1)), FMIndex(ids[::-1], max(depth - 1, 1))
+    del ids
 
     def to_the_right(phrases: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield phrases, count
@@ -174,12 +181,18 @@ def _phrase_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for packed, at, gid in zip(pdf["ids"], pdf["at"], pdf["gid"], strict=True):
             order = np.argsort(at)
             local, gid = at[order] + 1, gid[order]
-            ids = np.frombuffer(zstandard.decompress(packed), np.uint32)
-            dense = np.zeros(int(max(ids.max(initial=0), local[-1])) + 1, np.int32)
-            dense[local] = np.arange(1, len(local) + 1)
-            ids = dense[ids]
-            ids = ids[(ids > 0) | (np.concatenate([[1], ids[:-1]]) > 0)]  # one separator after another is none
-            for phrases, count in enumerate_phrases(ids):
+
+            def dense_ids(packed=packed, local=local) -> np.ndarray:
+                ids = np.frombuffer(zstandard.decompress(packed), np.uint32)
+                dense = np.zeros(int(max(ids.max(initial=0), local[-1])) + 1, np.int32)
+                dense[local] = np.arange(1, len(local) + 1)
+                ids = dense[ids]
+                kept = ids > 0
+                kept[1:] |= ids[:-1] > 0  # one separator after another is none
+                kept[:1] = True
+                return ids[kept]
+
+            for phrases, count in enumerate_phrases(dense_ids()):  # not held here: the indexes take its place
                 part = gid[phrases - 1]
                 columns = {f"g{k + 1}": part[:, k] if k < part.shape[1] else np.full(len(part), -1) for k in range(DEPTH)}
                 yield pd.DataFrame(columns | {"c": count})

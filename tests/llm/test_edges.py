@@ -276,3 +276,25 @@ def test_pairs_that_share_many_shingles_meet_about_once(spark):
                     shared += 1
     assert {tuple(r) for r in got} == want and len(want) > 100
     assert len(got) < 2 * len(want) < shared / 4
+
+
+def test_index_of_phrases_adds_one_wide_array():
+    """An index is built with one 64-bit array of the shard's length beside its transform, and orders rows as a sort by columns does."""
+    import tracemalloc
+
+    import numpy as np
+
+    from plotline.llm.collocations import FMIndex
+
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 5000, 2_000_000).astype(np.int32)
+    tracemalloc.start()
+    built = FMIndex(ids, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 14 * len(ids)
+    few = ids[:3000] % 7
+    for some, depth in ((few, 1), (few, 2), (few, 3), (few[:1], 2)):
+        columns = [np.concatenate([some[k:], np.zeros(min(k, len(some)), some.dtype)]) for k in range(depth)]
+        assert np.array_equal(FMIndex(some, depth).bwt, some[np.lexsort(columns[::-1]) - 1])
+    assert len(built.bwt) == len(ids)
