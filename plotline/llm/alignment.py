@@ -140,32 +140,38 @@ class Aligner:
 
     def _learn(self, words: set[str], parts: set[str]) -> None:
         """Takes in new intervals: marks after a word are apart where no token joins them to it, so that most new words are made of known ones."""
-        made: list[tuple[dict, str, list[str]]] = []
+        made: list[tuple[dict, str, str, str]] = []
         new: dict[str, None] = {}
-        for known, key in [*((self.words, w) for w in words), *((self.parts, p) for p in parts)]:
+        parts_known, joined = self.parts, self.joined
+        for known, key in [*((self.words, w) for w in words), *((parts_known, p) for p in parts)]:
             self.chars += len(key)
-            whole = key if known is self.parts or key[0] == "\n" else " " + key
-            inner = [whole]
-            if (m := _MARKED.search(whole)) and whole[m.start() - 1 : m.start() + 1] not in self.joined:
-                inner = [whole[: m.start()], whole[m.start() :]]
-            new.update((x, None) for x in inner if x not in self.parts)
-            made.append((known, key, inner))
+            head, tail = key if known is parts_known or key[0] == "\n" else " " + key, ""
+            if (m := _MARKED.search(head)) and head[(at := m.start()) - 1 : at + 1] not in joined:
+                head, tail = head[:at], head[at:]
+                if tail not in parts_known:
+                    new[tail] = None
+            if head not in parts_known:
+                new[head] = None
+            made.append((known, key, head, tail))
         if new:
             self._encode(list(new))
-        for known, key, inner in made:
-            if len(inner) == 1:
-                known[key] = self.parts[inner[0]]
+        groups, sizes, pairs, ends = self.groups, self.sizes, self.pairs, self.ends
+        for known, key, head, tail in made:
+            i = parts_known[head]
+            if not tail:
+                known[key] = i
                 continue
-            of = [self.parts[x] for x in inner]
-            if -1 in of:
+            j = parts_known[tail]
+            if i < 0 or j < 0:
                 known[key] = -1
                 continue
-            known[key] = len(self.groups)
-            self.groups.append(";".join([self.groups[i] for i in of]))
-            self.sizes.extend([sum(self.sizes[4 * i + k] for i in of) for k in range(4)])
-            for i in of:
-                self.pairs.extend(self.pairs[self.ends[i] : self.ends[i + 1]])
-            self.ends.append(len(self.pairs))
+            known[key] = len(groups)
+            groups.append(f"{groups[i]};{groups[j]}")
+            m, n = 4 * i, 4 * j
+            sizes.extend((sizes[m] + sizes[n], sizes[m + 1] + sizes[n + 1], sizes[m + 2] + sizes[n + 2], sizes[m + 3] + sizes[n + 3]))
+            pairs.extend(pairs[ends[i] : ends[i + 1]])
+            pairs.extend(pairs[ends[j] : ends[j + 1]])
+            ends.append(len(pairs))
 
     def _encode(self, parts: list[str]) -> None:
         """Both encodings of intervals, their division and their links. The piece model puts a space before all that it encodes: the interval's own, or one that goes."""
