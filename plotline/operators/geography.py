@@ -45,7 +45,7 @@ def resolve_streets(addresses: DataFrame, streets: DataFrame, points: DataFrame,
         (c("_fk").isNotNull(), "fuzzy_lookup_key"), (c("_fn").isNotNull(), "fuzzy_name_only"), (last.isNotNull(), "trailing_neighborhood_only"), other="not_found",
     )
     j = j.withColumns({"match_type": match, "code": F.coalesce("_k", "_n", "_fk", "_fn")})
-    near = nearest_house_number(j.where("code is not null and house_number is not null").select("id", "code", c("house_number").cast("long").alias("number")), points).select("id", "code", "number")
+    near = nearest_house_number(j.where("code is not null and house_number is not null").select("id", "code", c("house_number").try_cast("long").alias("number")), points).select("id", "code", "number")
     at = near.join(points.select("code", "number", c("district").alias("_d"), c("neighborhood").alias("_h"), c("lat").alias("_lat"), c("lon").alias("_lon")), ["code", "number"]).drop("code", "number")
     only = streets.groupBy("code").agg(F.collect_set("district").alias("ds")).select("code", F.when(F.size("ds") == 1, F.get("ds", 0)).alias("_only"))
     j = j.join(at, "id", "left").join(only, "code", "left")

@@ -196,3 +196,14 @@ def test_tables_and_ledger(spark, tmp_path):
     head = "Teléfono de contacto;Nombre;Tipo de propiedad;Fuente;Dirección;Precio;Estado del anuncio;Superficie construida;URL propiedad;URL anuncio;Fecha lead\n1;A;piso;x;y;3;z;5;u;v;01.02.2024\n"
     (tmp_path / "leads.csv").write_text(head)
     assert files.read_leads(spark, str(tmp_path / "leads.csv")).first().phone_raw == "1"
+
+
+def test_house_numbers_of_any_length(spark):
+    """F-14: a street's first number is its house's, also one of five digits or one like a postal code; before the city it is the code."""
+    cases = {
+        "C/ large ring 19999, 3º B, 28009 Madrid": ("calle large ring, 19999", "callelarge ring"), "Avda. de large ring 28001 portal 2, Madrid": ("avenida large ring, 28001", "avenidalarge ring"),
+        "Calle de red rod número 1200000": ("calle red rod, 1200000", "callered rod"), "C/ Alcalá 28005, 3º B, 28009 Madrid": ("calle alcala, 28005", "callealcala"),
+        "Calle Mayor 28013 Madrid": ("calle mayor madrid", "callemayor madrid"), "Calle Mayor 5 28013 Madrid": ("calle mayor, 5", "callemayor"),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    assert {r.a: (r.b, r.k) for r in df.select("a", addresses.address_base(F.col("a")).alias("b"), addresses.address_key(F.col("a")).alias("k")).collect()} == cases
