@@ -60,3 +60,19 @@ def test_windows_of_a_stream_equal_batch_counts(spark, tmp_path):
                 if day < closed and by_day[day, z, t]:
                     assert got[day, z, t] == n
     assert all(v == tuple(sum(by_day[d - dt.timedelta(days=i), z, t] for i in range(w)) for w in (7, 14, 30)) for (d, z, t), v in got.items())
+
+
+def test_house_numbers_are_no_prices(spark):
+    """F-10: a number right behind a street's name is its house's, however long; with a currency, or behind a word of a price, it is a price."""
+    from plotline.functions.numbers import flow_price_pair
+    from plotline.operators import captures
+
+    cases = {
+        "Piso en venta en Calle Mayor 31239 - Barrio Sol": None, "Calle Mayor 899999": None, "Avda. de América 450000 tel": None, "Calle Mayor 85000 eur": 85000.0, "venta en Calle Mayor precio 350000": 350000.0,
+        "Calle Mayor 5 venta 350000": 350000.0, "venta en Madrid 85000": 85000.0, "Calle Mayor 350.000 €": 350000.0,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    assert {r.a: r.p.current for r in df.select("a", flow_price_pair(F.col("a")).alias("p")).collect()} == cases
+    content = '{"url": "https://a.example.com/x?historyType=sold", "data": [{"title": "Piso en venta en Calle Mayor 31239 - Barrio Sol", "listingId": "L1", "portal": "Idealista", "price": 12345}]}'
+    rows = captures.flow_records(captures.payload_records(spark.createDataFrame([("p", 1, content)], "page_url string, page_number int, content string"))).collect()
+    assert [(r.address_raw, r.current_price_eur) for r in rows] == [("Calle Mayor 31239", None)]
