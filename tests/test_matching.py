@@ -207,3 +207,11 @@ def test_house_numbers_of_any_length(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "a string")
     assert {r.a: (r.b, r.k) for r in df.select("a", addresses.address_base(F.col("a")).alias("b"), addresses.address_key(F.col("a")).alias("k")).collect()} == cases
+
+
+def test_age_of_events_counts_parts_of_seconds(spark):
+    """W-07: an event half a second after midnight is not yet a whole day older."""
+    from plotline.operators.opportunities import whole_days
+
+    df = spark.sql("SELECT i, TIMESTAMP_NTZ '2024-01-31 00:00:00' AS now, at FROM VALUES (1, TIMESTAMP_NTZ '2024-01-28 00:00:00.5'), (2, TIMESTAMP_NTZ '2024-01-28 00:00:00'), (3, TIMESTAMP_NTZ '2024-01-30 23:59:59.9'), (4, TIMESTAMP_NTZ '2024-02-02 00:00:00') AS t(i, at)")
+    assert [r.d for r in df.orderBy("i").select(whole_days(F.col("now"), F.col("at")).alias("d")).collect()] == [2, 3, 0, 0]
