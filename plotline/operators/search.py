@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.text import fold_accents
+from plotline.operators.shared import stored
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "content", "phone_digits")
@@ -59,29 +60,36 @@ def _meant(asked: DataFrame, words: DataFrame) -> DataFrame:
 def search(queries: DataFrame, docs: DataFrame, index: DataFrame, *, k: int = 25, weights: dict[str, float] | None = None) -> DataFrame:
     """X-04: query_id, section, entity_id, score, place: documents with every term of a query, the k best of each section by BM25.
 
-    The tokens of the queries meet the distinct tokens of the index first; postings are joined by whole token. A phrase's hits are the places where all its
-    tokens stand one after another in a field: positions less the token's place in the phrase, counted where all agree. Ties go to the newest, then the id.
+    Terms are distinct over all queries: each meets the index once, by whole token. A phrase's hits are the places where all its tokens stand one after another in a
+    field: positions less the token's place in the phrase, counted where all agree. A query then takes the documents of its rarest term and looks up its other terms
+    for these alone, so a common word is not listed for every query. Ties go to the newest, then the id.
     """
     c = F.col
     w = weights or {}
-    q = queries.select("query_id", F.posexplode(parse_search_query(c("text"))).alias("pos", "t"))
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    q = q.select("query_id", "pos", F.size("t.tokens").alias("terms"), c("t.prefix").alias("_open"), F.posexplode("t.tokens").alias("at", "_q"))
-    q = q.select("query_id", "pos", "terms", "at", "_q", (c("_open") & (c("at") == c("terms") - 1)).alias("prefix"))
+    parsed = queries.select("query_id", F.posexplode(parse_search_query(c("text"))).alias("pos", "t"))
+    term = F.concat(F.array_join("t.tokens", " "), F.when(c("t.prefix"), "*").otherwise("."))  # tokens have neither blanks nor signs
+    asked = stored(parsed.select("query_id", "pos", term.alias("term"), c("t.tokens").alias("tokens"), c("t.prefix").alias("_open")), "search-terms")
+    need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    q = asked.select("term", "tokens", "_open").distinct().select("term", F.size("tokens").alias("terms"), "_open", F.posexplode("tokens").alias("at", "_q"))
+    q = q.select("term", "terms", "at", "_q", (c("_open") & (c("at") == c("terms") - 1)).alias("prefix"))
     meant = _meant(q.select("_q", "prefix").distinct(), index.select("token").distinct())
     hit = q.join(meant, ["_q", "prefix"]).join(index, "token")
-    of = ["query_id", "pos", "section", "entity_id", "field", "n_tokens"]
+    of = ["term", "section", "entity_id", "field", "n_tokens"]
     single = hit.where("terms = 1").select(*of, "tf")
     starts = hit.where("terms > 1").select(*of, "terms", F.explode(F.transform("positions", lambda p: p - c("at"))).alias("start"))
     phrases = starts.groupBy(*of, "terms", "start").agg(F.count("*").alias("n")).where("n = terms").groupBy(*of).agg(F.count("*").alias("tf"))
     weight = F.coalesce(*[F.when(c("field") == f, float(w.get(f, 1.0))) for f in FIELDS])
-    f = single.unionByName(phrases).groupBy("query_id", "pos", "section", "entity_id", "n_tokens").agg(F.sum(c("tf") * weight).alias("f"))
-    n = f.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
+    f = stored(single.unionByName(phrases).groupBy("term", "section", "entity_id", "n_tokens").agg(F.sum(c("tf") * weight).alias("f")), "search-postings")
+    n = f.groupBy("term").agg(F.count("*").alias("n"))
     size = index.select("section", "entity_id", "n_tokens").distinct().agg(F.count("*").alias("total"), F.avg("n_tokens").alias("mean"))
-    s = f.join(n, ["query_id", "pos"]).crossJoin(F.broadcast(size))
+    s = f.join(n, "term").crossJoin(F.broadcast(size))
     idf = F.greatest(F.log((c("total") - c("n") + 0.5) / (c("n") + 0.5)), F.lit(1e-6))
-    s = s.withColumn("s", idf * c("f") * (K1 + 1) / (c("f") + K1 * (1 - B + B * c("n_tokens") / c("mean"))))
-    found = s.groupBy("query_id", "section", "entity_id").agg(F.count("*").alias("got"), F.sum("s").alias("score")).join(need, "query_id").where("got = need")
+    s = stored(s.select("term", "section", "entity_id", (idf * c("f") * (K1 + 1) / (c("f") + K1 * (1 - B + B * c("n_tokens") / c("mean")))).alias("s")), "search-scores")
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "pos"))
+    ranks = stored(asked.join(n, "term", "left").select("query_id", "term", rarest.alias("_rank")), "search-ranks")
+    lead = ranks.where("_rank = 1").join(s, "term").select("query_id", "section", "entity_id", "s")
+    rest = lead.drop("s").join(ranks.where("_rank > 1").select("query_id", "term"), "query_id").join(s, ["term", "section", "entity_id"]).select("query_id", "section", "entity_id", "s")
+    found = lead.unionByName(rest).groupBy("query_id", "section", "entity_id").agg(F.count("*").alias("got"), F.sum("s").alias("score")).join(need, "query_id").where("got = need")
     ranked = found.join(docs.select("section", "entity_id", "sort_key"), ["section", "entity_id"])
     place = F.row_number().over(Window.partitionBy("query_id", "section").orderBy(F.round("score", 9).desc(), c("sort_key").desc(), "entity_id"))
     return ranked.withColumn("place", place).where(c("place") <= k).select("query_id", "section", "entity_id", F.round("score", 6).alias("score"), "place")

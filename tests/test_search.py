@@ -32,3 +32,12 @@ def test_index_positions(spark):
     d = spark.createDataFrame([(1, "sol sol luna", "sol", None, 1)], "entity_id long, title string, content string, phone_digits string, sort_key long")
     rows = {(r.token, r.field): (r.tf, r.positions, r.n_tokens) for r in search.build_search_index(search.search_documents(x=d)).collect()}
     assert rows == {("sol", "title"): (2, [0, 1], 4), ("luna", "title"): (1, [2], 4), ("sol", "content"): (1, [0], 4)}
+
+
+def test_common_words_are_looked_up_beside_rare_ones(spark):
+    """X-04: 1200 queries share a word of 30000 documents (36 million hits if each lists them); each has the one document of its other term. Repeated and unknown terms count as well."""
+    d = spark.range(30000).selectExpr("id AS entity_id", "concat('calle raro', CAST(id AS STRING), 'x') AS title", "'' AS content", "'' AS phone_digits", "id AS sort_key")
+    d = search.search_documents(things=d)
+    q = spark.range(1200).selectExpr("CAST(id AS STRING) AS query_id", "CASE id WHEN 0 THEN 'calle nada' WHEN 1 THEN 'raro1x calle calle' ELSE concat('calle raro', CAST(id AS STRING), 'x') END AS text")
+    rows = search.search(q, d, search.build_search_index(d)).collect()
+    assert {(int(r.query_id), r.entity_id) for r in rows} == {(i, i) for i in range(1, 1200)} and len(rows) == 1199
