@@ -235,3 +235,30 @@ def test_strict_assets_equal_all_pairs(spark):
     assert {r.id: (r.tier, r.asset_id) for r in got} == want and len(got) == len(want)
     many = spark.range(40000).selectExpr("id", "'s' AS address_norm", "'a' AS asset_type_detail", "CAST(id % 150 AS DOUBLE) AS area_m2")
     assert identity.match_asset_strict(many, many).where("tier = 1").count() == 40000  # 1.6e9 pairs
+
+
+@pytest.mark.parametrize("fuzzy_too", [False, True])
+def test_pairs_of_blocks_stand_once(flow_tables, fuzzy_too):
+    """U-02: the pairs of all blocks, each once, as a plain loop finds them, and no exchange of pairs after the joins; their scores where they are made equal those by id."""
+    items, listings = flow_tables
+    similar = matching.similar_fragments(items, listings).cache() if fuzzy_too else None
+    like = {(r.fragment, r.other) for r in similar.collect()} if fuzzy_too else set()
+    left, right = items.collect(), listings.collect()
+    want = set()
+    for i in left:
+        by = lambda k: min((x.listing_id for x in right if i[k] is not None and x[k] == i[k]), default=None)  # noqa: B023, E731
+        first = by("url") if by("url") is not None else by("external")
+        for x in right:
+            eq = lambda a, b: a is not None and a == b
+            fits = i.portal is None or x.portal is None or i.portal == x.portal
+            near = i.placed and fits and (eq(i.fragment, x.fragment) or (i.fragment, x.fragment) in like)
+            if x.listing_id == first or eq(i.phone, x.phone) or eq(i.name, x.name_norm) or (i.placed and eq(i.street, x.street)) or near:
+                want.add((i.item_id, x.listing_id))
+    pairs = matching.flow_candidates(items, listings, similar)
+    rows = [tuple(r) for r in pairs.select("item_id", "listing_id").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    if not fuzzy_too:
+        assert "Distinct" not in pairs._jdf.queryExecution().analyzed().toString()
+    by_id = matching.score_candidates(pairs, items, listings, similar)
+    at = matching.scored_pairs(items, listings, similar)
+    assert sorted(map(str, by_id.select("item_id", "listing_id", "score", "reasons").collect())) == sorted(map(str, at.select("item_id", "listing_id", "score", "reasons").collect()))
